@@ -1,0 +1 @@
+"""Usage metering, accumulation, aggregation and reports as Spark jobs."""
