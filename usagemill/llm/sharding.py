@@ -85,7 +85,9 @@ def curve_order(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: i
     kinds = dict(df.dtypes)
     numbers = {d: as_number(F.col(d), kinds[d]) for d in dimensions if d in kinds}
     bounds = cell_bounds(df, numbers, bits)
-    cells = [F.coalesce(reduce(lambda a, b: a + b, (F.when(c > x, 1).otherwise(0) for x in bounds[d]), F.lit(0)), F.lit(0)) for d, c in numbers.items()]
+    # A dimension of few values takes the whole range of cells too, or the curve would split it last.
+    place = lambda c, b: F.floor(reduce(lambda x, y: x + y, (F.when(c > v, 1).otherwise(0) for v in b), F.lit(0)) * (1 << bits) / (len(b) + 1))
+    cells = [F.coalesce(place(c, bounds[d]), F.lit(0)) for d, c in numbers.items()]
     return hilbert_index(cells, bits) if cells else F.lit(0).cast("long")
 
 
