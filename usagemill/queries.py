@@ -187,10 +187,10 @@ def instance_report(spark, d):
     return r.select("space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "slot", "quantity", "summary")
 
 
-@query(f"WITH {MEM} SELECT organization_id, resource_instance_id, dimension, bucket_ms, round(CAST(consumed - consuming * (bucket_ms + to_ms - 2 * least({T_EVENTS}, to_ms)) AS DOUBLE) / 2 / 3600000, 6) AS summary FROM tb WHERE bucket_ms <= {T_EVENTS}")
+@query(f"WITH {MEM} SELECT organization_id, resource_instance_id, dimension, bucket_ms, round(CAST(consumed - consuming * (bucket_ms + to_ms - 2 * least({T_EVENTS}, to_ms)) AS DOUBLE) / 2 / 3600000, 9) AS summary FROM tb WHERE bucket_ms <= {T_EVENTS}")
 def summarize_time_based(spark, d):
     s = report.summarize(acc.accumulate(td.metered_memory(spark, d)).where(F.col("bucket_ms") <= T_EVENTS), T_EVENTS)
-    return s.select("organization_id", "resource_instance_id", "dimension", "bucket_ms", F.round("summary", 6).alias("summary"))
+    return s.select("organization_id", "resource_instance_id", "dimension", "bucket_ms", F.round("summary", 9).alias("summary"))
 
 
 _PRICES = "(VALUES ('storage', 'USA', 1.0), ('storage', 'EUR', 0.7523), ('thousand_light_api_calls', 'USA', 0.03), ('thousand_light_api_calls', 'EUR', 0.0226), ('heavy_api_calls', 'USA', 0.15), ('heavy_api_calls', 'EUR', 0.1129)) p(metric, country, price)"

@@ -31,7 +31,8 @@ def read_app_events(spark: SparkSession, path: str, after: tuple[int, str] | Non
     df = _read(spark, path, schemas.APP_EVENT, fmt)
     if after is None:
         return df
-    return df.where(F.struct("metadata.created_at", "metadata.guid") > F.struct(F.lit(after[0]), F.lit(after[1])))
+    at, guid = F.col("metadata.created_at"), F.col("metadata.guid")
+    return df.where((at > after[0]) | ((at == after[0]) & (guid > after[1])))
 
 
 def read_service_events(spark: SparkSession, path: str, services: list[str] | None = None, fmt: str = "json") -> DataFrame:
