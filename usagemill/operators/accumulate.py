@@ -7,6 +7,8 @@ fold). Sums are decimals, so they do not depend on order.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ def accumulate(metered: DataFrame, keys: list[str] = schemas.KEYS, order: str =
     w = buckets(metered)
     span = (F.col("bucket_ms") + bucket_end(F.col("dimension"), F.col("bucket_ms")) - 2 * F.col("start_ms")).cast("decimal(14,0)")
     change = (F.coalesce("consuming", F.lit(0.0)) + F.coalesce("previous_consuming", F.lit(0.0))).cast("decimal(18,6)")
+    # Start and arrival as one number: unlike a struct it can be kept in a hash aggregate.
+    latest = F.when(F.col("consuming").isNotNull(), (F.col("start_ms").cast("decimal(18,0)") * F.lit(Decimal(10) ** 19) + F.col(order).cast("decimal(19,0)")).cast("decimal(38,0)"))
     grouped = w.groupBy(*keys, *WINDOW).agg(
         F.sum(decimal(F.col("value"))).cast("double").alias("_sum"), F.max("value").alias("_max"), F.count("*").alias("n"),
         F.sum((change * span).cast("decimal(28,6)")).cast("double").alias("_consumed"),
-        F.max_by("consuming", F.struct("start_ms", order)).alias("_consuming"), F.max("start_ms").alias("_since"),
+        F.max_by("consuming", latest).alias("_consuming"), F.max("start_ms").alias("_since"),
     )
     timed = F.col("accumulate") == "time_based"
     quantity = F.when(F.col("accumulate") == "max", F.greatest(F.lit(0.0), "_max")).when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).when(~timed, F.col("_sum"))
