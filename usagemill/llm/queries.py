@@ -102,3 +102,29 @@ fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, le
         FROM p JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON p.page_id = fit.page_id""",
 }
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIXED = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE_SQL["op9_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_FIXED}) AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER}, {_FIXED}) AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT *, UNNEST(generate_series(1, len(w) - n + 1)) AS i FROM b)),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, UNNEST(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+h AS (SELECT DISTINCT r, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, UNNEST(generate_series(i, i + n - 1)) AS p FROM h) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ks, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+
+ORACLE_SQL["op8_similar_documents"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, UNNEST(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT a AS doc_id, count(*) AS links, min(CASE WHEN same THEN b END) AS copy FROM l GROUP BY a)
+SELECT g.doc_id, coalesce(least(g.doc_id, copy), g.doc_id) AS copy_of, class_id, coalesce(links, 0) AS n_links FROM g LEFT JOIN k ON g.doc_id = k.doc_id"""
