@@ -194,3 +194,32 @@ def test_stream_equals_batch(spark, tmp_path):
     q = pipeline.run_batches(stream, process, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], "v", "m")
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def run_to_memory(spark, df, name, tmp_path, mode):
+    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_streamed_spans_equal_the_fold(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("a", "start", 10, 1), ("a", "stop", 20, 2), ("b", "stop", 5, 3), ("a", "start", 30, 4), ("b", "start", 6, 5), ("a", "stop", 25, 6), ("b", "stop", 9, 7)]
+    schema = "target string, kind string, timestamp long, seq long"
+    batch = spark.createDataFrame(rows, schema)
+    batch.coalesce(1).write.parquet(str(tmp_path / "src"))
+    got = run_to_memory(spark, pipeline.pair_spans(spark.readStream.schema(schema).parquet(str(tmp_path / "src"))), "paired", tmp_path, "append")
+    closed = {(r.target, r.start_ms, r.end_ms) for r in got if r.reason is None}
+    fold = spans.build_spans_by_fold(batch, ["target"], "seq").where("end_ms IS NOT NULL").collect()
+    assert closed == {(r.target, r.start_ms, r.end_ms) for r in fold}
+    assert sorted(r.reason for r in got if r.reason) == ["missing", "out of order"]
+
+
+def test_streamed_accumulation_equals_the_batch(spark, tmp_path):
+    rows = [("k", "m", at(1, 3), 2.0), ("k", "m", at(1, 4), 5.0), ("k", "m", at(2, 4), -1.0), ("k", "m", at(1, 3), 2.0)]
+    df = spark.createDataFrame(rows, "key string, metric string, ts long, value double").withColumn("event_time", F.timestamp_millis("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "m"))
+    once = pipeline.dedup_stream(stream, ["key", "ts"], "event_time")
+    assert len(run_to_memory(spark, once, "once", tmp_path, "append")) == 3
+    got = run_to_memory(spark, pipeline.accumulate_stream(stream, ["key"]), "sums", tmp_path, "complete")
+    assert sorted((float(r["sum"]), r["max"], r["n"]) for r in got) == [(-1.0, 0.0, 1), (9.0, 5.0, 3)]
