@@ -155,6 +155,35 @@ def test_trees_add_what_resembles_the_base(spark):
     assert all(got[i] == i % 2 for i in got)
 
 
+def test_trees_add_spelled_out_addresses_and_bare_numbers(spark):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 8)))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    forms = [
+        lambda: f"write to {name()}@{name()}.org today", lambda: f"write to {name()} [at] {name()} [dot] org today", lambda: f"sat {name()} @{name()}. {name()} went",
+        lambda: f"call +1 {number(3)} {number(3)} {number(4)} now", lambda: f"call ({number(3)}) {number(3)}-{number(4)} now", lambda: f"part {number(2)} {number(3)} {number(3)} fits",
+    ]
+    df = spark.createDataFrame([(i, forms[i % 6]()) for i in range(1200)], "doc_id long, text string")
+    redactor = pii.fit_redactor(df)
+    assert {"email", "phone"} <= set(redactor.trees)
+    got = pii.find_personal_data(df, redactor).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()
+    for form, base, spans in ((0, 1, 1), (1, 0, 1), (2, 0, 0), (3, 1, 1), (4, 0, 1), (5, 0, 0)):
+        mine = [r for r in got if r.doc_id % 6 == form]
+        assert all(r.b == base for r in mine)
+        assert sum(r.s == spans for r in mine) >= 0.98 * len(mine), form
+    text = df.where("doc_id = 1").first().text
+    assert pii.redact(df.where("doc_id = 1"), redactor).first().redacted == "write to [email] today", text
+
+
+def test_plain_forms(spark):
+    cases = [("email", "a [at] b (dot) org", True), ("email", "a@b. org", False), ("ip", "10 . 0 . 0 . 1", True), ("ip", "10.0.0.256", False), ("ip", "1:2:3:4:5:6:7:ab", True),
+             ("card", "4111/1111/1111/1111", True), ("card", "4111/1111/1111/1112", False), ("phone", "0049 30 1234 5678", True), ("phone", "12 345 678", False)]
+    df = spark.createDataFrame([(m,) for _, m, _ in cases], "m string")
+    for kind in pii.KINDS:
+        got = {r.m: r.y for r in df.select("m", pii.plausible(kind, F.col("m")).alias("y")).collect()}
+        assert all(got[m] == y for k, m, y in cases if k == kind)
+
+
 # ---- tokens
 
 
