@@ -223,3 +223,23 @@ def test_streamed_accumulation_equals_the_batch(spark, tmp_path):
     assert len(run_to_memory(spark, once, "once", tmp_path, "append")) == 3
     got = run_to_memory(spark, pipeline.accumulate_stream(stream, ["key"]), "sums", tmp_path, "complete")
     assert sorted((float(r["sum"]), r["max"], r["n"]) for r in got) == [(-1.0, 0.0, 1), (9.0, 5.0, 3)]
+
+
+def test_exact_sum_is_the_same_in_any_order(spark):
+    values = [0.1] * 10 + [1e15, -1e15, -0.3, 0.000000001, float("nan"), float("inf"), None]
+    for xs in (values, values[::-1]):
+        df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(3)
+        assert df.agg(acc.exact_sum(F.col("x"))).first()[0] == 0.700000001
+    assert spark.createDataFrame([(None,)], "x double").agg(acc.exact_sum(F.col("x"))).first()[0] is None
+
+
+def test_spread_keeps_rows_and_leaves_tables_of_many_files(spark, tmp_path):
+    rows = spark.range(100).withColumn("v", F.col("id") % 7)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    dealt = readers.spread(one, "id")
+    assert sorted(dealt.collect()) == sorted(one.collect())
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 1
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert readers.spread(many, "id") is many

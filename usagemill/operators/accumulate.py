@@ -2,7 +2,7 @@
 
 A batch groups what the pipeline folds document by document: sums of changes
 telescope to the sum of the last states (the tests hold this against an ordered
-fold). Sums are decimals, so they do not depend on order.
+fold). Sums are kept as whole numbers or decimals, so they do not depend on order.
 """
 
 from __future__ import annotations
@@ -32,6 +32,16 @@ def decimal(x: Column) -> Column:
     return x.cast("decimal(28,9)")
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum to nine decimal places, whatever the order: whole parts and billionths add up as longs. NaN and infinity are left out.
+
+    Whole parts beyond the range of a long raise an error, as ANSI arithmetic does.
+    """
+    x = F.when(F.abs(x) < float("inf"), x)
+    whole = x.cast("long")
+    return F.sum(whole).cast("double") + F.sum(F.round((x - whole) * 1e9).cast("long")).cast("double") / 1e9
+
+
 def accumulate(metered: DataFrame, keys: list[str] = schemas.KEYS, order: str = "arrival_ms") -> DataFrame:
     """Per key, metric and window: quantity, the time-based state (consuming, consumed, since_ms), and count.
 
@@ -41,14 +51,14 @@ def accumulate(metered: DataFrame, keys: list[str] = schemas.KEYS, order: str =
     w = buckets(metered)
     span = (F.col("bucket_ms") + bucket_end(F.col("dimension"), F.col("bucket_ms")) - 2 * F.col("start_ms")).cast("decimal(14,0)")
     change = (F.coalesce("consuming", F.lit(0.0)) + F.coalesce("previous_consuming", F.lit(0.0))).cast("decimal(18,6)")
+    timed = F.col("accumulate") == "time_based"
     # Start and arrival as one number: unlike a struct it can be kept in a hash aggregate.
     latest = F.when(F.col("consuming").isNotNull(), (F.col("start_ms").cast("decimal(18,0)") * F.lit(Decimal(10) ** 19) + F.col(order).cast("decimal(19,0)")).cast("decimal(38,0)"))
     grouped = w.groupBy(*keys, *WINDOW).agg(
-        F.sum(decimal(F.col("value"))).cast("double").alias("_sum"), F.max("value").alias("_max"), F.count("*").alias("n"),
-        F.sum((change * span).cast("decimal(28,6)")).cast("double").alias("_consumed"),
+        exact_sum(F.col("value")).alias("_sum"), F.max("value").alias("_max"), F.count("*").alias("n"),
+        F.sum(F.when(timed, (change * span).cast("decimal(28,6)"))).cast("double").alias("_consumed"),
         F.max_by("consuming", latest).alias("_consuming"), F.max("start_ms").alias("_since"),
     )
-    timed = F.col("accumulate") == "time_based"
     quantity = F.when(F.col("accumulate") == "max", F.greatest(F.lit(0.0), "_max")).when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).when(~timed, F.col("_sum"))
     return grouped.select(*keys, *WINDOW, "n", "_sum", quantity.alias("quantity"), F.when(timed, F.col("_consuming")).alias("consuming"), F.when(timed, F.col("_consumed")).alias("consumed"), F.when(timed, F.col("_since")).alias("since_ms"))
 
@@ -71,7 +81,7 @@ def aggregate_tree(acc: DataFrame) -> DataFrame:
     levels = [["organization_id"], ["organization_id", "space_id"], ["organization_id", "space_id", "consumer_id"]]
     pick = lambda c: F.sum(decimal(F.col(c))).cast("double").alias(c)
     tree = acc.groupingSets([[F.col(c) for c in lv + node] for lv in levels], *("organization_id", "space_id", "consumer_id", *node)).agg(
-        pick("quantity"), pick("consuming"), pick("consumed"), F.sum("n").alias("n"), F.sum("_sum").alias("_sum"),
+        exact_sum(F.col("quantity")).alias("quantity"), pick("consuming"), pick("consumed"), F.sum("n").alias("n"), exact_sum(F.when(F.col("accumulate") == "avg", F.col("_sum"))).alias("_sum"),
         F.grouping("space_id").alias("_g1"), F.grouping("consumer_id").alias("_g2"),
     )
     level = F.when(F.col("_g1") == 1, "org").when(F.col("_g2") == 1, "space").otherwise("consumer")
@@ -82,7 +92,7 @@ def aggregate_tree(acc: DataFrame) -> DataFrame:
 
 def rollup_resource(tree: DataFrame) -> DataFrame:
     """Totals of a resource over its plans; a time-based state has no number and counts 0."""
-    return tree.groupBy("level", "organization_id", "space_id", "consumer_id", "resource_id", "metric", "dimension", "bucket_ms").agg(F.coalesce(F.sum(decimal(F.col("quantity"))), F.lit(0)).cast("double").alias("quantity"))
+    return tree.groupBy("level", "organization_id", "space_id", "consumer_id", "resource_id", "metric", "dimension", "bucket_ms").agg(F.coalesce(exact_sum(F.col("quantity")), F.lit(0.0)).alias("quantity"))
 
 
 def instance_refs(usage: DataFrame) -> DataFrame:

@@ -12,6 +12,23 @@ from .. import schemas
 MAX_ERROR_RANGE = 2_629_746_000
 
 
+#: Rows that are dealt out to the cores at most, where they come from fewer files than there are cores.
+MAX_SPREAD_ROWS = 20_000_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table of few files, dealt out to all cores by a key.
+
+    One task reads a Parquet row group, however many splits its file has, so all
+    that follows without a shuffle would run on as few cores as there are row
+    groups. Tables of many files or rows have enough of them and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.limit(MAX_SPREAD_ROWS + 1).count() > MAX_SPREAD_ROWS:
+        return df
+    return df.repartition(cores, key)
+
+
 def _read(spark: SparkSession, path: str, schema: StructType, fmt: str) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators.meter import meter
 from .operators.usage import billing_ms, normalize
 from .plans.catalog import Catalog, sample_catalog
+from .sources.readers import spread
 
 DAY = 86_400_000
 GIB = 1073741824
@@ -27,7 +28,7 @@ def usage_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     customer = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = t("part").select("p_partkey", "p_type")
-    rows = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spread(t("lineitem"), "l_orderkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     measure = lambda n, q: F.struct(F.lit(n).alias("measure"), q.cast("double").alias("quantity"))
     end = ms("l_shipdate")
