@@ -316,6 +316,42 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score_toxicity(none, toxicity.fit_models(none, labels)).count() == 0
 
 
+def test_rare_toxic_words_tell(spark):
+    """A word of five toxic texts among common ones marks the text it stands in, and rows of the curve's part beyond its own are counted."""
+    base = "the cat sat on a mat and saw the dog run by old house near big lake".split()
+    filler = lambda i: " ".join(base[(i * 7 + j * (i % 5 + 1)) % len(base)] for j in range(20))
+    rows = [(i, filler(i) + (" vile thing" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(2000)]
+    keys = spark.range(3000, 3200).where(toxicity.part_of(F.col("id")) == 0).limit(5).collect()
+    rows += [(r.id, filler(r.id) + " zorgle", 1) for r in keys] + [(9001, filler(1) + " zorgle", None), (9002, filler(1) + " plain", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, toxicity.fit_models(df, df.select("doc_id", "toxic"))).collect()}
+    assert got[9001].log_ratio > got[9002].log_ratio and got[9001].score > got[9002].score
+
+
+def test_labelled_rows_beyond_the_curve_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CURVE_ROWS", 100)
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    third = toxicity.part_of(F.col("doc_id")) == 3
+    curve = labels.where(toxicity.for_curve(labels, "doc_id", "toxic"))
+    assert 50 < curve.count() < 150 and curve.where(~third).isEmpty()
+    docs = labels.withColumn("text", F.concat(F.lit("w"), F.col("doc_id").cast("string")))
+    at = toxicity.fit_models(docs, labels).evidence.pairs
+    assert spark.read.parquet(at).count() == labels.where(toxicity.part_of(F.col("doc_id")) != 2).count() - curve.count()
+
+
+def test_toxicity_by_held_counts_and_by_join(spark, tiny, odd, monkeypatch):
+    labels = spark.read.parquet(f"{TINY}/labels.parquet")
+    odd_labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(14)], "doc_id long, toxic int")
+    cases = [(tiny, labels), (odd, odd_labels)]
+    near = [[sorted(map(tuple, toxicity.score_toxicity(d, toxicity.fit_models(d, y)).collect())) for d, y in cases]]
+    monkeypatch.setattr(toxicity, "MAX_HELD", 0)
+    near.append([sorted(map(tuple, toxicity.score_toxicity(d, toxicity.fit_models(d, y)).collect())) for d, y in cases])
+    for a, b in zip(*near, strict=True):
+        assert len(a) == len(b)
+        np.testing.assert_allclose(np.array(a, float), np.array(b, float), atol=1e-6)
+    assert toxicity.drop_toxic(odd, toxicity.fit_models(odd, odd_labels)).columns == odd.columns
+
+
 # ---- near duplicates
 
 

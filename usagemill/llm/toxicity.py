@@ -1,17 +1,25 @@
-"""Toxicity by class-conditional Kneser-Ney models of word pairs.
-
-Two interpolated Kneser-Ney bigram models, of toxic and of ordinary labelled
-texts, give every text a difference of log-likelihoods per word. A word's
-continuation count in its class backs off to the continuation count in both
-classes together, so expressions that are rare in one class lean on what both
-share. A logistic curve over that difference, of the whole text and of its
-worst stretch, is fitted on held-back labelled rows and gives the score.
-
-What is counted: every word and word pair of all labelled texts of the counting
-part. What is kept: words and pairs that make up at least FLOOR of a class's
-words, or more in a small corpus (see EVIDENCE); the others are counted as one
-unknown word, or back off. A class thus has at most 1/FLOOR words and as many pairs, which
-bounds the broadcast model at any size of the corpus.
+"""Toxicity by class-conditional word pairs that back off to continuation counts.
+
+All labelled texts, toxic and ordinary, give every text a difference of
+log-likelihoods per word. As in Kneser-Ney models a pair backs off to the
+continuation counts of its word (after how many different words it stands), of
+each class. How far a class's own count is believed against what both classes
+share is the posterior probability that the classes differ at all in this word,
+or pair, given its counts in both (see ``told``): a word found once moves the
+score a little, five times in one class only much, and no count is dropped. A
+fixed discount instead, of 0.75, does not do this: as the classes differ in size,
+what it takes off their rare words differs too, and these then outweigh the
+others. A logistic curve over that difference, of the whole text and of its worst stretch, is
+fitted on held-back labelled rows and gives the score.
+
+What is counted: every word and word pair of all labelled texts but the held-out
+rows and the rows of the curve. All of them are kept, a word found once too; a
+word in none of these texts tells nothing. Words are known by 64-bit hashes, so
+two of a billion words or pairs share a count with a chance of about 3 in 100.
+Up to MAX_HELD words and pairs are read by each worker from the shared folder, by
+``pyarrow.fs``, which must know the store; more stay a table, partitioned by
+hash, that the words and pairs of each text are joined to. Both ways give the
+same scores.
 
 Semantics for odd input: null and empty texts get the curve's value at zero
 difference; texts are scored whole; repeated rows are scored alike; without
@@ -23,178 +31,335 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, fixed_words, positional, scratch_path
 
-DISCOUNT = 0.75
-#: Share of a class's words that a word or pair must make up to be kept.
-FLOOR = 4e-6
-#: Occurrences that a kept word or pair would have in the smaller class at least, if it were as frequent there:
-#: of rarer ones the classes' counts tell nothing, and they share one count.
-EVIDENCE = 6
-#: Labelled rows that the logistic curve is fitted on, at most.
+#: Share of the words, and of the pairs, that the classes are expected to differ in.
+DIFFERENT_WORDS, DIFFERENT_PAIRS = 0.01, 0.001
+#: How many occurrences a context's share of the toxic class is smoothed by.
+CONTEXT = 10
+#: Labelled rows that the logistic curve is fitted on, about, at most; the others of their part are counted.
 MAX_CURVE_ROWS = 20_000
+#: Words and pairs that a worker holds at most (10 bytes a pair, 24 a word); if there are more, texts are joined to them.
+MAX_HELD = 16_000_000
 #: Labels are broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 MAX_BROADCAST_LABELS = 4_000_000
 #: Words in the stretch whose difference is taken as the worst.
 STRETCH = 25
-_PAIR = 1 << 31
+_U = np.uint64
+#: What stands before the first word of a text; no word is empty.
+_START = np.int64(0)
+#: Counts from here on are held apart.
+_MANY = 255
+_COUNTED = ["c0", "c1", "t0", "t1"]
 
 
 def part_of(key: Column) -> Column:
-    """0 and 1: counting; 3: the curve; 2: held out."""
+    """0 and 1: counting; 3: the curve, and counting beyond its rows; 2: held out."""
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-@dataclass
-class Model:
-    """Word numbers, and per class the log-probabilities; number 0 is any other word."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(_mix(before.view(_U)) * _U(31) + word.view(_U)).view(np.int64)
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and of the words before them; where each text's words end."""
+    lists = [fixed_words(t) for t in texts]
+    ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+    flat = np.array([w for x in lists for w in x] + [b""], object)[:-1]
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), ends
+    codes, distinct = pd.factorize(flat)
+    word = pd.util.hash_array(distinct, categorize=False).view(np.int64)[codes]
+    before = np.concatenate(([_START], word[:-1]))
+    starts = np.concatenate(([0], ends[:-1]))
+    before[starts[starts < len(word)]] = _START
+    return word, before, ends
 
-    words: dict[bytes, int]
-    unigram: np.ndarray  # class x word: log of the continuation probability
-    backoff: np.ndarray  # class x word: log of what a context leaves to the continuation probability
-    pairs: np.ndarray  # sorted: first word x _PAIR + second word
-    pair: np.ndarray  # class x pair: log-probability
-    curve: np.ndarray  # intercept and a weight for each feature
-    range: np.ndarray  # lowest and highest value of each feature that the curve tells apart
 
-    def differences(self, words: list[bytes]) -> np.ndarray:
-        """Toxic minus ordinary log-probability of every word."""
-        ids = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
-        before = np.concatenate(([0], ids[:-1]))
-        out = (self.unigram[1] - self.unigram[0])[ids] + (self.backoff[1] - self.backoff[0])[before]
-        if len(self.pairs):
-            key = before * _PAIR + ids
-            at = np.searchsorted(self.pairs, key)
-            at[at == len(self.pairs)] = 0
-            found = self.pairs[at] == key
-            out[found] = (self.pair[1] - self.pair[0])[at[found]]
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, four steps further on."""
+    z = x + 4.0
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) - np.log(x * (x + 1) * (x + 2) * (x + 3))
+
+
+def told(n0: np.ndarray, n1: np.ndarray, odds: np.ndarray, different: float) -> np.ndarray:
+    """What counts of both classes add to the log-odds expected of them.
+
+    Either the classes do not differ, and the counts fall to the toxic one by these odds, or they do, by any share
+    (Beta(1/2, 1/2)). The log-odds of the counts, smoothed by one occurrence as expected, count by the second's probability.
+    """
+    share1, share0 = 1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))
+    factor = _log_gamma(n1 + 0.5) + _log_gamma(n0 + 0.5) - _log_gamma(n0 + n1 + 1) - np.log(np.pi) - n1 * np.log(share1) - n0 * np.log(share0)
+    return (np.log((n1 + share1) / (n0 + share0)) - odds) / (1 + np.exp(-np.clip(factor + np.log(different / (1 - different)), -500, 500)))
+
+
+@dataclass
+class Evidence:
+    """By hash, sorted: what words tell, the log-odds of the contexts they are, and counts of pairs; the last of each is for what is in no labelled text."""
+
+    words: np.ndarray
+    word: np.ndarray
+    odds: np.ndarray
+    pairs: np.ndarray
+    n: np.ndarray  # pair x class
+    base: float  # log-odds of all continuation counts
+    many: np.ndarray  # pairs of which n has _MANY for a class, and their counts
+    many_n: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, counted: np.ndarray, pairs: np.ndarray, n: np.ndarray, base: float) -> Evidence:
+        """From counts of words (continuation and as a context, of both classes each) and of pairs."""
+        by_word, by_pair = np.argsort(words), np.argsort(pairs.view(_U))
+        c0, c1, t0, t1 = np.vstack([counted[by_word], np.zeros((1, 4))]).astype(float).T
+        odds = np.log((t1 + CONTEXT / (1 + np.exp(-base))) / (t0 + CONTEXT / (1 + np.exp(base))))
+        return cls(words[by_word], told(c0, c1, np.float64(base), DIFFERENT_WORDS), odds, pairs[by_pair].view(_U), np.vstack([n[by_pair], np.zeros((1, 2))]).astype(float), base, np.zeros(0, _U), np.zeros((0, 2)))
+
+    def differences(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-probability of every word after the one before it."""
+        out = self.word[_place(self.words, word)]
+        key = _pair_key(before, word).view(_U)
+        at = _place(self.pairs, key)
+        known = np.flatnonzero(at >= 0)
+        n = self.n[at[known]].astype(float)
+        among = _place(self.many, key[known])
+        n[among >= 0] = self.many_n[among[among >= 0]]
+        n0, n1 = n.T
+        out[known] += told(n0, n1, self.odds[_place(self.words, before[known])] + out[known], DIFFERENT_PAIRS)
         return out
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         x = np.zeros((len(texts), 3))
-        for i, t in enumerate(texts):
-            if words := fixed_words(t):
-                d = self.differences(words)
+        word, before, ends = _hashed(texts)
+        differences, start = self.differences(word, before), 0
+        for i, end in enumerate(ends):
+            if end > start:
+                d = differences[start:end]
                 run = np.concatenate(([0.0], np.cumsum(d)))
                 k = min(STRETCH, len(d))
                 x[i] = d.mean(), d.sum() / np.sqrt(len(d)), (run[k:] - run[:-k]).max() / STRETCH
+            start = end
         return x
 
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted keys are, -1 for none."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    distinct, back = np.unique(wanted, return_inverse=True)
+    at = np.searchsorted(keys, distinct)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == distinct, at, -1)[back]
+
+
+_NOTHING = Evidence.of(np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0, np.int64), np.zeros((0, 2)), 0.0)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Where the counts of words (k and four) and pairs (v, w and two) are."""
+
+    words: str
+    pairs: str
+    base: float
+
+
+@lru_cache(maxsize=1)
+def _read(at: Stored) -> Evidence:
+    """The counts, once for each worker."""
+
+    def files(path: str) -> ds.Dataset:
+        system, path = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        return ds.dataset(path, format="parquet", filesystem=system)
+
+    def column(b: pa.RecordBatch, name: str) -> np.ndarray:
+        return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+    words, pairs = files(at.words).to_table(), files(at.pairs)
+    held = Evidence.of(words["k"].to_numpy(), np.column_stack([words[c].to_numpy() for c in _COUNTED]), np.zeros(0, np.int64), np.zeros((0, 2)), at.base)
+    del words
+
+    def keys(b: pa.RecordBatch) -> np.ndarray:
+        return _pair_key(column(b, "v"), column(b, "w")).view(_U)
+
+    # Sorted in place by leading bits, so that no second copy is held.
+    slow = {"use_threads": False, "batch_readahead": 1, "fragment_readahead": 1}
+    sizes = np.zeros(257, np.int64)
+    for b in pairs.to_batches(columns=["v", "w"], **slow):
+        sizes[1:] += np.bincount((keys(b) >> _U(56)).astype(np.int64), minlength=256)
+    ends = np.cumsum(sizes)
+    k, n, many, free = np.empty(ends[-1], _U), np.zeros((ends[-1] + 1, 2), np.uint8), [(np.zeros(0, _U), np.zeros((0, 2)))], ends.copy()
+    for b in pairs.to_batches(**slow):
+        key, counts = keys(b), np.column_stack([column(b, "n0"), column(b, "n1")])
+        order = np.argsort(key)
+        key, counts = key[order], counts[order]
+        large = (counts >= _MANY).any(axis=1)
+        many.append((key[large], counts[large]))
+        cuts = np.searchsorted(key, np.arange(257, dtype=_U)[:-1] << _U(56)).tolist() + [len(key)]
+        for g in range(256):
+            to = free[g] + cuts[g + 1] - cuts[g]
+            k[free[g] : to], n[free[g] : to] = key[cuts[g] : cuts[g + 1]], np.minimum(counts[cuts[g] : cuts[g + 1]], _MANY)
+            free[g] = to
+    for g in range(256):
+        part = slice(ends[g], ends[g + 1])
+        order = np.argsort(k[part])
+        k[part], n[part] = k[part][order], n[part][order]
+    large = np.concatenate([x for x, _ in many])
+    order = np.argsort(large)
+    held.pairs, held.n, held.many, held.many_n = k, n, large[order], np.concatenate([x for _, x in many])[order].astype(float)
+    pa.default_memory_pool().release_unused()
+    return held
+
+
+@dataclass
+class Model:
+    """Counts: none, where they are stored, or as a table of words (k and four counts) and pairs (k and two); the curve over the features."""
+
+    evidence: Evidence | Stored | DataFrame
+    curve: np.ndarray  # intercept and a weight for each feature
+    range: np.ndarray  # lowest and highest value of each feature that the curve tells apart
+    base: float = 0.0  # log-odds of all continuation counts
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + np.clip(x, *self.range) @ self.curve[1:], -30, 30)))
 
 
-def _labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, parts: list[int]) -> DataFrame:
-    """Texts with their label (y), of the parts asked for. A key with several labels takes the largest."""
-    known = labels.where(F.col(label).isNotNull() & part_of(F.col(key)).isin(parts)).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
+def _labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, chosen: Column) -> DataFrame:
+    """Texts with their label (y), of the labelled keys asked for. A key with several labels takes the largest."""
+    known = labels.where(F.col(label).isNotNull() & chosen).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     send = F.broadcast if labels.count() <= MAX_BROADCAST_LABELS else lambda df: df
     return documents.select(key, F.col(text).alias("text")).join(send(known), key).select("text", "y")
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (w) after others (v) per chunk; each text starts after nothing."""
     for batch in batches:
         for part, texts in chunks(batch):
-            y = part.column(part.schema.get_field_index("y")).to_pylist()
-            by_class = [[w for t, c in zip(texts, y, strict=True) if (c == 1) == bool(k) for w in fixed_words(t)] for k in (0, 1)]
-            codes, words = pd.factorize(np.array(by_class[0] + by_class[1] + [b""], object)[:-1]) if by_class[0] or by_class[1] else (np.zeros(0, np.int64), np.zeros(0, object))
-            cut = len(by_class[0])
-            n = [np.bincount(c, minlength=len(words)) for c in (codes[:cut], codes[cut:])]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], names=["w", "n0", "n1"])
+            toxic = np.array([c == 1 for c in part.column(part.schema.get_field_index("y")).to_pylist()], bool)
+            word, before, ends = _hashed(texts)
+            of = np.repeat(toxic, np.diff(ends, prepend=0))
+            key, at, back = np.unique(_pair_key(before, word), return_index=True, return_inverse=True)
+            n1 = np.bincount(back[of], minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at]), pa.array(np.bincount(back, minlength=len(key)) - n1), pa.array(n1)], names=["v", "w", "n0", "n1"])
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs per chunk; each text starts after an unknown word."""
-    for batch in batches:
-        for part, texts in chunks(batch):
-            y = part.column(part.schema.get_field_index("y")).to_pylist()
-            keys = [[], []]
-            for t, c in zip(texts, y, strict=True):
-                words = fixed_words(t)
-                ids = np.fromiter((numbers.get(w, 0) for w in words), np.int64, len(words))
-                keys[c == 1].append(np.concatenate(([0], ids[:-1]))[: len(ids)] * _PAIR + ids)
-            for c in (0, 1):
-                key, n = np.unique(np.concatenate(keys[c] or [np.zeros(0, np.int64)]), return_counts=True)
-                zero = pa.array(np.zeros(len(n), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *((zero, pa.array(n)) if c else (pa.array(n), zero))], names=["k", "n0", "n1"])
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        v, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_key(v, w)), b.column(2).cast(pa.float32(), safe=False), b.column(3).cast(pa.float32(), safe=False)], names=["k", "n0", "n1"])
+
+
+def for_curve(labels: DataFrame, key: str, label: str) -> Column:
+    """Whether a key is one of the curve's: its part's rows, by their hash about MAX_CURVE_ROWS of them where there are more."""
+    third = part_of(F.col(key)) == 3
+    share = max(1, -(-labels.where(F.col(label).isNotNull() & third).count() // MAX_CURVE_ROWS))
+    return third & (F.pmod(F.xxhash64(key), F.lit(share)) == 0)
 
 
 def fit_models(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Counts and fits everything from the labelled rows that are not held out."""
     spark = documents.sparkSession
-    empty = Model({}, np.zeros((2, 1)), np.zeros((2, 1)), np.zeros(0, np.int64), np.zeros((2, 0)), np.array([-30.0, 0, 0, 0]), np.array([[-np.inf] * 3, [np.inf] * 3]))
-    rows = _labelled(documents, labels, key, text, label, [0, 1])
-    words = rows.mapInArrow(_word_counts, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    words = words.where("n0 + n1 > 1")  # a word found once is never kept
-    path = _table(spark, words, "words")
-    total = path.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
-    if not total["n0"] or not total["n1"]:
-        share = labels.where(F.col(label).isNotNull() & part_of(F.col(key)).isin([0, 1, 3])).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    empty = Model(_NOTHING, np.array([-30.0, 0, 0, 0]), np.array([[-np.inf] * 3, [np.inf] * 3]))
+    curve = for_curve(labels, key, label)
+    rows = _labelled(documents, labels, key, text, label, (part_of(F.col(key)) != 2) & ~curve)
+    pairs, pairs_at = _table(spark, rows.mapInArrow(_pair_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    # Continuation counts by second word, and totals by first word.
+    second = pairs.groupBy("w").agg(*(F.count_if(F.col(f"n{i}") > 0).alias(f"c{i}") for i in (0, 1)))
+    first = pairs.groupBy(F.col("v").alias("w")).agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in (0, 1)))
+    words, words_at = _table(spark, second.join(first, "w", "full").na.fill(0).select(F.col("w").alias("k"), *(F.col(n).cast("float") for n in _COUNTED)), "words")
+    total = words.agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in ("c0", "c1")), F.count("*").alias("words")).first()
+    if not total["c0"] or not total["c1"]:
+        share = labels.where(F.col(label).isNotNull() & (part_of(F.col(key)) != 2)).agg(F.avg(F.col(label).cast("double"))).first()[0]
         if share is not None:
             share = min(max(share, 1e-12), 1 - 1e-12)
             empty.curve[0] = np.log(share / (1 - share))
         return empty
-    floor = max(FLOOR, EVIDENCE / min(total["n0"], total["n1"]))
-    least = [max(2, int(np.ceil(floor * total[n]))) for n in ("n0", "n1")]
-    kept = path.where((F.col("n0") >= least[0]) | (F.col("n1") >= least[1])).toArrow()
-    numbers = {w: i + 1 for i, w in enumerate(sorted(kept.column("w").to_pylist()))}
-    size = len(numbers) + 1
-    shared = spark.sparkContext.broadcast(numbers)
-    pairs = _table(spark, rows.mapInArrow(lambda b: _pair_counts(b, shared.value), "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
-    # Continuation counts by second word, and totals by first word: at most one row for a word.
-    second = pairs.groupBy(F.col("k").bitwiseAND(_PAIR - 1).alias("w")).agg(F.count_if(F.col("n0") > 0).alias("c0"), F.count_if(F.col("n1") > 0).alias("c1"), F.count("*").alias("c")).toPandas()
-    first = pairs.groupBy(F.shiftright("k", 31).alias("w")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).toPandas()
-    both = pairs.where((F.col("n0") >= least[0]) | (F.col("n1") >= least[1])).toPandas().sort_values("k", ignore_index=True)
-
-    def dense(df: pd.DataFrame, column: str) -> np.ndarray:
-        out = np.zeros(size)
-        out[df["w"]] = df[column]
-        return out
-
-    common = (dense(second, "c") + 1) / (second["c"].sum() + size)
-    unigram, backoff, pair = np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, len(both)))
-    keys = both["k"].to_numpy()
-    v, w = keys >> 31, keys & (_PAIR - 1)
-    for c in (0, 1):
-        n = dense(second, f"c{c}")
-        own = np.maximum(n - DISCOUNT, 0) / n.sum()
-        unigram[c] = np.log(own + (1 - own.sum()) * common)
-        t = dense(first, f"t{c}")
-        seen = np.maximum(both[f"n{c}"].to_numpy() - DISCOUNT, 0) / np.maximum(t[v], 1)
-        left = np.maximum(1 - np.bincount(v, seen, size), 1e-9)  # all that a context's kept pairs do not take
-        backoff[c] = np.log(left)
-        pair[c] = np.log(seen + left[v] * np.exp(unigram[c][w]))
-    model = Model(numbers, unigram, backoff, keys, pair, empty.curve, empty.range)
-    unigram[:, 0] = backoff[:, 0] = 0  # of words that share one count, the classes tell nothing
-    model.curve, model.range = _fit_curve(model, documents, labels, key, text, label)
+    base = float(np.log(total["c1"] / total["c0"]))
+    if total["words"] + pairs.count() <= MAX_HELD:
+        evidence = Stored(words_at, pairs_at, base)
+    else:
+        none = F.lit(None).cast("float")
+        keyed = pairs.mapInArrow(_keyed, "k long, n0 float, n1 float")
+        evidence = words.unionByName(keyed.select("k", F.col("n0").alias("c0"), F.col("n1").alias("c1"), *(none.alias(n) for n in _COUNTED[2:])))
+    model = Model(evidence, empty.curve, empty.range, base)
+    model.curve, model.range = _fit_curve(model, documents, labels, key, text, label, curve)
     return model
 
 
-def _table(spark, df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: counted once, and safe from lost executors."""
+def _table(spark, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table written to the shared folder and read again, and its place: counted once, and safe from lost executors."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
-def _fit_curve(model: Model, documents: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a logistic regression, by Newton's method, on at most MAX_CURVE_ROWS labelled rows that were not counted."""
-    chosen = labels.where(F.col(label).isNotNull() & (part_of(F.col(key)) == 3)).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64(key), key).limit(MAX_CURVE_ROWS)
-    rows = documents.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).dropDuplicates([key])
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words and pairs of each text."""
+    for batch in batches:
+        for part, texts in chunks(batch, "_t"):
+            word, before, ends = _hashed(texts)
+            pair, ids, start = _pair_key(before, word), part.column(part.schema.get_field_index("_r")).to_pylist(), 0
+            for r, end in zip(ids, ends, strict=True):
+                k = np.unique(np.concatenate((word[start:end], before[start : min(start + 1, end)], pair[start:end])))
+                start = end
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k)], names=["r", "k"])
+
+
+def _with_features(rows: DataFrame, model: Model, text: str, made: str, make) -> DataFrame:
+    """``make(part, features)`` for all rows, by the counts a worker holds or by a join of every text's words and pairs to the table of counts."""
+    at = model.evidence
+    if not isinstance(at, DataFrame):
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            evidence = at if isinstance(at, Evidence) else _read(at)
+            for batch in batches:
+                for part, texts in chunks(batch, text):
+                    yield make(part, evidence.features(texts))
+
+        return rows.mapInArrow(read, made)
+
+    base = model.base
+    # Equal texts want the same, so they are known by their hash; should two others share it, each finds its own among what both want.
+    r = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    wanted = rows.select(r.alias("_r"), F.col(text).alias("_t")).mapInArrow(_wanted, "r long, k long")
+    found = wanted.join(model.evidence.hint("shuffle_hash"), "k").groupBy(F.col("r").alias("_r")).agg(F.collect_set(F.struct("k", *_COUNTED)).alias("_found"))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch):
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("y")).cast(pa.float64()), pa.array(shared.value.features(texts).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+            got = batch.column(batch.schema.get_field_index("_found"))
+            for i in range(batch.num_rows):
+                f = got.slice(i, 1).flatten()
+                k, values = f.field(0).to_numpy(zero_copy_only=False), np.column_stack([f.field(j).to_numpy(zero_copy_only=False) for j in range(1, 5)])
+                pair = np.isnan(values[:, 2].astype(float))
+                evidence = Evidence.of(k[~pair], values[~pair], k[pair], values[pair, :2], base)
+                for part, texts in chunks(batch.slice(i, 1), text):
+                    yield make(part, evidence.features(texts))
+
+    return rows.withColumn("_r", r).join(found, "_r", "left").mapInArrow(judge, made)
 
-    got = rows.mapInArrow(read, "y double, x array<double>").toArrow()
+
+def _fit_curve(model: Model, documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, curve: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a logistic regression, by Newton's method, on about MAX_CURVE_ROWS labelled rows at most that were not counted."""
+    chosen = labels.where(F.col(label).isNotNull() & curve).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = documents.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).dropDuplicates([key])
+    make = lambda part, x: pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("y")).cast(pa.float64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+    got = _with_features(rows, model, "text", "y double, x array<double>", make).toArrow()
     y = got.column("y").to_numpy() if got.num_rows else np.zeros(0)
     if len(y) < 20 or y.min() == y.max():
         return np.array([-1.5, 4.0, 0.0, 4.0]), model.range
@@ -216,19 +381,15 @@ def _fit_curve(model: Model, documents: DataFrame, labels: DataFrame, key: str,
 
 def score_toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Per row: key, ``keep`` (and the text if asked for), log_ratio (per word), score and predicted."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(key, text, *keep)
     kept = [key, *keep, *([text] if keep_text else [])]
+    curve = Model(_NOTHING, model.curve, model.range)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part, texts in chunks(batch, text):
-                x = m.features(texts)
-                s = m.scores(x)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in kept), pa.array(x[:, 0]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "log_ratio", "score", "predicted"])
+    def judged(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        s = curve.scores(x)
+        return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in kept), pa.array(x[:, 0]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "log_ratio", "score", "predicted"])
 
-    return rows.mapInArrow(judge, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "log_ratio double, score double, predicted int"]))
+    return _with_features(rows, model, text, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "log_ratio double, score double, predicted int"]), judged)
 
 
 def drop_toxic(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
