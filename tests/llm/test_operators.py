@@ -175,6 +175,20 @@ def test_trees_add_spelled_out_addresses_and_bare_numbers(spark):
     assert pii.redact(df.where("doc_id = 1"), redactor).first().redacted == "write to [email] today", text
 
 
+def test_rare_kinds_are_calibrated(spark, monkeypatch):
+    """90 cards among 5,000 phone numbers have their own share of the candidates."""
+    monkeypatch.setattr(pii, "MAX_CANDIDATES", 300)
+    rows = [(i, f"call {("+1 509", "50")[i % 2]} 555 {1000 + i} now") for i in range(5000)] + [(10_000 + i, "pay 4111/1111/1111/1111 by card") for i in range(90)]
+    redactor = pii.fit_redactor(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert "card" in redactor.trees
+
+
+def test_overlaps_are_chosen_again_among_the_rest(spark):
+    """The last touches only one that was not kept itself."""
+    df = spark.sql("SELECT array(named_struct('score', 1D, 'span', named_struct('s', 16, 'k', 3, 'e', 30, 'kind', 'phone')), named_struct('score', 3D, 'span', named_struct('s', 0, 'k', 3, 'e', 10, 'kind', 'phone')), named_struct('score', 2D, 'span', named_struct('s', 8, 'k', 2, 'e', 20, 'kind', 'card'))) AS a")
+    assert [(c.s, c.e) for c in df.select(pii.best_of(F.col("a")).alias("b")).first().b] == [(0, 10), (16, 30)]
+
+
 def test_plain_forms(spark):
     cases = [("email", "a [at] b (dot) org", True), ("email", "a@b. org", False), ("ip", "10 . 0 . 0 . 1", True), ("ip", "10.0.0.256", False), ("ip", "1:2:3:4:5:6:7:ab", True),
              ("card", "4111/1111/1111/1111", True), ("card", "4111/1111/1111/1112", False), ("phone", "0049 30 1234 5678", True), ("phone", "12 345 678", False)]

@@ -13,7 +13,8 @@ candidates are right often enough.
 
 The base spans (strict rules, see ``base_spans``) always stay. A candidate that
 overlaps no base span is added if its score reaches the threshold of its kind;
-of overlapping ones the best scored stays.
+of overlapping ones the best scored stays, and then the best of those that no
+kept one overlaps, and so on.
 
 Semantics for odd input: a null text is empty and has no spans; texts are
 scanned whole; repeated rows are judged alike; with too few candidates of a
@@ -26,14 +27,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, fit
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the trees are fitted on, at most, and rows that these are taken from, about.
-MAX_CANDIDATES, SAMPLE_ROWS = 8_000, 20_000
+#: Candidates of a kind that the trees are fitted on, at most, taken from all rows by their hash.
+MAX_CANDIDATES = 8_000
 #: Share of held-back candidates at or above a threshold that must be right, and how many of a kind must be held back.
 PRECISION, LEAST_HELD_BACK = 0.97, 20
 CONTEXT = 24
@@ -168,22 +169,25 @@ class Redactor:
 
 
 def fit_redactor(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Redactor:
-    """Fits on at most MAX_CANDIDATES candidates a kind, from about SAMPLE_ROWS rows chosen by the hash of their key.
+    """Fits on at most MAX_CANDIDATES candidates of each kind, chosen from all rows by their hash.
 
     Two thirds of the candidates fit the trees that all kinds share, and a third calibrates the threshold of each.
     """
-    total = documents.count()
-    share = max(1, round(total / SAMPLE_ROWS))
-    sample = _located(documents.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0), key, text, True)
+    sample = _located(documents, key, text, True)
     both = {kind: F.array_union(f"b_{kind}", f"c_{kind}") for kind in KINDS}
     others = {kind: F.concat(*(F.col(f"b_{k}") for k in KINDS if k != kind)) for kind in KINDS}
     right = lambda k, c: plausible(k, c["m"]) & ~_touches(others[k], c)
-    candidate = lambda k, c: F.struct(F.lit(k).alias("kind"), F.array(*_features(k, c, F.col("text"))).alias("x"), right(k, c).cast("int").alias("y"), F.xxhash64(F.col("key"), c["s"], c["e"]).alias("h"))
-    named = [F.transform(both[k], _bound(candidate, k)) for k in KINDS]
-    got = sample.select(F.explode(F.concat(*named)).alias("c")).select("c.*").orderBy("h", "kind").limit(MAX_CANDIDATES * len(KINDS)).collect()
+    hashed = lambda c: F.xxhash64(F.col("key"), c["s"], c["e"], c["m"])
+    totals = sample.agg(*(F.sum(F.size(both[k])).alias(k) for k in KINDS)).first()
+    # Somewhat more than are taken, so that the window sees a bounded number of each kind.
+    share = {k: int(min(1.0, 1.25 * MAX_CANDIDATES / max(totals[k] or 0, 1)) * (1 << 40)) for k in KINDS}
+    candidate = lambda k, c: F.struct(F.lit(k).alias("kind"), F.array(*_features(k, c, F.col("text"))).alias("x"), right(k, c).cast("int").alias("y"), hashed(c).alias("h"))
+    few = {k: F.filter(both[k], _bound(lambda n, c: F.pmod(hashed(c), F.lit(1 << 40)) < n, share[k])) for k in KINDS}
+    named = [F.transform(few[k], _bound(candidate, k)) for k in KINDS]
+    got = sample.select(F.explode(F.concat(*named)).alias("c")).select("c.*", F.row_number().over(Window.partitionBy("c.kind").orderBy(F.pmod("c.h", F.lit(1 << 40)), "c.h")).alias("n")).where(F.col("n") <= MAX_CANDIDATES).orderBy("kind", "n").collect()
     out, rows, held = Redactor({}, {}), [], []
     for kind in KINDS:
-        mine = [r for r in got if r["kind"] == kind][:MAX_CANDIDATES]
+        mine = [r for r in got if r["kind"] == kind]
         rows += mine
         held += [i % 3 == 2 for i in range(len(mine))]
     kept = np.array(held, bool)
@@ -205,6 +209,13 @@ def fit_redactor(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return out
 
 
+def best_of(scored: Column) -> Column:
+    """Spans of (score, span), best first, that touch none kept before."""
+    ranked = F.sort_array(F.transform(scored, lambda c: F.struct(c["score"].alias("score"), (-c["span"]["s"]).alias("s"), (-c["span"]["k"]).alias("k"), (-c["span"]["e"]).alias("e"), c["span"].alias("span"))), asc=False)
+    spans = F.transform(ranked, lambda c: c["span"])
+    return F.aggregate(spans, F.filter(spans, lambda c: F.lit(False)), lambda kept, c: F.when(_touches(kept, c), kept).otherwise(F.array_append(kept, c)))
+
+
 def find_personal_data(documents: DataFrame, redactor: Redactor, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: key, base and spans, arrays of (s, k, e, kind) in order; k is the kind's place in KINDS."""
     rows = _located(documents, key, text, bool(redactor.trees))
@@ -220,9 +231,7 @@ def find_personal_data(documents: DataFrame, redactor: Redactor, key: str = "doc
         added.append(F.filter(scored, _bound(lambda least, c: c["score"] >= least, redactor.thresholds[kind])))
     if added:
         rows = rows.withColumn("_more", F.concat(*added) if len(added) > 1 else added[0])
-        beats = lambda o, c: (o["span"]["s"] < c["span"]["e"]) & (c["span"]["s"] < o["span"]["e"]) & (F.struct(o["score"], -o["span"]["s"], -o["span"]["k"], -o["span"]["e"]) > F.struct(c["score"], -c["span"]["s"], -c["span"]["k"], -c["span"]["e"]))
-        best = F.filter("_more", lambda c: ~F.exists("_more", lambda o: beats(o, c)))
-        rows = rows.withColumn("spans", F.array_sort(F.concat("base", F.transform(best, lambda c: c["span"]))))
+        rows = rows.withColumn("spans", F.array_sort(F.concat("base", best_of(F.col("_more")))))
     else:
         rows = rows.withColumn("spans", F.col("base"))
     return rows.select(F.col("key").alias(key), "base", "spans", *([F.col("text").alias("_text")] if keep_text else []))
