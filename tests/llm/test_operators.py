@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -349,7 +350,7 @@ def test_labelled_rows_beyond_the_curve_are_counted(spark, monkeypatch):
     curve = labels.where(toxicity.for_curve(labels, "doc_id", "toxic"))
     assert 50 < curve.count() < 150 and curve.where(~third).isEmpty()
     docs = labels.withColumn("text", F.concat(F.lit("w"), F.col("doc_id").cast("string")))
-    at = toxicity.fit_models(docs, labels).evidence.pairs
+    at = toxicity.fit_models(docs, labels).evidence
     assert spark.read.parquet(at).count() == labels.where(toxicity.part_of(F.col("doc_id")) != 2).count() - curve.count()
 
 
@@ -358,6 +359,7 @@ def test_toxicity_by_held_counts_and_by_join(spark, tiny, odd, monkeypatch):
     odd_labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(14)], "doc_id long, toxic int")
     cases = [(tiny, labels), (odd, odd_labels)]
     near = [[sorted(map(tuple, toxicity.score_toxicity(d, toxicity.fit_models(d, y)).collect())) for d, y in cases]]
+    assert isinstance(toxicity.fit_models(tiny, labels).evidence, str)
     monkeypatch.setattr(toxicity, "MAX_HELD", 0)
     near.append([sorted(map(tuple, toxicity.score_toxicity(d, toxicity.fit_models(d, y)).collect())) for d, y in cases])
     for a, b in zip(*near, strict=True):
@@ -366,6 +368,62 @@ def test_toxicity_by_held_counts_and_by_join(spark, tiny, odd, monkeypatch):
     assert toxicity.drop_toxic(odd, toxicity.fit_models(odd, odd_labels)).columns == odd.columns
 
 
+def log_ratios(counted, texts, pairs=True):
+    """The two models from their definition, one expression at a time."""
+    def expected_apart(n0, n1, share, prior):
+        same = n1 * math.log(share) + n0 * math.log(1 - share)
+        apart = math.lgamma(n1 + 0.5) + math.lgamma(n0 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+        return 1 / (1 + (1 - prior) / prior * math.exp(min(same - apart, 700)))
+
+    n = [collections.Counter(), collections.Counter()]
+    for t, y in counted:
+        w = words(t)
+        n[y].update(zip([None, *w], w))
+    context, follows = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for (v, w), k in n[c].items():
+            context[c][v] += k
+            follows[c][w] += 1
+    vocabulary = set(follows[0]) | set(follows[1])
+    total = [sum(f.values()) for f in follows]
+    base = total[1] / sum(total)
+    stays = {w: expected_apart(follows[0][w], follows[1][w], base, toxicity.DIFFERENT_WORDS) for w in vocabulary}
+    rest = {w: max((1 - stays[w]) * (follows[0][w] + follows[1][w]), 0.5) for w in vocabulary}
+    kept = [sum(stays[w] * follows[c][w] for w in vocabulary) for c in (0, 1)]
+    p = [{w: (stays[w] * follows[c][w] + (total[c] - kept[c]) * rest[w] / sum(rest.values())) / total[c] for w in vocabulary} for c in (0, 1)]
+    assert all(abs(sum(q.values()) - 1) < 1e-9 for q in p)
+    after = [{}, {}]
+    for v, w in set(n[0]) | set(n[1]):
+        odds = (context[1][v] + toxicity.CONTEXT * base) / (context[0][v] + toxicity.CONTEXT * (1 - base)) * p[1][w] / p[0][w]
+        if pairs and expected_apart(n[0][v, w], n[1][v, w], odds / (1 + odds), toxicity.DIFFERENT_PAIRS) >= 0.5:
+            for c in (0, 1):
+                after[c][v, w] = n[c][v, w] / context[c][v] if context[c][v] else 0.0
+    assert not pairs or after[0]
+    left = [{v: max(1 - sum(x for (a, _), x in after[c].items() if a == v), 0.5 / context[c][v] if context[c][v] else 0.0) for v in {a for a, _ in after[c]}} for c in (0, 1)]
+    unknown = math.log((1 - kept[1] / total[1]) / (1 - kept[0] / total[0]))
+    out = []
+    for t in texts:
+        w = words(t)
+        d = [math.log((after[1].get((v, x), 0) + left[1].get(v, 1) * p[1][x]) / (after[0].get((v, x), 0) + left[0].get(v, 1) * p[0][x])) if x in vocabulary else unknown + math.log(left[1].get(v, 1) / left[0].get(v, 1)) for v, x in zip([None, *w], w)]
+        out.append(sum(d) / len(d) if d else 0.0)
+    return out
+
+
+def test_log_ratios_are_those_of_the_models(spark, tiny, odd):
+    """Pairs that tell the classes apart while their words do not, among the smallest table's texts and odd ones."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{TINY}/labels.parquet").collect() if r.toxic is not None}
+    rows = [(i, t, labels.get(i)) for i, t in rows_of(tiny)] + [(10_000 + i, t, None) for i, t in rows_of(odd)]
+    rng = random.Random(6)
+    for i in range(800):
+        a, b = ("red", "green") if i % 2 else ("green", "red")
+        rows.append((20_000 + i, " ".join(f"{a} fox {rng.choice('stuv')} {b} owl" if i % 2 else f"{b} owl {rng.choice('stuv')} {a} fox" for _ in range(3)), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    got = {r.doc_id: r.log_ratio for r in toxicity.score_toxicity(df, toxicity.fit_models(df, df.select("doc_id", "toxic"))).collect()}
+    counted = [(t, y) for i, t, y in rows if y is not None and zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    want = log_ratios(counted, [t for _, t, _ in rows])
+    np.testing.assert_allclose([got[i] for i, _, _ in rows], want, atol=1e-6)  # the logarithm of gamma is a series
+
+
 # ---- near duplicates
 
 

@@ -1,30 +1,43 @@
-"""Toxicity by class-conditional word pairs that back off to continuation counts.
-
-All labelled texts, toxic and ordinary, give every text a difference of
-log-likelihoods per word. As in Kneser-Ney models a pair backs off to the
-continuation counts of its word (after how many different words it stands), of
-each class. How far a class's own count is believed against what both classes
-share is the posterior probability that the classes differ at all in this word,
-or pair, given its counts in both (see ``told``): a word found once moves the
-score a little, five times in one class only much, and no count is dropped. A
-fixed discount instead, of 0.75, does not do this: as the classes differ in size,
-what it takes off their rare words differs too, and these then outweigh the
-others. A logistic curve over that difference, of the whole text and of its worst stretch, is
-fitted on held-back labelled rows and gives the score.
+"""Toxicity by class-conditional Kneser-Ney models over word pairs, with shared backoff counts.
+
+Each class c, toxic and ordinary, has a model
+
+    P_c(w | v) = kept_c(v, w) / n_c(v) + left_c(v) P_c(w)
+    P_c(w)     = (kept_c(w) + (N_c - K_c) shared(w)) / N_c
+
+n_c(v, w) counts the pair in the class's texts and n_c(v) the word as a context.
+As in Kneser-Ney models a lower order counts continuations: n_c(w) is after how
+many different words w stands, N_c their sum. What a discount takes off the
+counts goes to the lower order: left_c(v) is one less what is kept after v, K_c
+the sum of kept_c(w), and shared(w), which both classes back off to, is in
+proportion to what was discounted of w in both together, half an occurrence at
+least. The discount falls with the evidence that the classes differ (``differs``,
+the posterior probability of that given the counts in both): kept_c(w) =
+differs x n_c(w), so a word found once keeps little of its own and takes most
+from the shared counts, and no word is dropped. A pair keeps its counts once the
+classes differ after v by more than their words do with a probability of a half,
+and backs off whole before. The same fixed discount in both classes does not do
+this: as they differ in size, what it takes off their rare words differs too, and
+these then outweigh the others.
+
+A text's difference is that of its log-likelihoods per word, and the greatest of
+any STRETCH words in a row; a logistic curve over these two, fitted on held-back
+labelled rows, gives the score.
 
 What is counted: every word and word pair of all labelled texts but the held-out
-rows and the rows of the curve. All of them are kept, a word found once too; a
-word in none of these texts tells nothing. Words are known by 64-bit hashes, so
-two of a billion words or pairs share a count with a chance of about 3 in 100.
-Up to MAX_HELD words and pairs are read by each worker from the shared folder, by
-``pyarrow.fs``, which must know the store; more stay a table, partitioned by
-hash, that the words and pairs of each text are joined to. Both ways give the
-same scores.
+rows and the rows of the curve; a word in none of these texts has what both classes share.
+Words are known by 64-bit hashes, so two of a billion words or pairs share a
+count with a chance of about 3 in 100. Up to MAX_HELD words are read by each
+worker from the shared folder, by ``pyarrow.fs``, which must know the store; more
+stay a table, partitioned by hash, that the pairs, and the words and pairs of
+each text, are joined to. Both ways give the same scores.
 
 Semantics for odd input: null and empty texts get the curve's value at zero
-difference; texts are scored whole; repeated rows are scored alike; without
-labels of both classes every score is the base rate of the labels (0 if there are none);
-an empty table gives an empty result. Only the columns named are read.
+difference; texts are scored whole; repeated rows are scored alike, and counted
+as often as they stand; on the curve an id with several texts counts with the
+least; without labels of both classes every score is the base rate of the labels
+(0 if there are none); an empty table gives an empty result. Only the columns
+named are read.
 """
 
 from __future__ import annotations
@@ -43,23 +56,23 @@ from pyspark.sql import functions as F
 
 from .common import chunks, fixed_words, positional, scratch_path
 
-#: Share of the words, and of the pairs, that the classes are expected to differ in.
-DIFFERENT_WORDS, DIFFERENT_PAIRS = 0.01, 0.001
+#: Share of the words, and of the pairs beyond their words, that the classes are expected to differ in.
+DIFFERENT_WORDS, DIFFERENT_PAIRS = 0.01, 1e-6
 #: How many occurrences a context's share of the toxic class is smoothed by.
 CONTEXT = 10
 #: Labelled rows that the logistic curve is fitted on, about, at most; the others of their part are counted.
 MAX_CURVE_ROWS = 20_000
-#: Words and pairs that a worker holds at most (10 bytes a pair, 24 a word); if there are more, texts are joined to them.
-MAX_HELD = 16_000_000
+#: Words that a worker holds at most (40 bytes each while pairs are judged, then 16); if there are more, pairs and texts are joined to them.
+MAX_HELD = 6_000_000
 #: Labels are broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 MAX_BROADCAST_LABELS = 4_000_000
 #: Words in the stretch whose difference is taken as the worst.
-STRETCH = 25
+STRETCH = 10
 _U = np.uint64
 #: What stands before the first word of a text; no word is empty.
 _START = np.int64(0)
-#: Counts from here on are held apart.
-_MANY = 255
+#: Tells the keys of contexts from those of words.
+_AS_CONTEXT = np.uint64(0x632BE59BD9B4E019)
 _COUNTED = ["c0", "c1", "t0", "t1"]
 
 
@@ -99,53 +112,45 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) - np.log(x * (x + 1) * (x + 2) * (x + 3))
 
 
-def told(n0: np.ndarray, n1: np.ndarray, odds: np.ndarray, different: float) -> np.ndarray:
-    """What counts of both classes add to the log-odds expected of them.
+def differs(n0: np.ndarray, n1: np.ndarray, odds: np.ndarray | float, expected: float) -> np.ndarray:
+    """The probability that the classes differ, given counts in both and the log-odds of the toxic one if they do not.
 
-    Either the classes do not differ, and the counts fall to the toxic one by these odds, or they do, by any share
-    (Beta(1/2, 1/2)). The log-odds of the counts, smoothed by one occurrence as expected, count by the second's probability.
+    Either the counts fall to the toxic class by these odds, or by any share (Beta(1/2, 1/2)); ``expected`` is the second's
+    probability before anything was counted.
     """
     share1, share0 = 1 / (1 + np.exp(-odds)), 1 / (1 + np.exp(odds))
     factor = _log_gamma(n1 + 0.5) + _log_gamma(n0 + 0.5) - _log_gamma(n0 + n1 + 1) - np.log(np.pi) - n1 * np.log(share1) - n0 * np.log(share0)
-    return (np.log((n1 + share1) / (n0 + share0)) - odds) / (1 + np.exp(-np.clip(factor + np.log(different / (1 - different)), -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(factor + np.log(expected / (1 - expected)), -500, 500)))
+
+
+def _context_key(word: np.ndarray) -> np.ndarray:
+    return _mix(word.view(_U) ^ _AS_CONTEXT).view(np.int64)
 
 
 @dataclass
 class Evidence:
-    """By hash, sorted: what words tell, the log-odds of the contexts they are, and counts of pairs; the last of each is for what is in no labelled text."""
+    """By key, sorted: the log-ratio of a word, what a context adds to every word after it, and the log-ratio of a pair that is kept."""
 
-    words: np.ndarray
-    word: np.ndarray
-    odds: np.ndarray
-    pairs: np.ndarray
-    n: np.ndarray  # pair x class
-    base: float  # log-odds of all continuation counts
-    many: np.ndarray  # pairs of which n has _MANY for a class, and their counts
-    many_n: np.ndarray
+    keys: np.ndarray
+    ratios: np.ndarray
+    unknown: float  # the log-ratio of a word that only the shared counts speak for
 
     @classmethod
-    def of(cls, words: np.ndarray, counted: np.ndarray, pairs: np.ndarray, n: np.ndarray, base: float) -> Evidence:
-        """From counts of words (continuation and as a context, of both classes each) and of pairs."""
-        by_word, by_pair = np.argsort(words), np.argsort(pairs.view(_U))
-        c0, c1, t0, t1 = np.vstack([counted[by_word], np.zeros((1, 4))]).astype(float).T
-        odds = np.log((t1 + CONTEXT / (1 + np.exp(-base))) / (t0 + CONTEXT / (1 + np.exp(base))))
-        return cls(words[by_word], told(c0, c1, np.float64(base), DIFFERENT_WORDS), odds, pairs[by_pair].view(_U), np.vstack([n[by_pair], np.zeros((1, 2))]).astype(float), base, np.zeros(0, _U), np.zeros((0, 2)))
+    def of(cls, keys: np.ndarray, ratios: np.ndarray, unknown: float) -> Evidence:
+        order = np.argsort(keys)
+        return cls(keys[order], ratios[order], unknown)
+
+    def _ratio(self, keys: np.ndarray, otherwise: float | np.ndarray) -> np.ndarray:
+        at = _place(self.keys, keys)
+        return np.where(at >= 0, self.ratios[at], otherwise) if len(self.keys) else np.broadcast_to(otherwise, keys.shape).astype(float)
 
     def differences(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of every word after the one before it."""
-        out = self.word[_place(self.words, word)]
-        key = _pair_key(before, word).view(_U)
-        at = _place(self.pairs, key)
-        known = np.flatnonzero(at >= 0)
-        n = self.n[at[known]].astype(float)
-        among = _place(self.many, key[known])
-        n[among >= 0] = self.many_n[among[among >= 0]]
-        n0, n1 = n.T
-        out[known] += told(n0, n1, self.odds[_place(self.words, before[known])] + out[known], DIFFERENT_PAIRS)
-        return out
+        out = self._ratio(word, self.unknown) + self._ratio(_context_key(before), 0.0)
+        return self._ratio(_pair_key(before, word), out)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        x = np.zeros((len(texts), 3))
+        x = np.zeros((len(texts), 2))
         word, before, ends = _hashed(texts)
         differences, start = self.differences(word, before), 0
         for i, end in enumerate(ends):
@@ -153,7 +158,7 @@ class Evidence:
                 d = differences[start:end]
                 run = np.concatenate(([0.0], np.cumsum(d)))
                 k = min(STRETCH, len(d))
-                x[i] = d.mean(), d.sum() / np.sqrt(len(d)), (run[k:] - run[:-k]).max() / STRETCH
+                x[i] = d.mean(), (run[k:] - run[:-k]).max() / STRETCH
             start = end
         return x
 
@@ -168,73 +173,39 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == distinct, at, -1)[back]
 
 
-_NOTHING = Evidence.of(np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0, np.int64), np.zeros((0, 2)), 0.0)
+_NOTHING = Evidence.of(np.zeros(0, np.int64), np.zeros(0), 0.0)
 
 
-@dataclass(frozen=True)
-class Stored:
-    """Where the counts of words (k and four) and pairs (v, w and two) are."""
+def _files(path: str) -> ds.Dataset:
+    system, path = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return ds.dataset(path, format="parquet", filesystem=system)
 
-    words: str
-    pairs: str
-    base: float
+
+def _sorted(path: str, columns: list[str]) -> tuple[np.ndarray, ...]:
+    """Columns of a stored table, sorted by the first; one column at a time, so that little more than the result is held."""
+    files, out, order = _files(path), [], None
+    for c in columns:
+        got = files.to_table(columns=[c], use_threads=False)[c].to_numpy()
+        order = np.argsort(got) if order is None else order
+        out.append(got[order])
+    pa.default_memory_pool().release_unused()
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)
-def _read(at: Stored) -> Evidence:
-    """The counts, once for each worker."""
-
-    def files(path: str) -> ds.Dataset:
-        system, path = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-        return ds.dataset(path, format="parquet", filesystem=system)
-
-    def column(b: pa.RecordBatch, name: str) -> np.ndarray:
-        return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-
-    words, pairs = files(at.words).to_table(), files(at.pairs)
-    held = Evidence.of(words["k"].to_numpy(), np.column_stack([words[c].to_numpy() for c in _COUNTED]), np.zeros(0, np.int64), np.zeros((0, 2)), at.base)
-    del words
-
-    def keys(b: pa.RecordBatch) -> np.ndarray:
-        return _pair_key(column(b, "v"), column(b, "w")).view(_U)
-
-    # Sorted in place by leading bits, so that no second copy is held.
-    slow = {"use_threads": False, "batch_readahead": 1, "fragment_readahead": 1}
-    sizes = np.zeros(257, np.int64)
-    for b in pairs.to_batches(columns=["v", "w"], **slow):
-        sizes[1:] += np.bincount((keys(b) >> _U(56)).astype(np.int64), minlength=256)
-    ends = np.cumsum(sizes)
-    k, n, many, free = np.empty(ends[-1], _U), np.zeros((ends[-1] + 1, 2), np.uint8), [(np.zeros(0, _U), np.zeros((0, 2)))], ends.copy()
-    for b in pairs.to_batches(**slow):
-        key, counts = keys(b), np.column_stack([column(b, "n0"), column(b, "n1")])
-        order = np.argsort(key)
-        key, counts = key[order], counts[order]
-        large = (counts >= _MANY).any(axis=1)
-        many.append((key[large], counts[large]))
-        cuts = np.searchsorted(key, np.arange(257, dtype=_U)[:-1] << _U(56)).tolist() + [len(key)]
-        for g in range(256):
-            to = free[g] + cuts[g + 1] - cuts[g]
-            k[free[g] : to], n[free[g] : to] = key[cuts[g] : cuts[g + 1]], np.minimum(counts[cuts[g] : cuts[g + 1]], _MANY)
-            free[g] = to
-    for g in range(256):
-        part = slice(ends[g], ends[g + 1])
-        order = np.argsort(k[part])
-        k[part], n[part] = k[part][order], n[part][order]
-    large = np.concatenate([x for x, _ in many])
-    order = np.argsort(large)
-    held.pairs, held.n, held.many, held.many_n = k, n, large[order], np.concatenate([x for _, x in many])[order].astype(float)
-    pa.default_memory_pool().release_unused()
-    return held
+def _read(path: str, unknown: float) -> Evidence:
+    """The stored evidence, once for each worker."""
+    return Evidence(*_sorted(path, ["k", "x"]), unknown)
 
 
 @dataclass
 class Model:
-    """Counts: none, where they are stored, or as a table of words (k and four counts) and pairs (k and two); the curve over the features."""
+    """The evidence: none, the path of a stored table (k, x) that workers hold, or such a table that texts are joined to; the curve over the features."""
 
-    evidence: Evidence | Stored | DataFrame
+    evidence: Evidence | str | DataFrame
     curve: np.ndarray  # intercept and a weight for each feature
     range: np.ndarray  # lowest and highest value of each feature that the curve tells apart
-    base: float = 0.0  # log-odds of all continuation counts
+    unknown: float = 0.0  # the log-ratio of a word in no labelled text
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + np.clip(x, *self.range) @ self.curve[1:], -30, 30)))
@@ -259,12 +230,6 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at]), pa.array(np.bincount(back, minlength=len(key)) - n1), pa.array(n1)], names=["v", "w", "n0", "n1"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        v, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair_key(v, w)), b.column(2).cast(pa.float32(), safe=False), b.column(3).cast(pa.float32(), safe=False)], names=["k", "n0", "n1"])
-
-
 def for_curve(labels: DataFrame, key: str, label: str) -> Column:
     """Whether a key is one of the curve's: its part's rows, by their hash about MAX_CURVE_ROWS of them where there are more."""
     third = part_of(F.col(key)) == 3
@@ -272,18 +237,78 @@ def for_curve(labels: DataFrame, key: str, label: str) -> Column:
     return third & (F.pmod(F.xxhash64(key), F.lit(share)) == 0)
 
 
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _discounted(base: float):
+    """Adds what each class keeps of a word's continuation counts (k0, k1), and what of both is left to share (s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c0, c1 = _column(b, "c0"), _column(b, "c1")
+            kept = differs(c0, c1, base, DIFFERENT_WORDS)
+            # A word that only serves as a context (it ends no pair) is none of the models' words.
+            rest = np.where(c0 + c1 > 0, np.maximum((1 - kept) * (c0 + c1), 0.5), 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, (kept * c0, kept * c1, rest))], names=[*b.schema.names, "k0", "k1", "s"])
+
+    return run
+
+
+def _kept_pairs(base: float, words_at: str | None):
+    """Pairs of which the classes keep their counts, with the word's probabilities and the context's counts.
+
+    The latter are looked up in the stored words, or are columns of the batch if it comes from a join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for b in batches:
+            v, w, n0, n1 = (_column(b, c) for c in ("v", "w", "n0", "n1"))
+            if words_at is None:
+                told = [_column(b, c) for c in ("p0", "p1", "t0", "t1")]
+            else:
+                known = known or _sorted(words_at, ["k", "p0", "p1", "t0", "t1"])
+                at_w, at_v = _place(known[0], w), _place(known[0], v)
+                told = [known[1][at_w], known[2][at_w], known[3][at_v], known[4][at_v]]
+            p0, p1, t0, t1 = told
+            odds = np.log((t1 + CONTEXT / (1 + np.exp(-base))) / (t0 + CONTEXT / (1 + np.exp(base)))) + np.log(p1 / p0)
+            stays = np.flatnonzero(differs(n0, n1, odds, DIFFERENT_PAIRS) >= 0.5)
+            yield pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in (v, w, n0, n1, *told)], names=["v", "w", "n0", "n1", "p0", "p1", "t0", "t1"])
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (v, w or null, x) under the keys of contexts and pairs."""
+    for b in batches:
+        v, x = _column(b, "v"), _column(b, "x")
+        w = b.column(b.schema.get_field_index("w"))
+        alone = np.asarray(w.is_null())
+        k = np.where(alone, _context_key(v), _pair_key(v, w.fill_null(0).to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x)], names=["k", "x"])
+
+
+def _stored(spark, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table written to the shared folder and read again, and its place: counted once, and safe from lost executors."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
 def fit_models(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Counts and fits everything from the labelled rows that are not held out."""
     spark = documents.sparkSession
-    empty = Model(_NOTHING, np.array([-30.0, 0, 0, 0]), np.array([[-np.inf] * 3, [np.inf] * 3]))
+    empty = Model(_NOTHING, np.array([-30.0, 0, 0]), np.array([[-np.inf] * 2, [np.inf] * 2]))
     curve = for_curve(labels, key, label)
     rows = _labelled(documents, labels, key, text, label, (part_of(F.col(key)) != 2) & ~curve)
-    pairs, pairs_at = _table(spark, rows.mapInArrow(_pair_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    pairs, _ = _stored(spark, rows.mapInArrow(_pair_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
     # Continuation counts by second word, and totals by first word.
     second = pairs.groupBy("w").agg(*(F.count_if(F.col(f"n{i}") > 0).alias(f"c{i}") for i in (0, 1)))
     first = pairs.groupBy(F.col("v").alias("w")).agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in (0, 1)))
-    words, words_at = _table(spark, second.join(first, "w", "full").na.fill(0).select(F.col("w").alias("k"), *(F.col(n).cast("float") for n in _COUNTED)), "words")
-    total = words.agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in ("c0", "c1")), F.count("*").alias("words")).first()
+    counted = second.join(first, "w", "full").na.fill(0).select(F.col("w").alias("k"), *(F.col(n).cast("double") for n in _COUNTED))
+    counted, _ = _stored(spark, counted, "counts")
+    total = counted.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
     if not total["c0"] or not total["c1"]:
         share = labels.where(F.col(label).isNotNull() & (part_of(F.col(key)) != 2)).agg(F.avg(F.col(label).cast("double"))).first()[0]
         if share is not None:
@@ -291,63 +316,68 @@ def fit_models(documents: DataFrame, labels: DataFrame, key: str = "doc_id", tex
             empty.curve[0] = np.log(share / (1 - share))
         return empty
     base = float(np.log(total["c1"] / total["c0"]))
-    if total["words"] + pairs.count() <= MAX_HELD:
-        evidence = Stored(words_at, pairs_at, base)
+    words = counted.mapInArrow(_discounted(base), "k long, " + ", ".join(f"{c} double" for c in (*_COUNTED, "k0", "k1", "s")))
+    kept = words.agg(*(F.sum(c).alias(c) for c in ("k0", "k1", "s")), F.count("*").alias("n")).first()
+    p = [(F.col(f"k{c}") + (total[f"c{c}"] - kept[f"k{c}"]) * F.col("s") / kept["s"]) / total[f"c{c}"] for c in (0, 1)]
+    words, words_at = _stored(spark, words.select("k", p[0].alias("p0"), p[1].alias("p1"), "t0", "t1"), "words")
+    held = kept["n"] <= MAX_HELD
+    if held:
+        judged = pairs
     else:
-        none = F.lit(None).cast("float")
-        keyed = pairs.mapInArrow(_keyed, "k long, n0 float, n1 float")
-        evidence = words.unionByName(keyed.select("k", F.col("n0").alias("c0"), F.col("n1").alias("c1"), *(none.alias(n) for n in _COUNTED[2:])))
-    model = Model(evidence, empty.curve, empty.range, base)
+        judged = pairs.join(words.select(F.col("k").alias("w"), "p0", "p1"), "w").join(words.select(F.col("k").alias("v"), "t0", "t1"), "v").select("v", "w", "n0", "n1", "p0", "p1", "t0", "t1")
+    stay, _ = _stored(spark, judged.mapInArrow(_kept_pairs(base, words_at if held else None), "v long, w long, n0 long, n1 long, p0 double, p1 double, t0 double, t1 double"), "kept")
+    # What is left to the words after a context; a class that never has the context leaves all.
+    share = [F.when(F.col(f"t{c}") > 0, F.col(f"n{c}") / F.col(f"t{c}")).otherwise(0.0) for c in (0, 1)]
+    left = stay.groupBy("v").agg(*(F.greatest(1 - F.sum(share[c]), F.lit(0.0)).alias(f"l{c}") for c in (0, 1)))
+    # Where nothing is left, and so the ratio would not be finite, half an occurrence is.
+    half = [F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"l{c}"), 0.5 / F.col(f"t{c}"))).otherwise(F.col(f"l{c}")).alias(f"l{c}") for c in (0, 1)]
+    left = left.join(stay.groupBy("v").agg(F.max("t0").alias("t0"), F.max("t1").alias("t1")), "v").select("v", *half)
+    after = stay.join(left, "v").select("v", "w", F.log((share[1] + F.col("l1") * F.col("p1")) / (share[0] + F.col("l0") * F.col("p0"))).alias("x"))
+    named = after.unionByName(left.select("v", F.lit(None).cast("long").alias("w"), F.log(F.col("l1") / F.col("l0")).alias("x")))
+    # A word that ends no pair is known as a context only.
+    ratios = words.where("p0 > 0 AND p1 > 0").select("k", F.log(F.col("p1") / F.col("p0")).alias("x")).unionByName(named.mapInArrow(_keyed, "k long, x double"))
+    evidence, at = _stored(spark, ratios, "ratios")
+    model = Model(at if held else evidence, empty.curve, empty.range, float(np.log((1 - kept["k1"] / total["c1"]) / (1 - kept["k0"] / total["c0"]))))
     model.curve, model.range = _fit_curve(model, documents, labels, key, text, label, curve)
     return model
 
 
-def _table(spark, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The table written to the shared folder and read again, and its place: counted once, and safe from lost executors."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
-
-
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different words and pairs of each text."""
+    """The keys of the different words, contexts and pairs of each text."""
     for batch in batches:
         for part, texts in chunks(batch, "_t"):
             word, before, ends = _hashed(texts)
-            pair, ids, start = _pair_key(before, word), part.column(part.schema.get_field_index("_r")).to_pylist(), 0
+            context, pair, ids, start = _context_key(before), _pair_key(before, word), part.column(part.schema.get_field_index("_r")).to_pylist(), 0
             for r, end in zip(ids, ends, strict=True):
-                k = np.unique(np.concatenate((word[start:end], before[start : min(start + 1, end)], pair[start:end])))
+                k = np.unique(np.concatenate((word[start:end], context[start:end], pair[start:end])))
                 start = end
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k)], names=["r", "k"])
 
 
 def _with_features(rows: DataFrame, model: Model, text: str, made: str, make) -> DataFrame:
-    """``make(part, features)`` for all rows, by the counts a worker holds or by a join of every text's words and pairs to the table of counts."""
-    at = model.evidence
+    """``make(part, features)`` for all rows, by the evidence a worker holds or by a join of every text's words and pairs to its table."""
+    at, unknown = model.evidence, model.unknown
     if not isinstance(at, DataFrame):
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            evidence = at if isinstance(at, Evidence) else _read(at)
+            evidence = at if isinstance(at, Evidence) else _read(at, unknown)
             for batch in batches:
                 for part, texts in chunks(batch, text):
                     yield make(part, evidence.features(texts))
 
         return rows.mapInArrow(read, made)
 
-    base = model.base
     # Equal texts want the same, so they are known by their hash; should two others share it, each finds its own among what both want.
     r = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     wanted = rows.select(r.alias("_r"), F.col(text).alias("_t")).mapInArrow(_wanted, "r long, k long")
-    found = wanted.join(model.evidence.hint("shuffle_hash"), "k").groupBy(F.col("r").alias("_r")).agg(F.collect_set(F.struct("k", *_COUNTED)).alias("_found"))
+    found = wanted.join(at.hint("shuffle_hash"), "k").groupBy(F.col("r").alias("_r")).agg(F.collect_set(F.struct("k", "x")).alias("_found"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = batch.column(batch.schema.get_field_index("_found"))
             for i in range(batch.num_rows):
                 f = got.slice(i, 1).flatten()
-                k, values = f.field(0).to_numpy(zero_copy_only=False), np.column_stack([f.field(j).to_numpy(zero_copy_only=False) for j in range(1, 5)])
-                pair = np.isnan(values[:, 2].astype(float))
-                evidence = Evidence.of(k[~pair], values[~pair], k[pair], values[pair, :2], base)
+                evidence = Evidence.of(f.field(0).to_numpy(zero_copy_only=False), f.field(1).to_numpy(zero_copy_only=False), unknown)
                 for part, texts in chunks(batch.slice(i, 1), text):
                     yield make(part, evidence.features(texts))
 
@@ -357,19 +387,19 @@ def _with_features(rows: DataFrame, model: Model, text: str, made: str, make) ->
 def _fit_curve(model: Model, documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, curve: Column) -> tuple[np.ndarray, np.ndarray]:
     """Weights of a logistic regression, by Newton's method, on about MAX_CURVE_ROWS labelled rows at most that were not counted."""
     chosen = labels.where(F.col(label).isNotNull() & curve).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
-    rows = documents.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).dropDuplicates([key])
+    rows = documents.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("text").alias("text"), F.max("y").alias("y"))
     make = lambda part, x: pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("y")).cast(pa.float64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
     got = _with_features(rows, model, "text", "y double, x array<double>", make).toArrow()
     y = got.column("y").to_numpy() if got.num_rows else np.zeros(0)
     if len(y) < 20 or y.min() == y.max():
-        return np.array([-1.5, 4.0, 0.0, 4.0]), model.range
+        return np.array([-1.5, 4.0, 4.0]), model.range
     raw = np.array(got.column("x").to_pylist())
     ends = np.quantile(raw, [0.01, 0.99], axis=0)  # odd texts reach far and would flatten the curve
     x = np.column_stack([np.ones(len(y)), np.clip(raw, *ends)])
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1
     z, w = x / scale, np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 1, 1, 1]) * 0.5
+    ridge = np.diag([1e-6, 1, 1]) * 0.5
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
