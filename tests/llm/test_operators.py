@@ -471,10 +471,61 @@ def test_blocks_lose_no_link(spark, monkeypatch):
 
 
 def test_depth_is_shortened_until_the_target():
+    """Without pairs by calculation, with pairs by what the sample shows."""
     for t in (0.5, 0.8, 0.95):
-        d = near_dup.prefix_depth(t)
-        assert 1 - (1 - t**d) ** near_dup.TREES >= near_dup.TARGET or d == 1
-        assert d == near_dup.LONGEST or 1 - (1 - t ** (d + 1)) ** near_dup.TREES < near_dup.TARGET
+        d, recall = near_dup.matched_depth([], t)
+        assert recall is None and (near_dup.calculated(t, d, near_dup.TREES) >= near_dup.TARGET or d == 1)
+        assert d == near_dup.LONGEST or near_dup.calculated(t, d + 1, near_dup.TREES) < near_dup.TARGET
+    assert near_dup.matched_depth([(9, False, 990), (5, False, 10)], 0.8) == (5, 1.0)  # 1 in 100 would be lost at 7
+    assert near_dup.matched_depth([(9, False, 998), (5, False, 2)], 0.8) == (7, 0.998)
+    assert near_dup.matched_depth([(9, True, 60), (9, False, 100)], 0.8) == (9, 1.0)  # measured near the threshold
+
+
+def test_sample_finds_its_neighbours():
+    forest = near_dup.Forest(near_dup.TREES, near_dup.LONGEST)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), "other words entirely", ""]
+    sample = near_dup.Sample(texts, forest, near_dup.TREES, 5, 0.8)
+    for changed, found in ((0, 0), (1, 1), (3, 1), (40, 0)):
+        w = list(base)
+        for i in range(changed):
+            w[i * 5] = "x"
+        s = near_dup.shingles([x.encode() for x in w], near_dup.WordHashes())
+        near = sample.near(s, forest.signature(s))
+        assert len(near) == found and all(n["q"] == 0 and 0.8 <= n["j"] < 1 and 0 <= n["depth"] <= near_dup.LONGEST for n in near)
+
+
+def test_signatures_meet_as_often_as_calculated():
+    """Pairs exactly at a Jaccard of 0.8, of few and many shingles."""
+    forest, rng = near_dup.Forest(near_dup.TREES, near_dup.LONGEST), np.random.default_rng(1)
+    for n in (18, 180):
+        met = [0] * (near_dup.LONGEST + 1)
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, n * 10 // 9, dtype=np.uint64)
+            one, two = (forest.signature(np.sort(s)).reshape(near_dup.TREES, -1) for s in (x[: n], np.concatenate([x[: n - n // 9], x[n:]])))
+            met[np.cumprod(one == two, axis=1).sum(axis=1).max()] += 1
+        for depth in (6, 8, 10):
+            assert abs(sum(met[depth:]) / 300 - near_dup.calculated(0.8, depth, near_dup.TREES)) < 0.09
+
+
+def test_ids_with_several_texts(spark):
+    """Unlike texts of one id all stay, ids may be strings or null, and of rows that repeat one stays."""
+    text = lambda a: " ".join(f"{a}{i}" for i in range(50))
+    rows = [("a", text("x")), ("a", text("y")), ("b", text("y") + " more"), ("c", text("z")), ("c", text("z")), (None, text("z")), (None, text("q")), (None, text("r")), ("d", None), ("d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    kept = sorted(((r.doc_id or "-", (r.text or "-")[0]) for r in near_dup.keep_one_of_each(df).collect()))
+    assert kept == [("-", "q"), ("-", "r"), ("a", "x"), ("a", "y"), ("c", "z"), ("d", "-"), ("d", "-")]
+    got = sorted((r.doc_id or "-", r.class_id or "-", r.n_links) for r in near_dup.similar_documents(df).collect())
+    assert got == [("-", "-", 0), ("-", "-", 0), ("-", "c", 1), ("a", "a", 0), ("a", "a", 1), ("b", "a", 1), ("c", "c", 1), ("d", "d", 0)]
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    """Components where the nodes are too many to broadcast, and some of them have many neighbours."""
+    monkeypatch.setattr(near_dup, "MAX_BROADCAST_ROWS", 20)
+    monkeypatch.setattr(near_dup, "MAX_NEIGHBOURS", 5)
+    star = [(0, i) for i in range(1, 200)] + [(i, 1000 + i) for i in range(1, 50)] + [(5000, 5001)]
+    got = {r.node: r.root for r in near_dup.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(200), *range(1001, 1050)]} | {5000: 5000, 5001: 5000}
 
 
 def test_long_chains_become_one_component(spark):
