@@ -573,10 +573,20 @@ ITEMS = [(1, "One, TWO"), (2, " ".join(f"word{i}" for i in range(20, 40))), (10,
 @pytest.mark.parametrize("block", [1 << 20, 8])
 def test_contamination(spark, docs, block):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").unionByName(spark.read.parquet(f"{TINY}/benchmark.parquet").limit(20 if block > 8 else 2))
-    got = decontaminate.find_contamination(docs, bench, block_bytes=block).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    got = decontaminate.find_contamination(docs, bench, set_bytes=block).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert sorted(map(tuple, got)) == contaminated(rows_of(docs), [tuple(r) for r in bench.collect()])
 
 
+def test_window_sets_are_built_within_their_bound():
+    rng = random.Random(8)
+    items = [(str(i), " ".join(f"w{rng.randrange(5000)}" for _ in range(60)).encode()) for i in range(500)]
+    built = decontaminate.WindowSet.build(items)
+    arrays = sum(x.nbytes for x in built.widths[13][:3]) + built.starts.nbytes + len(built.words)
+    assert arrays <= sum(decontaminate.bytes_of(len(t), 60) for _, t in items) + 500 * 2
+    hit, found = built.scan([b"other", *items[7][1].split()[3:30], b"more"], decontaminate._WordHashes())
+    assert found == {"7"} and hit.tolist() == [False] + [True] * 27 + [False]
+
+
 def test_removal(spark, odd, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontaminate.drop_contaminated(odd, bench)
