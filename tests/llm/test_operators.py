@@ -253,6 +253,38 @@ def test_written_shards_prune(spark, tiny, tmp_path):
     assert spread < tiny.select("lang").distinct().count()
 
 
+def test_strings_that_begin_alike_are_told_apart(spark):
+    """Sources with a long common prefix, one of them of a third of the rows, and many values of few rows."""
+    n = F.col("id")
+    df = spark.range(3000).select(n.alias("doc_id"), F.lit("t").alias("text"), F.when(n % 3 == 0, "common_crawl_a").otherwise(F.concat(F.lit("common_crawl_b"), (n % 2).cast("string"))).alias("source"), F.concat(F.lit("https://example.org/"), F.lpad(n.cast("string"), 5, "0")).alias("lang"))
+    assert sharding.string_bounds(df, "source") == ["common_crawl_b0", "common_crawl_b1"]
+    bounds = sharding.string_bounds(df, "lang")
+    assert len(bounds) == 31 and all(abs(int(b[-5:]) - (i + 1) * 3000 / 32) < 2 for i, b in enumerate(bounds))
+    curve = sharding.hilbert_shards(df, dimensions=("source",)).join(df, "doc_id").groupBy("source").agg(F.min("curve").alias("a"), F.max("curve").alias("b")).orderBy("source").collect()
+    assert all(r.a == r.b for r in curve) and len({r.a for r in curve}) == 3
+    assert sharding.string_bounds(df.where("false"), "source") == []
+
+
+def test_equal_rows_fill_several_ranges(spark):
+    df = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang")).repartition(4)
+    rows = df.select("*", F.monotonically_increasing_id().alias("read_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    order, total = sharding.ranked(rows, ["doc_id", "read_at"])
+    assert total == 4000 and order.groupBy("range").count().agg(F.max("count")).first()[0] < 2500
+    assert sorted(r.rank for r in order.collect()) == list(range(4000))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_whole_rows_with_clashing_names(spark, odd, tmp_path):
+    df = odd.withColumns({c: F.lit("clash") for c in ("curve", "shard", "Slot", "rank", "read_at", "range")})
+    got = sharding.shard_documents(df, 4)
+    assert got.columns == [*df.columns, "_size", "text_crc32", "_curve", "_shard", "_slot"]
+    assert sorted(map(str, got.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    sharding.write_shards(df, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == [*df.columns, "_shard"] and back.count() == df.count()
+
+
 # ---- quality
 
 
