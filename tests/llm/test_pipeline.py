@@ -19,6 +19,36 @@ def test_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
+def test_stages_on_odd_rows_and_none(spark, odd, none):
+    """Clashing columns are kept and named, rows without words pass all filters, and empty tables give empty tables."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, D).checkpoint()
+        if name != "sharding":
+            assert docs.columns == before.columns
+        if name in ("near_duplicates", "decontamination"):
+            assert {0, 1, 2} <= {r.doc_id for r in docs.collect()}
+    assert docs.columns == [*odd.columns, "_size", "text_crc32", "curve", "shard", "slot"]
+    assert docs.count() == before.count()
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, D).checkpoint()
+        assert docs.count() == 0
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from usagemill.llm import common
+
+    path = common.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.exists(local)
+    common.clear_scratch(spark)
+    assert not os.path.exists(local)
+
+
 def test_run_agrees_with_itself(spark):
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, D).collect())) for _ in range(2))
     assert a == b

@@ -20,18 +20,35 @@ _SEPARATE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder set for checkpoints; on one machine, one of our own where neither is set."""
+    base, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
     if base is None:
-        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    if spark.sparkContext.getCheckpointDir() is None:
+        if set_ is None and not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = set_ or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if set_ is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below the application's own, which ``clear_scratch`` removes."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that the application's operators wrote to the shared folder; their results must have been written or collected before."""
+    remove(spark, _scratch(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
