@@ -78,7 +78,11 @@ def test_no_pages_no_archives(spark):
 
 def test_url_filter_by_trie_and_by_join(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://", "https://A.Example.ORG/es/x?y", "http://example.org/en/1", "http://example.org/en/2", "http://notexample.org/es/", "ftp://org", "http://org/", "a://b://c.com/de/q#z", "http://x.com/fr/de/", "http://.org/p", "http://com/de", "x://u@h.org:80/a", "http://example.org?/es/"]
+    urls += ["http://example.com/abcdefghijklmnop/x", "http://example.com/abc", "http://a.example.com/ab/c", "http://example.com/abd/e/f", "http://xy.zz/a", "http://b.xy.zz/a"]
     df = spark.createDataFrame(list(enumerate(urls)) + [(4, urls[4])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    # A longer rule of a shorter host, tails of several lengths, and a tie that the deeper host wins.
+    more = [("block", "example.com/"), ("allow", "com/abcdefghijklmnop/"), ("block", "com/ab"), ("allow", "example.com/abd"), ("block", "example.com/abd/e"), ("block", "zz/a/b"), ("allow", "xy.zz/"), ("block", "zz/abcd"), ("block", "b.xy.zz/"), ("allow", "xy.zz/a")]
+    rules = [*queries.URL_RULES, *(url_filter.Rule.parse(*r) for r in more)]
 
     def plain(url):
         if url is None or "://" not in url:
@@ -87,13 +91,13 @@ def test_url_filter_by_trie_and_by_join(spark, monkeypatch):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-        fits = [(len(r.host + r.path), r.host + r.path, r.verdict) for r in queries.URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
+        fits = [(len(r.host + r.path), len(r.host), r.host + r.path, r.verdict) for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
 
     want = sorted((i, *map(str, plain(u))) for i, u in [*enumerate(urls), (4, urls[4])])
     for most in (10, 0):
         monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", most)
-        got = url_filter.judge_urls(df, queries.URL_RULES).collect()
+        got = url_filter.judge_urls(df, rules).collect()
         assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in got) == want
 
 
@@ -176,10 +180,37 @@ def test_trees_add_spelled_out_addresses_and_bare_numbers(spark):
     assert pii.redact(df.where("doc_id = 1"), redactor).first().redacted == "write to [email] today", text
 
 
+def test_planted_forms_of_every_kind(spark):
+    """Forms that no label knows are found where they stand as the base forms do, and look-alikes are left."""
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 8)))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    byte = lambda: str(rng.randrange(256))
+
+    def card(good, sep):
+        d = number(15)
+        last = next(c for c in "0123456789" if luhn(d + c) == good)
+        return sep.join(re.findall("....", d + last))
+
+    forms = {
+        "email": (lambda: f"mail {name()}@{name()}.org now", lambda: f"mail {name()} [at] {name()} [dot] org now", lambda: f"mail {name()} @{name()}. {name()} now"),
+        "ip": (lambda: f"from host {byte()}.{byte()}.{byte()}.{byte()} at", lambda: f"from host {byte()} . {byte()} . {byte()} . {byte()} at", lambda: f"version {rng.randrange(300, 999)} . {byte()} . {byte()} . {byte()} of"),
+        "card": (lambda: f"card {card(True, ' ')} paid", lambda: f"card {card(True, '/')} paid", lambda: f"serial {card(False, '/')} kept"),
+        "phone": (lambda: f"call +1 {number(3)} {number(3)} {number(4)} now", lambda: f"call ({number(3)}) {number(3)}-{number(4)} now", lambda: f"part {number(2)} {number(3)} {number(3)} fits"),
+    }
+    order = [(k, f) for k in pii.KINDS for f in range(3)]
+    rows = [(i, forms[k][f]()) for i, (k, f) in enumerate(order * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.s for r in pii.find_personal_data(df, pii.fit_redactor(df)).select("doc_id", pii.spelled(F.col("spans")).alias("s")).collect()}
+    found = collections.Counter((*order[i % len(order)], order[i % len(order)][0] in x) for i, x in got.items())
+    for k in pii.KINDS:
+        assert found[k, 0, True] == 150 and found[k, 1, True] >= 0.95 * 150 and found[k, 2, True] <= 0.05 * 150, (k, found)
+
+
 def test_rare_kinds_are_calibrated(spark, monkeypatch):
-    """90 cards among 5,000 phone numbers have their own share of the candidates."""
+    """90 cards among 5,000 phone numbers have their own share of the candidates. They are written in the base form: only such are labelled."""
     monkeypatch.setattr(pii, "MAX_CANDIDATES", 300)
-    rows = [(i, f"call {("+1 509", "50")[i % 2]} 555 {1000 + i} now") for i in range(5000)] + [(10_000 + i, "pay 4111/1111/1111/1111 by card") for i in range(90)]
+    rows = [(i, f"call {("+1 509", "50")[i % 2]} 555 {1000 + i} now") for i in range(5000)] + [(10_000 + i, "pay 4111 1111 1111 1111 by card") for i in range(90)]
     redactor = pii.fit_redactor(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert "card" in redactor.trees
 
@@ -314,7 +345,7 @@ def test_quality_of_held_out_rows(spark):
     held = F.pmod(F.col("doc_id"), F.lit(4)) == 1
     model = quality.fit_quality(docs, labels.where(~held))
     got = quality.judge_quality(docs, model).join(labels.where(held), "doc_id").agg(F.avg((F.col("kept") == (F.col("quality") == 1)).cast("int"))).first()[0]
-    assert got > 0.85
+    assert got > 0.93  # the larger class makes up 0.85, the base rule alone gives 0.90
 
 
 def test_trees_are_monotone_and_scored_alike(spark):

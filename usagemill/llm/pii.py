@@ -4,12 +4,15 @@ Everything is Spark functions inside one row, without a shuffle: generators are
 regular expressions whose matches are located by the lengths of the pieces
 between them, features are columns of a candidate, and the fitted trees are a
 CASE expression. Trees are fitted on the driver from a bounded sample of
-candidates of all kinds together, as no labels exist for this, with labels from
-rules: a candidate counts as right if its plain form (spelled-out signs and
-other separators undone, see ``plausible``) is one of its kind and it touches no
-base span of another kind. The trees see kind, format and context, not the rule
-itself. The threshold of a kind is the least score at which its held-back
-candidates are right often enough.
+candidates of all kinds together. As no labels exist for this, they come from
+where a candidate comes from: in half of the rows the base matches are disguised
+first (spelled-out signs, other separators, no plus sign, see ``disguised``), and
+a candidate is right if it is a base match of the row as it was, disguised or
+not. Wrong is one whose plain form breaks its kind's rule (``plausible``) or that
+touches a base span of another kind. What is neither, such as an address that the
+text itself spells out, is in no label and is left for the trees to judge. These
+see kind, format and context. The threshold of a kind is the least score at which
+its held-back labelled candidates are right often enough.
 
 The base spans (strict rules, see ``base_spans``) always stay. A candidate that
 overlaps no base span is added if its score reaches the threshold of its kind;
@@ -104,9 +107,7 @@ def holds(kind: str, m: Column) -> Column:
 def plausible(kind: str, m: Column) -> Column:
     """The rule of a kind for the plain form of a candidate, which need not be written as base spans are."""
     if kind == "email":
-        for sign, word in (("@", "at"), (".", "dot")):
-            m = F.regexp_replace(m, rf"(?i) ?[\[({{<]{word}[\])}}>] ?", sign)
-        return holds(kind, m)
+        return holds(kind, _undone(m))
     if kind == "ip":
         return holds(kind, F.regexp_replace(m, " ", "")) | m.rlike("^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$")
     if kind == "phone":
@@ -114,6 +115,39 @@ def plausible(kind: str, m: Column) -> Column:
     return holds(kind, m)
 
 
+#: Disguises of base matches, by kind: pattern and replacement, two of each.
+DISGUISES = {
+    "email": ((r"(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])", " [at] "), (r"(?<=[A-Za-z0-9._%+-])@([A-Za-z0-9-]++)\.([A-Za-z0-9-]++)(?![.A-Za-z0-9-])", " (at) $1 (dot) $2")),
+    "ip": ((r"(?<![0-9.])([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9.])", "$1 . $2 . $3 . $4"), (r"(?<![0-9.])([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9.])", "fe80:0:0:0:$1:$2:$3:$4")),
+    "card": ((r"(?<![0-9])([0-9]{4})[ -]?([0-9]{4})[ -]?([0-9]{4})[ -]?([0-9]{2,7})(?![0-9])", "$1/$2/$3/$4"), (r"(?<![0-9])([0-9]{4})[ -]?([0-9]{4})[ -]?([0-9]{4})[ -]?([0-9]{2,7})(?![0-9])", "$1.$2.$3.$4")),
+    "phone": ((r"\+[0-9]{1,3}[ .-]?(?=\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]))", ""), (r"\+(?=[0-9])", "00")),
+}
+
+
+def disguised(text: Column, style: Column) -> Column:
+    """The text with what looks like base matches written otherwise, in one of two ways by ``style`` (0 or 1; others leave it as it is)."""
+    out = [text, text]
+    for ways in DISGUISES.values():
+        out = [F.regexp_replace(t, pattern, other) for t, (pattern, other) in zip(out, ways, strict=True)]
+    return F.when(style == 0, out[0]).when(style == 1, out[1]).otherwise(text)
+
+
+def _undone(m: Column) -> Column:
+    """An address with its signs written out again."""
+    for sign, word in (("@", "at"), (".", "dot")):
+        m = F.regexp_replace(m, rf"(?i) ?[\[({{<]{word}[\])}}>] ?", sign)
+    return m
+
+
+def _same(kind: str, m: Column) -> Column:
+    """What a match and its disguise have in common."""
+    if kind == "email":
+        return F.lower(_undone(m))
+    if kind == "ip":
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "^fe80:0:0:0:", ""), ":", "."), " ", "")
+    return F.right(_digits(m), F.lit(9)) if kind == "phone" else _digits(m)
+
+
 def _touches(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
@@ -140,9 +174,9 @@ def _features(kind: str, c: Column, text: Column) -> list[Column]:
     ]
 
 
-def _located(documents: DataFrame, key: str, text: str, more: bool) -> DataFrame:
-    """Per row: key, text and for each kind its base matches b_<kind> that hold, and candidates c_<kind>."""
-    rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _located(documents: DataFrame, key: str, text: str, more: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: key, text, ``keep``, and for each kind its base matches b_<kind> that hold, and candidates c_<kind>."""
+    rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
     for kind in KINDS:
         # A text without a sign that every match has is passed over.
         sign = F.col("text").contains("@") if kind == "email" else F.col("text").contains("+") if kind == "phone" else F.col("text").rlike("[0-9]")
@@ -169,22 +203,28 @@ class Redactor:
 
 
 def fit_redactor(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Redactor:
-    """Fits on at most MAX_CANDIDATES candidates of each kind, chosen from all rows by their hash.
+    """Fits on at most MAX_CANDIDATES labelled candidates of each kind, chosen from all rows by their hash.
 
     Two thirds of the candidates fit the trees that all kinds share, and a third calibrates the threshold of each.
     """
-    sample = _located(documents, key, text, True)
+    plain = _located(documents, key, text, False)
+    known = {k: F.transform(f"b_{k}", _bound(lambda kind, c: _same(kind, c["m"]), k)).alias(f"known_{k}") for k in KINDS}
+    style = F.pmod(F.xxhash64("key", F.lit("style")), F.lit(4))
+    rows = plain.select("key", disguised(F.col("text"), style).alias("text"), *known.values())
+    sample = _located(rows, "key", "text", True, tuple(f"known_{k}" for k in KINDS))
     both = {kind: F.array_union(f"b_{kind}", f"c_{kind}") for kind in KINDS}
     others = {kind: F.concat(*(F.col(f"b_{k}") for k in KINDS if k != kind)) for kind in KINDS}
-    right = lambda k, c: plausible(k, c["m"]) & ~_touches(others[k], c)
+    right = lambda k, c: F.when(F.array_contains(F.col(f"known_{k}"), _same(k, c["m"])), 1).when(~plausible(k, c["m"]) | _touches(others[k], c), 0)
     hashed = lambda c: F.xxhash64(F.col("key"), c["s"], c["e"], c["m"])
-    totals = sample.agg(*(F.sum(F.size(both[k])).alias(k) for k in KINDS)).first()
+    # About how many there are, by the rows of a sixteenth of the keys.
+    totals = sample.where(F.pmod(F.xxhash64("key", F.lit("total")), F.lit(16)) == 0).agg(*(F.sum(F.size(both[k])).alias(k) for k in KINDS)).first()
     # Somewhat more than are taken, so that the window sees a bounded number of each kind.
-    share = {k: int(min(1.0, 1.25 * MAX_CANDIDATES / max(totals[k] or 0, 1)) * (1 << 40)) for k in KINDS}
-    candidate = lambda k, c: F.struct(F.lit(k).alias("kind"), F.array(*_features(k, c, F.col("text"))).alias("x"), right(k, c).cast("int").alias("y"), hashed(c).alias("h"))
+    share = {k: int(min(1.0, 2 * MAX_CANDIDATES / max(16 * (totals[k] or 0), 1)) * (1 << 40)) for k in KINDS}
+    candidate = lambda k, c: F.struct(F.lit(k).alias("kind"), F.array(*_features(k, c, F.col("text"))).alias("x"), right(k, c).alias("y"), hashed(c).alias("h"))
     few = {k: F.filter(both[k], _bound(lambda n, c: F.pmod(hashed(c), F.lit(1 << 40)) < n, share[k])) for k in KINDS}
     named = [F.transform(few[k], _bound(candidate, k)) for k in KINDS]
-    got = sample.select(F.explode(F.concat(*named)).alias("c")).select("c.*", F.row_number().over(Window.partitionBy("c.kind").orderBy(F.pmod("c.h", F.lit(1 << 40)), "c.h")).alias("n")).where(F.col("n") <= MAX_CANDIDATES).orderBy("kind", "n").collect()
+    labelled = sample.select(F.explode(F.concat(*named)).alias("c")).select("c.*").where("y IS NOT NULL")
+    got = labelled.select("*", F.row_number().over(Window.partitionBy("kind").orderBy(F.pmod("h", F.lit(1 << 40)), "h")).alias("n")).where(F.col("n") <= MAX_CANDIDATES).orderBy("kind", "n").collect()
     out, rows, held = Redactor({}, {}), [], []
     for kind in KINDS:
         mine = [r for r in got if r["kind"] == kind]

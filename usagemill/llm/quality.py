@@ -3,7 +3,8 @@
 Semantics for odd input: a null or empty text has no words, fails the base rule
 and is not kept; very long texts are read whole; repeated rows are judged
 alike; an empty table gives an empty result; labels that are null, or of
-documents that are not there, do not count. Only the columns named are read.
+documents that are not there, do not count; of a labelled id with several texts
+the least is learnt from. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -50,6 +51,9 @@ def repeated_words(ids: np.ndarray) -> int:
     key = sum((mixed[i : i + n] * _MIX[i] for i in range(WINDOW)), np.zeros(n, np.uint64))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
+    # Equal hashes are taken at their words: windows of one hash stand together.
+    for i in range(WINDOW):
+        same &= ids[order[1:] + i] == ids[order[:-1] + i]
     if not same.any():
         return 0
     twice = np.zeros(n, bool)
@@ -80,9 +84,8 @@ def statistics(texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarray
         dup = len(lines) - len(set(lines))
         repeat = repeated_words(numbers)
         counts[i] = n, chars, symbols, dup, repeat
-        sizes = np.bincount(numbers - numbers.min())
         features[i] = (
-            np.log1p(n), chars / n, symbols / n, dup / len(lines), repeat / n, n / len(lines), (sizes > 0).sum() / n,
+            np.log1p(n), chars / n, symbols / n, dup / len(lines), repeat / n, n / len(lines), len(set(words)) / n,
             len([w for w in words if len(w) <= 3]) / n, (len(t) - len(t.translate(None, b"0123456789"))) / chars,
             (len(t) - len(t.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / chars, float(t.rstrip(_BLANK)[-1:] in (b".", b"!", b"?")),
         )
@@ -107,7 +110,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("y")).cast(pa.float64()), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["y", "f"])
 
     # A key with many rows could bring more than ``most`` rows back; one row of each counts.
-    got = rows.dropDuplicates([key]).mapInArrow(read, "y double, f array<double>").toArrow()
+    got = rows.groupBy(key).agg(F.min(text).alias(text), F.max("y").alias("y")).mapInArrow(read, "y double, f array<double>").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(got.column("f").to_pylist()), got.column("y").to_numpy()

@@ -1,4 +1,4 @@
-"""URL filter: a trie over reversed host labels and path characters, longest match first.
+"""URL filter: a trie over reversed host labels and path segments; of the rules that fit, the longest one (host and path together) holds, the one of the deeper host on a tie.
 
 Semantics for odd input: a null url, or one without ``://``, has an empty host
 and path and no rule fits it; an empty table gives an empty result; repeated
@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A trie of at most this many rules is broadcast; more are joined instead.
 MAX_BROADCAST_RULES = 200_000
+#: Places that the pages of one host are dealt to where rules are joined.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,8 @@ class Trie:
     """Nodes are dicts; host labels from the last one come first, then the path's segments.
 
     A rule path need not end at a segment: its last piece is a prefix of the
-    segment it meets, kept in the node's list of tails, longest first.
+    segment it meets, kept in the node's tails, which are looked up by the
+    lengths that there are, the longest first.
     """
 
     def __init__(self, rules: Iterable[Rule]) -> None:
@@ -62,9 +67,19 @@ class Trie:
             for s in segments:
                 node = node.setdefault("segments", {}).setdefault(s, {})
             node.setdefault("tails", {})[tail] = (rule.host + rule.path, rule.verdict)
+            node.setdefault("lengths", set()).add(len(tail))
+        self._sort(self.root)
+
+    @staticmethod
+    def _sort(root: dict) -> None:
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            node["lengths"] = sorted(node.get("lengths", ()), reverse=True)
+            waiting += [*node.get("labels", {}).values(), *node.get("segments", {}).values()]
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The rule with the deepest host that fits, and among those the one with the longest path."""
+        """The longest rule that fits, that of the deepest host among those of one length."""
         if not host:
             return None
         best, node, pieces = None, self.root, path.split("/")
@@ -72,16 +87,19 @@ class Trie:
             node = node.get("labels", {}).get(label)
             if node is None:
                 break
-            best = self._path(node, pieces) or best
+            found = self._path(node, pieces)
+            if found and (best is None or len(found[0]) >= len(best[0])):
+                best = found
         return best
 
     @staticmethod
     def _path(node: dict, pieces: list[str]) -> tuple[str, str] | None:
         best = None
         for i, piece in enumerate(pieces):
-            fits = [t for t in node.get("tails", ()) if piece.startswith(t)]
-            if fits:
-                best = node["tails"][max(fits, key=len)]
+            for n in node["lengths"]:
+                if n <= len(piece) and (fit := node["tails"].get(piece[:n])):
+                    best = fit
+                    break
             node = node.get("segments", {}).get(piece) if i + 1 < len(pieces) else None
             if node is None:
                 break
@@ -116,12 +134,14 @@ def _judge_by_join(parts: DataFrame, rules: list[Rule], key: str, default: str)
     """The same judgement for rule sets too large to broadcast: host suffixes meet the rules in an equi-join."""
     spark = parts.sparkSession
     table = spark.createDataFrame([(i, r.verdict, r.host, r.path) for i, r in enumerate(rules)], "n long, r_verdict string, r_host string, r_path string")
-    rows = parts.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(parts.withColumn("_row", F.monotonically_increasing_id()))
     hosts = rows.select("host").distinct().withColumn("_labels", F.split("host", r"\."))
     suffixes = hosts.select("host", F.explode(F.expr("transform(sequence(1, size(_labels)), i -> array_join(slice(_labels, i, size(_labels)), '.'))")).alias("r_host"))
     near = suffixes.where("host != ''").join(table, "r_host")
-    fit = rows.join(near, "host").where(F.expr("startswith(path, r_path)"))
-    depth = F.struct(F.size(F.split("r_host", r"\.")), F.length("r_path"), F.col("n"))
+    # The pages of one host are dealt out to SALTS places, and its rules to each of them.
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fit = rows.withColumn("_salt", F.pmod(F.hash("_row"), F.lit(SALTS))).join(near, ["host", "_salt"]).where(F.expr("startswith(path, r_path)"))
+    depth = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("n"))
     best = fit.groupBy("_row").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), depth).alias("b"))
     out = rows.join(best, "_row", "left")
     return out.select(key, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.r_verdict", F.lit(default)).alias("verdict"))
