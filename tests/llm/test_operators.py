@@ -68,6 +68,104 @@ def test_archive_is_a_stored_zip(spark):
         assert n == r.records
 
 
+def test_payloads_join_by_shuffle_too(spark, monkeypatch):
+    pages = page_rows(spark).unionByName(page_rows(spark).withColumn("page_id", F.col("page_id") + 100)).drop("payload")
+    told = lambda: sorted(map(str, warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+    want = told()
+    monkeypatch.setattr(warc, "MAX_BROADCAST_DIGESTS", 1)
+    monkeypatch.setattr(warc, "MAX_COPIES", 4)
+    assert told() == want
+
+
+def test_small_payloads_are_all_responses(spark):
+    got = warc.read_archives(warc.write_archives(page_rows(spark), warc.archive_folder(spark), least_bytes=100)).collect()
+    assert sum(r.record_type == "revisit" for r in got) == 0 and len(got) == 8
+    pages = page_rows(spark).unionByName(page_rows(spark).withColumn("page_id", F.col("page_id") + 100))
+    got = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark), least_bytes=100)).where("record_type = 'revisit'").collect()
+    assert {(r.page_id, r.refers_to, r.payload_bytes) for r in got} == {(5, 105, 300_000)}
+
+
+def foreign(path, index=None, warc_name="archive/crawl.warc.gz", method=0, comment=b"", index_method=0):
+    """An archive as another writer makes it: a warcinfo record, a response in lower-case fields, a revisit without HTTP."""
+    import zipfile
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    blocks = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b",
+        b"WARC/1.0\r\nwarc-type: response\r\nWARC-Target-URI: http://x.org/\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/http; msgtype=response\r\ncontent-length: %d\r\n\r\n" % len(http) + http,
+        b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Target-URI: http://y.org/\r\nContent-Length: 0\r\n\r\n",
+    ]
+    packed = []
+    for b in blocks:
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        packed.append(z.compress(b + b"\r\n\r\n") + z.flush() if warc_name.endswith(".gz") else b + b"\r\n\r\n")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(zipfile.ZipInfo("datapackage.json"), "{}")
+        z.writestr(zipfile.ZipInfo(warc_name), b"".join(packed), compress_type=method)
+        if index:
+            at = len(packed[0])
+            z.writestr(zipfile.ZipInfo("indexes/index.cdx"), f'!meta\norg,x)/ 2024 {{"url": "http://x.org/", "filename": "crawl.warc.gz", "offset": "{at}", "length": "{len(packed[1])}"}}\n', compress_type=index_method)
+        z.comment = comment
+    return str(path)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """By an index, deflated or not, by a pass over gzipped and plain members, and with a comment that looks like an end record."""
+    fake = b"PK\x05\x06" + b"\0" * 16 + b"\x07\x00"
+    cases = {"a.zip": ({"index": True}, 1), "b.zip": ({"index": True, "index_method": 8}, 1), "c.zip": ({}, 3), "d.wacz": ({"warc_name": "archive/crawl.warc", "comment": fake}, 3)}
+    for name, (how, _) in cases.items():
+        foreign(tmp_path / name, **how)
+    got = warc.read_archives(warc.find_archives(spark, str(tmp_path))).collect()
+    for name, (_, n) in cases.items():
+        mine = [r for r in got if r.archive.endswith(name)]
+        assert len(mine) == n, name
+        r = next(r for r in mine if r.record_type == "response")
+        assert (r.url, r.payload_bytes, r.payload_digest, r.page_id) == ("http://x.org/", 5, warc.payload_digest(b"hello"), None)
+        assert n == 1 or {(r.record_type, r.payload_bytes) for r in mine} == {("warcinfo", 4), ("response", 5), ("revisit", None)}
+
+
+def test_broken_archives_raise(tmp_path):
+    from pyarrow import fs
+
+    def records(data):
+        (tmp_path / "x").write_bytes(data)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "x")) as f:
+            return list(warc.ZipRanges(f).records())
+
+    whole = open(foreign(tmp_path / "w.zip"), "rb").read()
+    assert len(records(whole)) == 3
+    deflated = open(foreign(tmp_path / "d.zip", method=8), "rb").read()
+    for data, says in ((whole[:-30], "end record"), (whole[:100], "end record"), (b"", "end record"), (deflated, "byte ranges"), (whole.replace(b"PK\x01\x02", b"PK\x01\x03"), "central directory")):
+        with pytest.raises(ValueError, match=says):
+            records(data)
+
+
+def test_index_is_cdxj(spark):
+    import json
+    import zipfile
+
+    manifest = warc.write_archives(page_rows(spark), warc.archive_folder(spark))
+    for r in manifest.collect():
+        with zipfile.ZipFile(r.archive.removeprefix("file://")) as z:
+            lines = z.read(warc.INDEX_MEMBER).decode().splitlines()
+        assert lines == sorted(lines) and len(lines) == r.records
+        for line in lines:
+            key, time, told = line.split(" ", 2)
+            assert time == "20240101000000" and {"url", "digest", "offset", "length", "filename"} <= set(json.loads(told))
+    assert warc.surt("http://A.example.org/p?q") == "org,example,a)/p?q"
+
+
+def test_archives_of_failed_attempts_go(spark):
+    folder = warc.archive_folder(spark)
+    import os
+
+    os.makedirs(f"{folder.removeprefix('file:')}/archives")
+    left = f"{folder.removeprefix('file:')}/archives/left.zip"
+    open(left, "wb").write(b"half")
+    assert warc.read_archives(warc.write_archives(page_rows(spark), folder)).count() == 8
+    assert not os.path.exists(left)
+
+
 def test_no_pages_no_archives(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(none, warc.archive_folder(spark))).count() == 0
