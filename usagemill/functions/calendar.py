@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MS = {"s": 1000, "m": 60_000, "h": 3_600_000, "D": 86_400_000}
@@ -41,6 +42,16 @@ def yyyymm(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyyMM")
 
 
+def month_of(ms: int) -> str:
+    """The month partition that holds a time."""
+    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y%m")
+
+
+def in_months(df: DataFrame, t0: int, t1: int) -> DataFrame:
+    """The month partitions from one time to another, where the table is laid out by month: only their files are read."""
+    return df.where(F.col("yyyymm").between(month_of(t0), month_of(t1))) if "yyyymm" in df.columns else df
+
+
 def slot_index(now: Column, ms: Column, dim: str, width: int | None = None) -> Column:
     """Whole windows between a time and ``now``, at least 0; -1 from ``width`` windows on, if one is given."""
     if dim in MS:

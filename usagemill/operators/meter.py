@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.catalog import Catalog, formula_columns
-from .usage import small
+from ..plans.catalog import Catalog, formula_columns, numbered, picked
+from .usage import check_quantity, small
 
 
 def measures_map(measured_usage: Column) -> Column:
@@ -19,17 +17,21 @@ def measures_map(measured_usage: Column) -> Column:
 def meter(usage: DataFrame, catalog: Catalog) -> DataFrame:
     """One row a metric of the row's plan: metric, accumulate and value, or consuming and previous_consuming.
 
-    The plans' distinct expressions, tens of them, become one CASE; a metric
-    without an expression takes the measure of its name.
+    The plans' different expressions become one CASE over their numbers; a metric
+    without an expression takes the measure of its name. Usage without a plan, or
+    of one that the catalog does not have, stays as one row without a metric.
     """
     metrics = formula_columns(catalog.metrics).withColumns({"meter": F.coalesce("meter", F.concat(F.lit("m['"), "metric", F.lit("']"))), "accumulate": F.coalesce("accumulate", F.lit("sum"))})
+    timed = F.col("accumulate") == "time_based"
+    plain, values = numbered(metrics.withColumn("_plain", F.when(~timed, F.col("meter"))), "_plain")
+    both, states = numbered(plain.withColumn("_timed", F.when(timed, F.col("meter"))), "_timed")
     rows = usage.withColumn("m", measures_map(F.col("measured_usage")))
-    told = rows.join(small(metrics.select(F.col("plan_id").alias("metering_plan_id"), "metric", "unit", "accumulate", "meter")), "metering_plan_id")
-    exprs = [(r["meter"], r["accumulate"]) for r in metrics.select("meter", "accumulate").distinct().collect()]
+    told = rows.join(small(both.select(F.col("plan_id").alias("metering_plan_id"), "metric", "unit", "accumulate", "_plain_n", "_timed_n")), "metering_plan_id", "left")
+    state = {c: picked(F.col("_timed_n"), [f"({e}).{c}" for e in states]) for c in ("consuming", "previous_consuming")}
+    return told.select("*", picked(F.col("_plain_n"), values).alias("value"), *(c.alias(n) for n, c in state.items())).drop("m", "_plain_n", "_timed_n", "measured_usage")
 
-    def chain(pairs: list[tuple[str, str]], kind: str, part: str = "") -> Column:
-        parts = [(F.col("meter") == e, F.expr(f"({e}){part}").cast(kind)) for e, _ in pairs]
-        return reduce(lambda acc, x: F.when(x[0], x[1]).otherwise(acc), parts, F.lit(None).cast(kind))
 
-    timed, plain = [x for x in exprs if x[1] == "time_based"], [x for x in exprs if x[1] != "time_based"]
-    return told.select("*", chain(plain, "double").alias("value"), chain(timed, "double", ".consuming").alias("consuming"), chain(timed, "double", ".previous_consuming").alias("previous_consuming")).drop("m", "meter", "measured_usage")
+def check_metered(metered: DataFrame) -> DataFrame:
+    """Adds ``error``: no plan (and so no metric), or a quantity that is no number."""
+    quantity = F.when(F.col("accumulate") == "time_based", F.col("consuming")).otherwise(F.col("value"))
+    return metered.withColumn("error", F.when(F.col("metric").isNull(), "no metering plan").when(check_quantity(quantity), F.concat("metric", F.lit(": no quantity"))))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.calendar import bounds, slot_index
-from .accumulate import accumulate, aggregate_tree, bucket_end, decimal
+from ..functions.calendar import bounds, in_months, slot_index
+from ..plans.catalog import Catalog, numbered, picked
+from .accumulate import accumulate, accumulate_by_plan, aggregate_tree, bucket_end, decimal
+from .usage import small
 
 LEVEL_KEYS = ["level", "organization_id", "space_id", "consumer_id"]
 
 
 def as_of(metered: DataFrame, t: int, orgs: DataFrame | list[str] | None = None, resource_id: str | None = None) -> DataFrame:
-    """Usage of the month of ``t`` that was billed by then. Organizations and resource narrow the scan."""
+    """Usage of the month of ``t`` that was billed by then. A table laid out by month (yyyymm, of the usage's end) is read for that month only; organizations and resource narrow the scan."""
     start, end = bounds(F.lit(t), "M")
-    out = metered.where((F.col("end_ms") >= start) & (F.col("end_ms") < end) & (F.col("billing_ms") <= t))
+    out = in_months(metered, t, t).where((F.col("end_ms") >= start) & (F.col("end_ms") < end) & (F.col("billing_ms") <= t))
     if resource_id is not None:
         out = out.where(F.col("resource_id") == resource_id)
     if isinstance(orgs, list):
@@ -46,13 +48,17 @@ def summarize(df: DataFrame, t: int) -> DataFrame:
     return df.withColumn("summary", F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)))
 
 
-def org_report(metered: DataFrame, t: int, orgs: DataFrame | list[str] | None = None, resource_id: str | None = None) -> DataFrame:
+def org_report(metered: DataFrame, t: int, orgs: DataFrame | list[str] | None = None, resource_id: str | None = None, catalog: Catalog | None = None) -> DataFrame:
     """The report of organizations as of ``t``, a row per level, plan node, metric and window. No usage gives no rows.
 
-    ``metered`` has the keys, metric, quantities, start_ms, end_ms, arrival_ms and billing_ms.
+    ``metered`` has the keys, metric, quantities, start_ms, end_ms, arrival_ms and
+    billing_ms. With a catalog its plans' own functions accumulate, aggregate and
+    summarize; without one the named folds do.
     """
-    tree = aggregate_tree(accumulate(as_of(metered, t, orgs, resource_id)))
-    return summarize(with_slots(tree, t), t).select(*LEVEL_KEYS, *schemas.NODE, "metric", "dimension", "bucket_ms", "slot", "quantity", "consuming", "consumed", "summary")
+    rows = as_of(metered, t, orgs, resource_id)
+    tree = aggregate_tree(accumulate(rows) if catalog is None else accumulate_by_plan(rows, catalog), catalog)
+    told = with_slots(tree, t)
+    return (summarize(told, t) if catalog is None else summarize_by_plan(told, t, catalog)).select(*LEVEL_KEYS, *schemas.NODE, "metric", "dimension", "bucket_ms", "slot", "quantity", "consuming", "consumed", "summary")
 
 
 def account_report(metered: DataFrame, accounts: DataFrame, account_id: str, t: int) -> DataFrame:
@@ -68,6 +74,37 @@ def instance_report(metered: DataFrame, key: dict[str, str], t: int) -> DataFram
     return summarize(with_slots(accumulate(rows), t), t).select(*schemas.KEYS, "metric", "dimension", "bucket_ms", "slot", "quantity", "summary")
 
 
+def _by_plan(df: DataFrame, table: DataFrame, plan: str, column: str) -> tuple[DataFrame, list[str]]:
+    """The rows with the number of their plan's expression and whether the plan has the metric at all."""
+    numbers, exprs = numbered(table.select(F.col("plan_id").alias(plan), "metric", column), column)
+    return df.join(small(numbers.select(plan, "metric", F.col(f"{column}_n").alias("_n"), F.lit(True).alias("_known"))), [plan, "metric"], "left"), exprs
+
+
+def _in_window(df: DataFrame, t: int) -> DataFrame:
+    """Adds the names that plan functions see: t, from_ms and to_ms."""
+    return df.withColumns({"t": F.lit(t).cast("long"), "from_ms": F.col("bucket_ms"), "to_ms": bucket_end(F.col("dimension"), F.col("bucket_ms"))})
+
+
+def summarize_by_plan(df: DataFrame, t: int, catalog: Catalog) -> DataFrame:
+    """Adds ``summary`` by the metering plan's ``summarize``, without one the quantity; what is no number, and a metric that the plan does not have, is 0."""
+    told, exprs = _by_plan(_in_window(df, t), catalog.metrics, "metering_plan_id", "summarize")
+    value = F.when(F.col("_known"), picked(F.col("_n"), exprs, otherwise=F.col("quantity")))
+    return told.withColumn("summary", F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).select(*df.columns, "summary")
+
+
+def rate_by_plan(df: DataFrame, catalog: Catalog) -> DataFrame:
+    """Adds ``cost`` by the rating plan's ``rate``, without one price x quantity."""
+    told, exprs = _by_plan(df, catalog.rating, "rating_plan_id", "rate")
+    cost = picked(F.col("_n"), exprs, otherwise=F.col("price") * F.coalesce("quantity", F.lit(0.0)))
+    return told.withColumn("cost", cost).select(*df.columns, "cost")
+
+
+def charge_by_plan(df: DataFrame, t: int, catalog: Catalog) -> DataFrame:
+    """Adds ``charge`` by the rating plan's ``charge``, without one the cost; what is no number is 0."""
+    told, exprs = _by_plan(_in_window(df, t), catalog.rating, "rating_plan_id", "charge")
+    return told.withColumn("charge", F.coalesce(F.nanvl(picked(F.col("_n"), exprs, otherwise=F.col("cost")), F.lit(0.0)), F.lit(0.0))).select(*df.columns, "charge")
+
+
 def resource_totals(report: DataFrame) -> DataFrame:
     """Quantities and summaries of a resource over its plans."""
     total = lambda c: F.coalesce(F.sum(decimal(F.col(c))), F.lit(0)).cast("double").alias(c)
@@ -103,9 +140,14 @@ def completeness(refs: DataFrame, snapshots: DataFrame, on: list[str]) -> DataFr
     return told.groupBy("organization_id").agg(F.count("*").alias("refs"), F.count_if(F.col("_there").isNull()).alias("missing"), F.max(F.col("_there").isNull()).alias("is_partial"))
 
 
-def report_select(report: DataFrame, level: str, fields: list[str]) -> DataFrame:
-    """Fields of one level of the tree."""
-    return report.where(F.col("level") == level).select(*fields)
+def report_select(report: DataFrame, level: str | list[str], fields: list[str], leaves: list[str] | None = None) -> DataFrame:
+    """Fields of one or several levels of the tree. With ``leaves``, a row for each different ``fields`` with its cells as ``cells``: metric, dimension, slot and those leaves."""
+    rows = report.where(F.col("level").isin(level if isinstance(level, list) else [level]))
+    if leaves is None:
+        return rows.select(*fields)
+    cell = F.struct("metric", "dimension", "slot", *leaves)
+    # One node of the tree has as many cells as metrics and windows: a few dozen.
+    return rows.groupBy(*fields).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
 
 def strip_internal(report: DataFrame) -> DataFrame:

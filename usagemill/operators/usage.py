@@ -67,6 +67,23 @@ def check_quantity(value: Column) -> Column:
     return value.isNull() | F.isnan(value)
 
 
+def check_usage(df: DataFrame, catalog: Catalog, now: int, order: list[Column], denied: list[str] | None = None, slack: int = 600_000, raw: str | None = None) -> DataFrame:
+    """Adds ``error``, the first reason against each document, null for those that go on.
+
+    In order: its form (all that is wrong with it), no mapping or plan, no account or its license, usage of days to come, a
+    document that repeats one without an error, and usage of a month whose slack is over when it arrives (``arrival_ms``).
+    """
+    told = validate_account(validate_instance(validate_usage(df, raw), catalog), catalog.accounts, denied)
+    at_once = (
+        F.when(F.size("errors") > 0, F.array_join("errors", ", ")).when(F.col("instance_error").isNotNull(), F.col("instance_error"))
+        .when(F.col("account_error").isNotNull(), F.col("account_error")).when(reject_future(F.col("end_ms"), F.lit(now)), "usage of the future")
+    )
+    told = told.withColumn("error", at_once).drop("errors", "instance_error", "account_error")
+    first = F.row_number().over(Window.partitionBy(F.col("error").isNull(), *_dedup_key()).orderBy(*order))
+    later = F.when((first > 1), "duplicate").when(reject_out_of_slack(F.col("end_ms"), F.col("arrival_ms"), slack), "out of slack")
+    return told.withColumn("_later", later).withColumn("error", F.coalesce("error", "_later")).drop("_later")
+
+
 def split_errors(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(rows without a reason, rows with one in ``error``)."""
     told = df.withColumn("error", reason)
@@ -90,16 +107,21 @@ def dedup_messages(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def _dedup_key() -> list[Column]:
+    return [F.struct(F.col(c).isNull(), F.coalesce(F.col(c), F.lit(""))) if c == "dedup_id" else F.coalesce(F.col(c), F.lit("UNKNOWN")) if c == "consumer_id" else F.col(c) for c in DEDUP_KEY]
+
+
 def dedup_usage(df: DataFrame, order: list[Column]) -> DataFrame:
     """The first arrival of each key stays; an absent id is a value of its own."""
-    w = Window.partitionBy(*(F.struct(F.col(c).isNull(), F.coalesce(F.col(c), F.lit(""))) if c == "dedup_id" else F.coalesce(F.col(c), F.lit("UNKNOWN")) if c == "consumer_id" else F.col(c) for c in DEDUP_KEY)).orderBy(*order)
+    w = Window.partitionBy(*_dedup_key()).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def dedup_span_events(df: DataFrame, order: list[Column]) -> DataFrame:
     """Starts and stops repeat by id; those without an id all stay."""
-    w = Window.partitionBy("kind", F.coalesce("id", F.concat(F.lit("-"), F.monotonically_increasing_id()))).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = Window.partitionBy("kind", "id").orderBy(*order)
+    once = df.where("id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return once.unionByName(df.where("id IS NULL"))
 
 
 # ---- enrichment
@@ -118,8 +140,20 @@ def plan_lookup_as_of(usage: DataFrame, history: DataFrame, keys: list[str], ts:
     """The history row of each key that is valid at the time: valid from its time until the next one's."""
     w = Window.partitionBy(*keys).orderBy(since)
     spans = history.withColumn("_until", F.lead(since).over(w))
+    if history.limit(MAX_BROADCAST_ROWS + 1).count() > MAX_BROADCAST_ROWS:
+        return _as_of_by_month(usage, spans, keys, ts, since)
     on = [usage[k] == spans[k] for k in keys] + [usage[ts] >= spans[since], spans["_until"].isNull() | (usage[ts] < spans["_until"])]
-    return usage.join(small(spans), on, "left").drop(*(spans[k] for k in keys)).drop("_until")
+    return usage.join(F.broadcast(spans), on, "left").drop(*(spans[k] for k in keys)).drop("_until")
+
+
+def _as_of_by_month(usage: DataFrame, spans: DataFrame, keys: list[str], ts: str, since: str) -> DataFrame:
+    """The same lookup in a history too large to broadcast: rows meet by key and month, of the months that have usage (a few hundred), so a key's history is not compared with all its usage."""
+    dated = usage.withColumn("_month", trunc_dim(F.col(ts), "M"))
+    months = dated.select("_month").distinct()
+    valid = (F.col(since) < add_months(F.col("_month"), 1)) & (F.col("_until").isNull() | (F.col("_until") > F.col("_month")))
+    near = spans.join(F.broadcast(months), valid).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_month").alias("_of"), since, "_until", *(c for c in spans.columns if c not in (*keys, since, "_until")))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_month") == F.col("_of"), F.col(ts) >= F.col(since), F.col("_until").isNull() | (F.col(ts) < F.col("_until"))]
+    return dated.join(near, on, "left").drop("_month", "_of", "_until", *(f"_{k}" for k in keys))
 
 
 def price_lookup(df: DataFrame, prices: DataFrame) -> DataFrame:
@@ -136,7 +170,3 @@ def billing_ms(end_ms: Column, arrival_ms: Column) -> Column:
 def active_refs(df: DataFrame, ts: str, now: int, slack: int = 600_000) -> DataFrame:
     """References younger than two months and the slack."""
     return df.where(F.unix_millis(F.timestamp_millis(F.col(ts)) + F.expr("INTERVAL 2 MONTHS")) + slack > now)
-
-
-def month_start(ms: Column, n: int = 0) -> Column:
-    return add_months(ms, n)

@@ -1,16 +1,20 @@
 """The plan catalog as small tables: samples, formulas, merging, checks.
 
-Plan functions are Spark SQL expressions. ``meter`` sees the map ``m`` of
-measures with ``start_ms`` and ``end_ms``; ``summarize``, ``rate`` and ``charge``
-see the columns named at their operators. ``accumulate`` names a fold (sum, max,
-avg, time_based) or is a lambda for a custom one.
+Plan functions are Spark SQL expressions, joined to the rows by plan and metric
+and evaluated as one CASE. ``meter`` sees the map ``m`` of measures with
+``start_ms`` and ``end_ms``; ``summarize`` sees t, quantity, consuming, consumed,
+from_ms and to_ms, ``charge`` these and price and cost, ``rate`` price, quantity,
+consuming and consumed. Expressions that may fail use Spark's ``try_`` functions.
+``accumulate`` names a fold (sum, max, avg, time_based) or is a lambda
+``(a, x) -> ...`` for a custom one; ``aggregate`` is sum, max or last. Any other
+name raises an error.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -45,6 +49,8 @@ _SAMPLE_MAPPINGS = {
     ("test-resource", "standard"): ("test-metering-plan", "test-rating-plan-standard", "test-pricing-standard"),
 }
 _SAMPLE_PRICES = {"storage": (1.0, 0.7523, 1.06), "thousand_light_api_calls": (0.03, 0.0226, 0.0317), "heavy_api_calls": (0.15, 0.1129, 0.1585)}
+_SAMPLE_TIMED_PRICES = {("linux-pricing-basic", "memory"): (0.00014, 0.0001, 0.00015), ("linux-pricing-standard", "memory"): (0.00028, 0.00021, 0.00029), ("service-pricing-standard", "instances"): (0.00028, 0.00021, 0.00029)}
+_SAMPLE_TIMED_RATING = {("linux-rating-plan", "memory"), ("service-rating-standard", "instances"), ("test-rating-plan", "memory")}
 STANDARD_SERVICE_PLANS = {"metering": "standard-service", "rating": "service-rating-standard", "pricing": "service-pricing-standard"}
 
 #: summary of a time-based state at t, in unit-hours; of any other, the quantity itself.
@@ -61,10 +67,13 @@ class Catalog:
 
 
 def sample_catalog(spark: SparkSession, accounts: DataFrame | None = None) -> Catalog:
-    metrics = [(p, name, unit, "discrete", None, meter, fold, None, None) for p, ms in _SAMPLE_METERING.items() for name, unit, meter, fold in ms]
+    metrics = [(p, name, unit, "discrete", None, meter, fold, None, TIME_BASED_SUMMARY if fold == "time_based" else None) for p, ms in _SAMPLE_METERING.items() for name, unit, meter, fold in ms]
     mappings = [(kind, r, p, ids[i]) for (r, p), ids in _SAMPLE_MAPPINGS.items() for i, kind in enumerate(("metering", "rating", "pricing"))]
     prices = [(p, m, c, x) for p in ("object-pricing-basic", "object-pricing-standard", "test-pricing-basic", "test-pricing-standard") for m, xs in _SAMPLE_PRICES.items() for c, x in zip(("USA", "EUR", "CAN"), xs, strict=True)]
+    prices += [(p, m, c, x) for (p, m), xs in _SAMPLE_TIMED_PRICES.items() for c, x in zip(("USA", "EUR", "CAN"), xs, strict=True)]
     rating = [(p, m, None, None) for p in ("object-rating-plan", "test-rating-plan") for m in _SAMPLE_PRICES]
+    # A time-based state has no cost of its own: its price is kept for the charge.
+    rating += [(p, m, "cast(null as double)", f"({TIME_BASED_SUMMARY}) * price") for p, m in sorted(_SAMPLE_TIMED_RATING)]
     return Catalog(
         spark.createDataFrame(metrics, schemas.METERING_METRICS), spark.createDataFrame(rating, schemas.RATING_METRICS), spark.createDataFrame(prices, schemas.PRICES),
         spark.createDataFrame(mappings, schemas.MAPPINGS), accounts if accounts is not None else spark.createDataFrame([], schemas.ACCOUNTS),
@@ -77,6 +86,28 @@ def load_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> Catalo
     return Catalog(**{n: spark.read.schema(s).format(fmt).load(f"{path}/{n}") for n, s in kinds.items()})
 
 
+#: Different expressions of one kind in a catalog.
+MAX_EXPRESSIONS = 1_000
+
+
+def numbered(table: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
+    """The table with ``<column>_n``, the place of each row's expression among the different ones, and these in order."""
+    got = table.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_EXPRESSIONS + 1).collect()
+    if len(got) > MAX_EXPRESSIONS:
+        raise ValueError(f"more than {MAX_EXPRESSIONS} different expressions in {column}")
+    exprs = sorted(r[0] for r in got)
+    number = F.create_map(*(x for i, e in enumerate(exprs) for x in (F.lit(e), F.lit(i))))[F.col(column)] if exprs else F.lit(None)
+    return table.withColumn(f"{column}_n", number.cast("int")), exprs
+
+
+def picked(number: Column, exprs: list[str], kind: str = "double", otherwise: Column | None = None) -> Column:
+    """The value of the expression that a number names, as one CASE; without a number ``otherwise``."""
+    out = F.lit(None).cast(kind) if otherwise is None else otherwise
+    for i, e in enumerate(exprs):
+        out = F.when(number == i, F.expr(f"({e})").cast(kind)).otherwise(out)
+    return out
+
+
 def formula_columns(metrics: DataFrame) -> DataFrame:
     """Legacy formulas such as ``MAX({a}/12*{b})``: the fold's name (sum if none) and an expression over ``m``."""
     inner = F.regexp_extract("formula", r"^\s*(?:SUM|MAX|AVG)\s*\((.*)\)\s*$", 1)

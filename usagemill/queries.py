@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from . import testdata as td
 from .functions.calendar import doc_id, end_of_month, or_zero, slot_index, trunc_dim, yyyymm
 from .operators import accumulate as acc
 from .operators import events as ev
-from .operators import monitor, report, spans, usage
+from .operators import ingest, monitor, report, spans, usage
 
+from .operators.meter import meter
 from .plans import catalog as plans
 from .session import configure
 from .sources import state
@@ -139,12 +142,72 @@ def accumulate_custom_fold(spark, d):
     return out.select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity")
 
 
-@query("""SELECT * FROM (VALUES ('SUM({a}/12*{b})', 'sum', 'coalesce(m[''a''], 0)/12*coalesce(m[''b''], 0)'), ('MAX({l_quantity})', 'max', 'coalesce(m[''l_quantity''], 0)'), ('{x}+{y}', 'sum', 'coalesce(m[''x''], 0)+coalesce(m[''y''], 0)')) f(formula, accumulate, meter), (SELECT p_type AS metric, count(*) AS parts FROM part GROUP BY p_type)""")
+# A legacy formula for each type of part: its greatest size and how many parts it has pick the fold and the numbers.
+FORM = """form AS (SELECT p_type, max(p_size) AS size, CASE count(*) % 3 WHEN 0 THEN 'sum' WHEN 1 THEN 'max' ELSE 'avg' END AS fold FROM part GROUP BY p_type)"""
+
+
+def _formulas(spark, d) -> DataFrame:
+    fold = F.element_at(F.array(*map(F.lit, ("SUM", "MAX", "AVG"))), (F.count("*") % 3 + 1).cast("int"))
+    rows = td.table(spark, d, "part").groupBy(F.col("p_type").alias("plan_id")).agg(F.concat(fold, F.lit("({quantity}*"), F.max("p_size").cast("string"), F.lit("+{line})")).alias("formula"))
+    none = F.lit(None).cast("string")
+    return rows.select("plan_id", F.lit("units").alias("metric"), F.lit("UNIT").alias("unit"), F.lit("discrete").alias("type"), "formula", none.alias("meter"), none.alias("accumulate"), none.alias("aggregate"), none.alias("summarize"))
+
+
+@query(f"WITH {FORM} SELECT p_type AS plan_id, upper(fold) || '({{quantity}}*' || size || '+{{line}})' AS formula, fold AS accumulate, 'coalesce(m[''quantity''], 0)*' || size || '+coalesce(m[''line''], 0)' AS meter FROM form")
 def formula_columns(spark, d):
-    forms = spark.createDataFrame([("SUM({a}/12*{b})",), ("MAX({l_quantity})",), ("{x}+{y}",)], "formula string")
-    rows = td.table(spark, d, "part").groupBy(F.col("p_type").alias("metric")).agg(F.count("*").alias("parts")).crossJoin(F.broadcast(forms))
-    out = plans.formula_columns(rows.withColumns({"accumulate": F.lit(None).cast("string"), "meter": F.lit(None).cast("string")}))
-    return out.select("formula", "accumulate", "meter", "metric", "parts")
+    return plans.formula_columns(_formulas(spark, d)).select("plan_id", "formula", "accumulate", "meter")
+
+
+@query(f"""WITH {FORM}, v AS (SELECT p_type, fold, l_suppkey % 10 AS inst, epoch_ms(date_trunc('month', l_shipdate)) AS bucket_ms, CAST(l_quantity * size + l_linenumber AS DOUBLE) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN form USING (p_type))
+SELECT p_type AS plan, 'i' || inst AS instance, bucket_ms, round(CASE fold WHEN 'sum' THEN sum(value) WHEN 'max' THEN greatest(0, max(value)) ELSE avg(value) END, 6) AS quantity FROM v GROUP BY p_type, fold, inst, bucket_ms""")
+def accumulate_formula(spark, d):
+    p = td.table(spark, d, "part").select("p_partkey", "p_type")
+    measure = lambda n, q: F.struct(F.lit(n).alias("measure"), q.cast("double").alias("quantity"))
+    rows = td.spread(td.table(spark, d, "lineitem"), "l_orderkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    at = td.ms("l_shipdate")
+    used = rows.select(F.col("p_type").alias("metering_plan_id"), F.concat(F.lit("i"), (F.col("l_suppkey") % 10).cast("string")).alias("instance"), at.alias("start_ms"), at.alias("end_ms"), at.alias("arrival_ms"), F.array(measure("quantity", F.col("l_quantity")), measure("line", F.col("l_linenumber"))).alias("measured_usage"))
+    c = plans.Catalog(_formulas(spark, d), *(None,) * 4)
+    a = acc.accumulate_by_plan(meter(used, c), c, ["metering_plan_id", "instance"]).where("dimension = 'M'")
+    return a.select(F.col("metering_plan_id").alias("plan"), "instance", "bucket_ms", F.round("quantity", 6).alias("quantity"))
+
+
+# ---- the plans' own functions
+
+_GREATEST = "(a, x) -> greatest(coalesce(a, 0D), x.value)"
+_CAPPED = "(a, x) -> coalesce(a, 0D) + if(coalesce(x.month, 0D) < 100, x.value, 0D)"
+
+
+def _with_fold(catalog: plans.Catalog, metric: str, fold: str) -> plans.Catalog:
+    """The catalog with another fold of a metric in the basic plan."""
+    mine = (F.col("plan_id") == "basic-object-storage") & (F.col("metric") == metric)
+    return replace(catalog, metrics=catalog.metrics.withColumn("accumulate", F.when(mine, fold).otherwise(F.col("accumulate"))))
+
+
+def _metered_by(spark, d, c: plans.Catalog) -> DataFrame:
+    rows = usage.normalize(td.usage_from_orders(spark, d), c)
+    rows = rows.withColumns({"consumer_id": F.coalesce("consumer_id", F.lit("UNKNOWN")), "billing_ms": usage.billing_ms(F.col("end_ms"), F.col("arrival_ms"))})
+    return meter(rows, c)
+
+
+_BY_PLAN = "WITH {0}, {1} SELECT organization_id, space_id, consumer_id, plan_id, resource_instance_id, metric, dimension, bucket_ms, {2} AS quantity FROM a"
+
+
+@query(_BY_PLAN.format(MET.replace("x.fold AS accumulate", "CASE WHEN plan_id = 'basic' AND x.metric = 'heavy_api_calls' THEN 'max' ELSE x.fold END AS accumulate"), _acc(), "quantity"))
+def accumulate_plan_fold(spark, d):
+    c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _GREATEST)
+    return acc.accumulate_by_plan(_metered_by(spark, d, c), c).select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity")
+
+
+_CELL = """cell AS (SELECT *, coalesce(sum(value) OVER (PARTITION BY organization_id, space_id, consumer_id, plan_id, resource_instance_id, metric, date_trunc('month', epoch_ms(end_ms)) ORDER BY arrival_ms, value, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS month FROM met WHERE metric = 'heavy_api_calls' AND plan_id = 'basic'),
+met2 AS (SELECT * REPLACE (CASE WHEN month < 100 THEN value ELSE 0 END AS value) FROM cell)"""
+
+
+@query(f"WITH {MET}, {_CELL}, {_acc('met2')} SELECT organization_id, space_id, consumer_id, resource_instance_id, dimension, bucket_ms, quantity FROM a")
+def accumulate_cell(spark, d):
+    """Usage counts until its month's cell holds 100."""
+    c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _CAPPED)
+    m = _metered_by(spark, d, c).where("metric = 'heavy_api_calls' AND plan_id = 'basic'")
+    return acc.accumulate_by_plan(m, c).select("organization_id", "space_id", "consumer_id", "resource_instance_id", "dimension", "bucket_ms", "quantity")
 
 
 # ---- tree and reports
@@ -193,6 +256,35 @@ def summarize_time_based(spark, d):
     return s.select("organization_id", "resource_instance_id", "dimension", "bucket_ms", F.round("summary", 9).alias("summary"))
 
 
+@query(f"WITH {MEM} SELECT organization_id, resource_instance_id, dimension, bucket_ms, round(CAST(consumed - consuming * (bucket_ms + to_ms - 2 * least({T_EVENTS}, to_ms)) AS DOUBLE) / 2 / 3600000, 6) AS summary FROM tb WHERE bucket_ms <= {T_EVENTS}")
+def summarize_by_plan(spark, d):
+    a = acc.accumulate(td.metered_memory(spark, d)).where(F.col("bucket_ms") <= T_EVENTS)
+    s = report.summarize_by_plan(a, T_EVENTS, plans.sample_catalog(spark))
+    return s.select("organization_id", "resource_instance_id", "dimension", "bucket_ms", F.round("summary", 6).alias("summary"))
+
+
+@query(f"WITH {MEM} SELECT organization_id, resource_instance_id, dimension, bucket_ms, CASE WHEN organization_id IN ('org-0', 'org-1') THEN 0.00028 ELSE 0.00021 END::DOUBLE AS price, round(CAST(consumed - consuming * (bucket_ms + to_ms - 2 * least({T_EVENTS}, to_ms)) AS DOUBLE) / 2 / 3600000 * CASE WHEN organization_id IN ('org-0', 'org-1') THEN 0.00028 ELSE 0.00021 END::DOUBLE, 6) AS charge FROM tb WHERE bucket_ms <= {T_EVENTS}")
+def charge_time_based(spark, d):
+    c = plans.sample_catalog(spark)
+    m = td.metered_memory(spark, d).withColumn("pricing_country", F.when(F.col("organization_id").isin("org-0", "org-1"), "USA").otherwise("EUR"))
+    a = acc.accumulate(m, [*schemas.KEYS, "pricing_country"]).where(F.col("bucket_ms") <= T_EVENTS)
+    r = report.charge_by_plan(report.rate_by_plan(usage.price_lookup(a, c.prices), c), T_EVENTS, c)
+    return r.select("organization_id", "resource_instance_id", "dimension", "bucket_ms", "price", F.round("charge", 6).alias("charge"))
+
+
+@query(f"WITH {_asof(T_CLOSED).replace('sum(quantity) AS quantity', 'CASE WHEN metric = ' + chr(39) + 'storage' + chr(39) + ' THEN max(quantity) ELSE sum(quantity) END AS quantity')} SELECT *, {_slot(T_CLOSED)} AS slot, quantity AS summary FROM tree WHERE bucket_ms <= {T_CLOSED}")
+def org_report_by_plan(spark, d):
+    """The report in which a node's storage is its greatest instance's, as its plan asks for."""
+    c = td.catalog(spark, d)
+    c = replace(c, metrics=c.metrics.withColumn("aggregate", F.when(F.col("metric") == "storage", "max")))
+    return report.org_report(td.metered_orders(spark, d), T_CLOSED, catalog=c).select(*NODE_COLS, "slot", "quantity", "summary")
+
+
+@query(f"WITH {_asof(T_CLOSED)} SELECT level, organization_id, space_id, consumer_id, resource_id, metric, dimension, bucket_ms, {_slot(T_CLOSED)} AS slot, sum(quantity) AS quantity, sum(quantity) AS summary FROM tree WHERE bucket_ms <= {T_CLOSED} GROUP BY ALL")
+def resource_totals(spark, d):
+    return report.resource_totals(report.org_report(td.metered_orders(spark, d), T_CLOSED))
+
+
 _PRICES = "(VALUES ('storage', 'USA', 1.0), ('storage', 'EUR', 0.7523), ('thousand_light_api_calls', 'USA', 0.03), ('thousand_light_api_calls', 'EUR', 0.0226), ('heavy_api_calls', 'USA', 0.15), ('heavy_api_calls', 'EUR', 0.1129)) p(metric, country, price)"
 
 
@@ -272,6 +364,33 @@ def validate_reasons(spark, d):
     return told.groupBy("organization_id", F.array_join("errors", ",").alias("errors"), "instance_error", "account_error").agg(F.count("*").alias("n"))
 
 
+# Line items with what can be wrong with them, and the first reason against each.
+ING = f"""i AS (SELECT u.* EXCLUDE (space_id, plan_id, q), CASE WHEN ln = 7 THEN NULL ELSE space_id END AS space_id, CASE WHEN u.l_orderkey % 11 = 0 THEN 'gold' ELSE plan_id END AS plan_id, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE q END AS q, n_nationkey % 7 = 0 AS trial FROM u JOIN nation ON organization_id = 'org-' || n_nationkey),
+o AS (SELECT *, CASE WHEN space_id IS NULL THEN 'space_id: required' WHEN plan_id = 'gold' THEN 'no metering mapping' WHEN trial THEN 'license not supported' WHEN end_ms > {T_MID} - {T_MID} % 86400000 + 86399999 THEN 'usage of the future' END AS e0 FROM i),
+n AS (SELECT *, row_number() OVER (PARTITION BY e0 IS NULL, organization_id, resource_instance_id, coalesce(consumer_id, 'UNKNOWN'), resource_id, plan_id, end_ms ORDER BY arrival_ms, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS n FROM o),
+c AS (SELECT *, coalesce(e0, CASE WHEN n > 1 THEN 'duplicate' WHEN end_ms < epoch_ms(date_trunc('month', epoch_ms(arrival_ms))) AND arrival_ms > epoch_ms(date_trunc('month', epoch_ms(arrival_ms))) + 1209600000 THEN 'out of slack' END) AS e1 FROM n),
+mm AS (SELECT organization_id, space_id, coalesce(consumer_id, 'UNKNOWN') AS consumer_id, resource_id, plan_id, resource_instance_id, end_ms, arrival_ms, CASE WHEN e1 IS NULL THEN x.metric END AS metric, x.fold AS accumulate, x.v AS value, coalesce(e1, CASE WHEN x.v IS NULL THEN x.metric || ': no quantity' END) AS error
+  FROM c, UNNEST(CASE WHEN e1 IS NULL THEN [{{'metric': 'storage', 'fold': 'max', 'v': CAST(q AS DOUBLE)}}, {{'metric': 'thousand_light_api_calls', 'fold': 'sum', 'v': CAST(ln AS DOUBLE)}}, {{'metric': 'heavy_api_calls', 'fold': 'sum', 'v': CAST(q AS DOUBLE)}}] ELSE [{{'metric': NULL, 'fold': NULL, 'v': NULL}}] END) AS t(x))"""
+
+
+def _processed(spark, d) -> tuple[DataFrame, DataFrame]:
+    c = td.catalog(spark, d)
+    nan = lambda x: F.when(F.col("l_partkey") % 13 == 0, F.lit(float("nan"))).otherwise(x)
+    measures = F.transform("measured_usage", lambda m: F.struct(m["measure"].alias("measure"), F.when(m["measure"] == "light_api_calls", m["quantity"]).otherwise(nan(m["quantity"])).alias("quantity")))
+    u = td.usage_from_orders(spark, d).withColumns({"space_id": F.when(F.col("l_linenumber") != 7, F.col("space_id")), "plan_id": F.when(F.col("l_orderkey") % 11 == 0, "gold").otherwise(F.col("plan_id")), "measured_usage": measures, "start": F.col("start_ms"), "end": F.col("end_ms")})
+    return ingest.process_usage(u, c, T_MID, [F.col(x) for x in ["arrival_ms", *td.TIE]], ["TRIAL"], 1209600000)
+
+
+@query(f"WITH {U}, {ING}, {_acc('(SELECT * FROM mm WHERE error IS NULL)')} SELECT organization_id, space_id, consumer_id, plan_id, resource_instance_id, metric, dimension, bucket_ms, quantity, n FROM a")
+def process_usage(spark, d):
+    return _processed(spark, d)[0].select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity", "n")
+
+
+@query(f"WITH {U}, {ING} SELECT organization_id, consumer_id, plan_id, metric, error, count(*) AS n FROM mm WHERE error IS NOT NULL GROUP BY ALL")
+def process_usage_errors(spark, d):
+    return _processed(spark, d)[1].groupBy("organization_id", "consumer_id", "plan_id", "metric", "error").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {U} SELECT end_ms, end_ms > {T_MID} - {T_MID} % 86400000 + 86399999 AS future, count(*) AS n FROM u GROUP BY ALL")
 def reject_future(spark, d):
     return td.usage_from_orders(spark, d).groupBy("end_ms", usage.reject_future(F.col("end_ms"), F.lit(T_MID)).alias("future")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..functions.calendar import in_months
 
 #: The longest time that error documents are asked for, in ms.
 MAX_ERROR_RANGE = 2_629_746_000
@@ -24,7 +25,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     groups. Tables of many files or rows have enough of them and pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.limit(MAX_SPREAD_ROWS + 1).count() > MAX_SPREAD_ROWS:
+    if len(df.inputFiles()) >= cores or df.count() > MAX_SPREAD_ROWS:  # of Parquet the count is in the footers
         return df
     return df.repartition(cores, key)
 
@@ -64,7 +65,7 @@ def read_span_events(spark: SparkSession, path: str, fmt: str = "json") -> DataF
 
 def read_range(df: DataFrame, key: str, value: str, ts: str, t0: int, t1: int, desc: bool = True, limit: int | None = None, offset: int = 0) -> DataFrame:
     """A page of a key's documents between two times, in order of time."""
-    out = df.where((F.col(key) == value) & F.col(ts).between(t0, t1)).orderBy(F.col(ts).desc() if desc else F.col(ts).asc()).offset(offset)
+    out = in_months(df, t0, t1).where((F.col(key) == value) & F.col(ts).between(t0, t1)).orderBy(F.col(ts).desc() if desc else F.col(ts).asc()).offset(offset)
     return out if limit is None else out.limit(limit)
 
 
@@ -72,4 +73,4 @@ def read_errors(df: DataFrame, ts: str, t0: int, t1: int) -> DataFrame:
     """Error documents of at most a month, the newest first."""
     if not 0 <= t1 - t0 <= MAX_ERROR_RANGE:
         raise ValueError(f"the range must lie between 0 and {MAX_ERROR_RANGE} ms")
-    return df.where(F.col(ts).between(t0, t1)).orderBy(F.col(ts).desc())
+    return in_months(df, t0, t1).where(F.col(ts).between(t0, t1)).orderBy(F.col(ts).desc())

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.accumulate import merge_accumulated
 from ..sources.state import upsert_state
 
 
@@ -70,6 +71,29 @@ def pair_spans(events: DataFrame) -> DataFrame:
     return events.groupBy("target").transformWithStateInPandas(SpanPairing(), "target string, start_ms long, end_ms long, reason string", "append", "none")
 
 
+def accumulate_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Accumulates each micro-batch by itself (``process`` gives accumulated states) as a part of its own; a repeated batch replaces its part.
+
+    The states of all batches add up when they are read (``accumulated``), as a
+    change of state adds to the tree. ``compact`` puts parts together.
+    """
+
+    def sink(batch: DataFrame, n: int) -> None:
+        process(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def accumulated(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The states of all batches, days and months, put together."""
+    return merge_accumulated(spark.read.parquet(path).drop("batch"), keys)
+
+
+def compact(spark: SparkSession, path: str, to: str, keys: list[str]) -> None:
+    """Writes the states so far as one part of a new table, which later batches may follow."""
+    accumulated(spark, path, keys).write.parquet(f"{to}/batch=-1")
+
+
 def delta(previous: DataFrame, current: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Changes of states, current less previous: what a tree kept incrementally adds."""
     p = previous.select(*keys, F.col(value).alias("_p"))
