@@ -225,6 +225,158 @@ def test_streamed_accumulation_equals_the_batch(spark, tmp_path):
     assert sorted((float(r["sum"]), r["max"], r["n"]) for r in got) == [(-1.0, 0.0, 1), (9.0, 5.0, 3)]
 
 
+def test_far_numbers_add_up(spark):
+    df = spark.createDataFrame([(1e19,), (0.25,), (-1e19,), (-3.5,), (2.0**40 + 0.5,)], "x double")
+    assert df.agg(acc.exact_sum(F.col("x"))).first()[0] == pytest.approx(2.0**40 - 2.75)
+    assert df.where("x = 1e19").agg(acc.exact_sum(F.col("x"))).first()[0] == 1e19
+
+
+def metered(spark, catalog, rows):
+    return meter(usage.normalize(documents(spark, rows), catalog), catalog).withColumn("billing_ms", F.col("arrival_ms"))
+
+
+def test_reports_read_one_month(spark, catalog, tmp_path):
+    """Tables laid out by month are read for the months that are asked for only."""
+    rows = [(at(d, month=m), at(d, month=m), None, {"heavy_api_calls": 1}, at(d, month=m)) for m in (6, 7, 8) for d in (2, 9)]
+    path = str(tmp_path / "t")
+    state.write_usage_table(metered(spark, catalog, rows).withColumn("yyyymm", F.lit("x")).drop("yyyymm"), path, "end_ms", "organization_id", 2)
+    table, t = spark.read.parquet(path), at(20, month=7)
+
+    def months(df):
+        return {f.split("yyyymm=")[1][:6] for r in df.select(F.input_file_name().alias("f")).distinct().collect() for f in [r.f]}
+
+    def filters(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return [part for part in text.split("PartitionFilters: [")[1:] if "yyyymm" in part.split("]")[0]]
+
+    pruned = [report.as_of(table, t), state.latest_per_key(table, ["organization_id"], "end_ms", t), readers.read_range(table, "organization_id", "o", "end_ms", at(1, month=7), t), state.replay_unprocessed(table, table.limit(0), table.limit(0), ["organization_id"], "end_ms", t, 86_400_000), report.org_report(table, t), report.instance_report(table, {"organization_id": "o"}, t)]
+    assert all(filters(df) for df in pruned)
+    assert months(report.as_of(table, t)) == {"201807"} and report.as_of(table, t).count() == 2 * 3
+    found = state.find_usage(table.select("resource_instance_id").distinct(), table, table.limit(0).withColumn("error", F.lit("e")), "resource_instance_id", ["end_ms"], (t, t))
+    assert filters(found) and found.count() == 6
+    got = report.org_report(table, t).where("level = 'org' AND metric = 'heavy_api_calls' AND dimension = 'M'").collect()
+    assert [r.quantity for r in got] == [2.0]
+
+
+def test_unknown_folds_raise(spark, catalog):
+    from dataclasses import replace
+
+    rows = metered(spark, catalog, [(at(1), at(1), None, {"storage": 1}, at(1))])
+    with pytest.raises(Exception, match="no such fold: median"):
+        acc.accumulate(rows.withColumn("accumulate", F.lit("median"))).collect()
+    odd = replace(catalog, metrics=catalog.metrics.withColumn("accumulate", F.lit("median")))
+    with pytest.raises(ValueError, match="no such fold: median"):
+        acc.accumulate_by_plan(rows, odd)
+    with pytest.raises(Exception, match="no such aggregate: odd"):
+        acc.aggregate_tree(acc.accumulate(rows), replace(catalog, metrics=catalog.metrics.withColumn("aggregate", F.lit("odd")))).collect()
+
+
+def test_aggregate_last_of_a_plan(spark, catalog):
+    from dataclasses import replace
+
+    rows = metered(spark, catalog, [(at(1), at(1), None, {"heavy_api_calls": 5}, at(2)), (at(1), at(1), "x", {"heavy_api_calls": 7}, at(3))])
+    rows = rows.withColumn("resource_instance_id", F.when(F.col("arrival_ms") == at(2), "a").otherwise("b"))
+    c = replace(catalog, metrics=catalog.metrics.withColumn("aggregate", F.when(F.col("metric") == "heavy_api_calls", "last")))
+    got = acc.aggregate_tree(acc.accumulate(rows), c).where("metric = 'heavy_api_calls' AND dimension = 'M'").collect()
+    assert {(r.level, r.quantity) for r in got} == {("org", 7.0), ("space", 7.0), ("consumer", 7.0)}
+
+
+def test_usage_without_a_plan_is_told(spark, catalog):
+    from usagemill.operators import ingest
+    from usagemill.operators.meter import check_metered
+
+    df = documents(spark, [(at(1), at(1), None, {"storage": 1 << 30}, at(1)), (at(2), at(2), None, {"storage": float("nan")}, at(2))]).withColumn("plan_id", F.when(F.col("start") == at(1), "basic").otherwise("none"))
+    told = check_metered(meter(usage.normalize(df, catalog), catalog)).collect()
+    assert sorted(str(r.error) for r in told) == ["None", "None", "None", "no metering plan"]
+    c = sample_catalog(spark, spark.createDataFrame([("acc", ["o"], "USA", "")], schemas.ACCOUNTS))
+    ok, errors = ingest.process_usage(df.withColumn("plan_id", F.lit("basic")), c, at(3), [F.col("arrival_ms")])
+    assert [(r.metric, r.error) for r in errors.collect()] == [("storage", "storage: no quantity")]
+    assert ok.where("metric = 'storage' AND dimension = 'M'").first().quantity == 1.0
+
+
+def test_three_batches_equal_one(spark, tmp_path):
+    c = sample_catalog(spark)
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        t = at(1) + rng.randrange(40 * MS["D"])
+        rows.append((t, t, f"d{i}", {"current_instance_memory": rng.randrange(4) << 30, "current_running_instances": rng.randrange(3), "previous_instance_memory": rng.randrange(4) << 30, "previous_running_instances": rng.randrange(3), "storage": rng.randrange(9) << 30, "heavy_api_calls": rng.random()}, at(25) + i))
+    df = documents(spark, rows).withColumn("resource_id", F.lit("test-resource"))
+    for i in range(3):
+        df.where(F.col("arrival_ms") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    process = lambda batch: acc.accumulate(meter(usage.normalize(batch, c), c))
+    out = str(tmp_path / "out")
+    pipeline.accumulate_batches(stream, process, out, str(tmp_path / "cp")).awaitTermination(180)
+    assert spark.read.parquet(out).select("batch").distinct().count() == 3
+    cols = [*schemas.KEYS, *acc.WINDOW, "n", "quantity", "consuming", "consumed", "since_ms"]
+    told = lambda a: sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in a.select(*cols).collect())
+    want = told(process(df))
+    assert told(pipeline.accumulated(spark, out, schemas.KEYS)) == want
+    pipeline.compact(spark, out, str(tmp_path / "compact"), schemas.KEYS)
+    assert told(pipeline.accumulated(spark, str(tmp_path / "compact"), schemas.KEYS)) == want
+
+
+def test_long_histories_are_joined_by_month(spark, monkeypatch):
+    history = spark.createDataFrame([("p", 0, "v0"), ("p", at(3, month=7), "v1"), ("p", at(9, month=7), "v2"), ("q", at(5, month=8), "w")], "plan_id string, valid_from long, name string")
+    rows = spark.createDataFrame([(i, p, at(d, month=m)) for i, (p, d, m) in enumerate([("p", 1, 7), ("p", 3, 7), ("p", 4, 7), ("p", 20, 8), ("q", 1, 8), ("q", 6, 8), ("x", 1, 8)])], "i int, plan_id string, end_ms long")
+    told = lambda: sorted((r.i, str(r["name"])) for r in usage.plan_lookup_as_of(rows, history, ["plan_id"]).collect())
+    want = told()
+    assert want == [(0, "v0"), (1, "v1"), (2, "v1"), (3, "v2"), (4, "None"), (5, "w"), (6, "None")]
+    monkeypatch.setattr(usage, "MAX_BROADCAST_ROWS", 1)
+    assert told() == want
+
+
+def test_selections_of_the_tree(spark, catalog):
+    t = at(15)
+    r = report.org_report(metered(spark, catalog, [(t, t, None, {"heavy_api_calls": 2, "storage": 1 << 30}, t)]), t + 1)
+    got = report.report_select(r.where("metric != 'thousand_light_api_calls'"), ["org", "space"], ["level", "organization_id", "space_id"], ["summary"]).orderBy("level").collect()
+    assert [(x.level, x.space_id) for x in got] == [("org", None), ("space", "s")]
+    assert [(c.metric, c.dimension, c.slot, c.summary) for c in got[0].cells] == [("heavy_api_calls", "D", 0, 2.0), ("heavy_api_calls", "M", 0, 2.0), ("storage", "D", 0, 1.0), ("storage", "M", 0, 1.0)]
+
+
+def test_catalog_is_stored_and_read(spark, catalog, tmp_path):
+    from usagemill.plans.catalog import load_catalog
+
+    for n in ("metrics", "rating", "prices", "mappings", "accounts"):
+        getattr(catalog, n).write.parquet(str(tmp_path / n))
+    back = load_catalog(spark, str(tmp_path))
+    assert sorted(map(str, back.metrics.collect())) == sorted(map(str, catalog.metrics.collect())) and back.prices.count() == catalog.prices.count()
+
+
+def test_other_readers_and_writers(spark, catalog, tmp_path):
+    """Service and span events, usage streams, error tables, reports, unknown metrics, empty reports, time slack."""
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.json").write_text('{"metadata":{"guid":"a","created_at":5},"entity":{"state":"CREATED","service_instance_type":"managed_service_instance","service_guid":"g"}}\n{"metadata":{"guid":"b","created_at":5},"entity":{"state":"CREATED","service_instance_type":"user_provided"}}\n')
+    assert [r.metadata.guid for r in readers.read_service_events(spark, str(tmp_path / "s"), ["g"]).collect()] == ["a"]
+    assert readers.read_service_events(spark, str(tmp_path / "s"), ["h"]).count() == 0
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.json").write_text('{"kind":"start","id":"1","timestamp":5,"organization_id":"o"}\n')
+    assert readers.read_span_events(spark, str(tmp_path / "p")).first().kind == "start"
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "a.json").write_text('{"start":1,"end":2,"organization_id":"o"}\n')
+    assert len(run_to_memory(spark, readers.read_usage_stream(spark, str(tmp_path / "u")), "used", tmp_path, "append")) == 1
+    good, bad = usage.split_errors(spark.createDataFrame([(1, at(1)), (2, at(2))], "i int, ts long"), F.when(F.col("i") == 2, "odd"))
+    state.write_errors(bad, str(tmp_path / "e"), "ts")
+    errors = spark.read.parquet(str(tmp_path / "e"))
+    assert good.count() == 1 and [r.error for r in readers.read_errors(errors, "ts", at(1), at(3)).collect()] == ["odd"]
+    state.write_report(good, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+    t = at(15)
+    rows = metered(spark, catalog, [(t, t, None, {"heavy_api_calls": 2}, t)])
+    assert report.org_report(rows, t - 40 * MS["D"]).count() == 0
+    told = report.summarize_by_plan(acc.accumulate(rows).withColumn("metric", F.lit("unknown")), t, catalog)
+    assert {r.summary for r in told.collect()} == {0.0}
+    assert ev.strip_to_schema is not None and spark.createDataFrame([(at(1, month=5),), (at(1, month=7),)], "ts long").where(usage.span_slack(F.col("ts"), at(1))).count() == 1
+
+
+def test_approximate_percentiles(spark):
+    from usagemill.operators import monitor
+
+    r = monitor.approximate_percentiles(spark.range(1001).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v")), ["k"], "v").first()
+    assert abs(r.p50 - 500) <= 1 and abs(r.p99_5 - 995) <= 1 and r.p100 == 1000 and r["mean"] == 500
+
+
 def test_exact_sum_is_the_same_in_any_order(spark):
     values = [0.1] * 10 + [1e15, -1e15, -0.3, 0.000000001, float("nan"), float("inf"), None]
     for xs in (values, values[::-1]):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,25 +34,59 @@ def build_spans(events: DataFrame, target: list[str], order: list[str], ts: str
 def build_spans_by_fold(events: DataFrame, target: list[str], order: str, ts: str = "timestamp") -> DataFrame:
     """Spans of events that may come out of order: per target (start_ms, end_ms, null while open) and the rejects by reason.
 
-    The events of a target are folded in order of arrival, in one row; a stop
-    before its span's start is out of order and leaves the span open.
+    A target's events are dealt to one task and sorted there by order of arrival,
+    which spills; they stream past a state of one open start, and a closed span
+    leaves at once, so no target's events are ever held together. A stop before
+    its span's start is out of order and leaves the span open.
     """
-    rows = events.groupBy(*target).agg(F.array_sort(F.collect_list(F.struct(order, F.col(ts).alias("ts"), "kind"))).alias("xs"))
-    zero = "named_struct('open', cast(null as bigint), 'spans', cast(array() as array<struct<s:bigint,e:bigint>>), 'conflicts', 0L, 'missing', 0L, 'disordered', 0L)"
-
-    def state(open_: str = "a.open", spans: str = "a.spans", **more: int) -> str:
-        counts = ", ".join(f"'{c}', a.{c} + {more.get(c, 0)}L" for c in ("conflicts", "missing", "disordered"))
-        return f"named_struct('open', {open_}, 'spans', {spans}, {counts})"
-
-    step = f"""(a, x) -> CASE
-      WHEN x.kind = 'start' AND a.open IS NULL THEN {state("x.ts")}
-      WHEN x.kind = 'start' THEN {state(conflicts=1)}
-      WHEN a.open IS NULL THEN {state(missing=1)}
-      WHEN x.ts < a.open THEN {state(disordered=1)}
-      ELSE {state("cast(null as bigint)", "array_append(a.spans, named_struct('s', a.open, 'e', x.ts))")} END"""
-    done = rows.withColumn("a", F.expr(f"aggregate(xs, {zero}, {step})"))
-    spans = F.expr("if(a.open IS NULL, a.spans, array_append(a.spans, named_struct('s', a.open, 'e', cast(null as bigint))))")
-    return done.select(*target, F.expr("a.conflicts"), F.expr("a.missing"), F.expr("a.disordered"), F.explode_outer(spans).alias("s")).select(*target, F.col("s.s").alias("start_ms"), F.col("s.e").alias("end_ms"), "conflicts", "missing", "disordered")
+    names = [f"_t{i}" for i in range(len(target))]
+    rows = events.select(*(F.col(t).alias(n) for t, n in zip(target, names, strict=True)), F.col(order).alias("_o"), F.col(ts).cast("long").alias("ts"), "kind")
+    kinds = ", ".join(f"{n} {events.schema[t].dataType.simpleString()}" for t, n in zip(target, names, strict=True))
+    dealt = rows.repartition(*names).sortWithinPartitions(*names, "_o", "ts", "kind").drop("_o")
+    told = dealt.mapInPandas(_folded(names), f"{kinds}, start_ms long, end_ms long, conflicts long, missing long, disordered long")
+    # A target's counts come with its last row; spans take them from there.
+    totals = told.where("conflicts IS NOT NULL").select(*(F.col(n).alias(f"{n}_") for n in names), "conflicts", "missing", "disordered")
+    found = told.drop("conflicts", "missing", "disordered").where("start_ms IS NOT NULL")
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
+    both = totals.join(found, same, "left").select(*(F.col(f"{n}_").alias(t) for t, n in zip(target, names, strict=True)), "start_ms", "end_ms", "conflicts", "missing", "disordered")
+    return both
+
+
+def _folded(names: list[str]):
+    """Closed spans as they close; with a target's end its open span, if there is one, and its counts of rejects."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start, counts, out = None, None, [0, 0, 0], []
+
+        def frame() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=[*names, "start_ms", "end_ms", "conflicts", "missing", "disordered"], dtype=object)
+            return made.astype({c: "Int64" for c in made.columns[len(names) :]})
+
+        for batch in batches:
+            for *now, ts, kind in batch.itertuples(index=False, name=None):
+                if now != key:
+                    if key is not None:
+                        out.append((*key, start, None, *counts))
+                    key, start, counts = now, None, [0, 0, 0]
+                if kind == "start" and start is None:
+                    start = int(ts)
+                elif kind == "start":
+                    counts[0] += 1
+                elif start is None:
+                    counts[1] += 1
+                elif ts < start:
+                    counts[2] += 1
+                else:
+                    out.append((*key, start, int(ts), None, None, None))
+                    start = None
+            if out:
+                yield frame()
+                out.clear()
+        if key is not None:
+            out.append((*key, start, None, *counts))
+            yield frame()
+
+    return run
 
 
 def next_interval_end(last_end: Column, span_end: Column, dim: str = "D") -> Column:
