@@ -271,6 +271,17 @@ def test_unknown_folds_raise(spark, catalog):
         acc.aggregate_tree(acc.accumulate(rows), replace(catalog, metrics=catalog.metrics.withColumn("aggregate", F.lit("odd")))).collect()
 
 
+def test_folds_of_long_windows_go_piece_by_piece(spark, catalog):
+    rows = metered(spark, catalog, [(at(1) + i, at(1) + i, f"d{i}", {"heavy_api_calls": i % 7}, at(2) + i) for i in range(50)] + [(at(5), at(5), "x", {"heavy_api_calls": 3}, at(6))]).where("metric = 'heavy_api_calls'")
+    fold = "coalesce(a, 1D) * 0.9D + x.value"
+    told = lambda n: sorted((r.dimension, r.bucket_ms, r.quantity) for r in acc.accumulate_custom(rows, fold, piece=n).collect())
+    a = None
+    for i in range(50):
+        a = (1.0 if a is None else a) * 0.9 + i % 7
+    want = told(1000)
+    assert ("D", at(1), pytest.approx(a)) in want and told(8) == want
+
+
 def test_aggregate_last_of_a_plan(spark, catalog):
     from dataclasses import replace
 

@@ -62,6 +62,8 @@ def _real(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+#: Usages of one key and window that a user fold gathers in one row.
+MAX_PIECE = 100_000
 FOLDS = ("sum", "max", "avg", "time_based")
 _PARTS = ("high", "low", "parts", "far")
 
@@ -110,14 +112,16 @@ def merge_accumulated(states: DataFrame, keys: list[str] = schemas.KEYS) -> Data
     return told.select(*keys, *WINDOW, "n", "_sum", _quantity(F.col("_sum"), F.col("_max"), F.col("n")).alias("quantity"), "consuming", "consumed", "since_ms", "latest", "latest_ms")
 
 
-def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as double)", keys: list[str] = schemas.KEYS, order: str = "arrival_ms", cells: bool = False) -> DataFrame:
+def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as double)", keys: list[str] = schemas.KEYS, order: str = "arrival_ms", cells: bool = False, piece: int = MAX_PIECE) -> DataFrame:
     """A user fold in order of arrival: ``merge`` is a SQL lambda body over a (state) and x (value, start_ms, end_ms, from_ms, to_ms).
 
     With ``cells``, x has the sums of the key's usage that arrived before it in the
     same day (``day``) and month (``month``), null if there was none.
 
-    The usages of one key and window are gathered in one row, so a window of a
-    single instance must fit a task; mergeable folds belong in ``accumulate``.
+    Up to ``piece`` usages of one key and window are gathered in one row. A window
+    of more is folded piece by piece, in as many rounds as the longest one has
+    pieces, each round taking up the states of the one before; such a fold has no
+    other order than one after the other, so mergeable ones belong in ``accumulate``.
     """
     fields = ["value", "start_ms", "end_ms"]
     if cells:
@@ -127,8 +131,19 @@ def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as
         fields += ["day", "month"]
     w = buckets(metered)
     x = F.struct(F.col(order).alias("o"), *fields, F.col("bucket_ms").alias("from_ms"), bucket_end(F.col("dimension"), F.col("bucket_ms")).alias("to_ms"))
-    folded = w.groupBy(*keys, "metric", "dimension", "bucket_ms").agg(F.array_sort(F.collect_list(x)).alias("xs"))
-    return folded.select(*keys, "metric", "dimension", "bucket_ms", F.expr(f"aggregate(xs, {zero}, (a, x) -> {merge})").alias("quantity"))
+    ids = [*keys, "metric", "dimension", "bucket_ms"]
+    folded = lambda rows: rows.groupBy(*ids).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = w.select(*ids, x.alias("x"))
+    if (rows.groupBy(*ids).count().agg(F.max("count")).first()[0] or 0) <= piece:
+        return folded(rows).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> {merge})").alias("quantity"))
+    turn = F.floor((F.row_number().over(Window.partitionBy(*ids).orderBy("x")) - 1) / piece)
+    rows = rows.withColumn("_turn", turn).checkpoint()
+    done = folded(rows.where("_turn = 0")).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> {merge})").alias("quantity"))
+    for i in range(1, int(rows.agg(F.max("_turn")).first()[0]) + 1):
+        after = folded(rows.where(F.col("_turn") == i)).select(*(F.col(c).alias(f"_{c}") for c in ids), "xs")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+        done = done.join(after, same, "left").select(*ids, F.expr(f"if(xs IS NULL, quantity, aggregate(xs, quantity, (a, x) -> {merge}))").alias("quantity")).checkpoint()
+    return done
 
 
 def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = schemas.KEYS, order: str = "arrival_ms") -> DataFrame:
