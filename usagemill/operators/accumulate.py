@@ -37,24 +37,24 @@ def decimal(x: Column) -> Column:
 
 
 #: Numbers from here on add up as doubles.
-_FAR = 1e15
+_FAR = 1e11
 
 
 def number_parts(x: Column) -> dict[str, Column]:
-    """A number in parts that add up as longs, whatever the order: units of 2^20, the rest of the whole part, billionths; and numbers from 1e15 on, as they are. NaN and infinity are left out."""
+    """A number in parts that add up as longs, whatever the order: the whole part and billionths; and numbers from 1e11 on, as they are. NaN and infinity are left out."""
     near = F.when(F.abs(x) < _FAR, x)
     whole = near.cast("long")
-    return {"high": F.shiftright(whole, 20), "low": whole.bitwiseAND((1 << 20) - 1), "parts": F.round((near - whole) * 1e9).cast("long"), "far": F.when((F.abs(x) >= _FAR) & (F.abs(x) < float("inf")), x)}
+    return {"whole": whole, "parts": F.round((near - whole) * 1e9).cast("long"), "far": F.when((F.abs(x) >= _FAR) & (F.abs(x) < float("inf")), x)}
 
 
 def number_of(parts: dict[str, Column]) -> Column:
     """The number that sums of parts make, null if nothing was added."""
-    near = (parts["high"].cast("double") * (1 << 20) + parts["low"].cast("double")) + parts["parts"].cast("double") / 1e9
+    near = parts["whole"].cast("double") + parts["parts"].cast("double") / 1e9
     return F.when(parts["far"].isNull(), near).otherwise(F.coalesce(near, F.lit(0.0)) + parts["far"])
 
 
 def exact_sum(x: Column) -> Column:
-    """The sum to nine decimal places, whatever the order, for numbers below 1e15 and some 10^10 of them; larger ones add as doubles. NaN and infinity are left out."""
+    """The sum to nine decimal places, whatever the order, for numbers below 1e11 and some 10^8 of these or 10^10 small ones; larger ones add as doubles. NaN and infinity are left out."""
     return number_of({k: F.sum(c) for k, c in number_parts(x).items()})
 
 
@@ -65,35 +65,30 @@ def _real(x: Column) -> Column:
 #: Usages of one key and window that a user fold gathers in one row.
 MAX_PIECE = 100_000
 FOLDS = ("sum", "max", "avg", "time_based")
-_PARTS = ("high", "low", "parts", "far")
 
 
-def accumulate(metered: DataFrame, keys: list[str] = schemas.KEYS, order: str = "arrival_ms") -> DataFrame:
-    """Per key, metric and window: quantity, the time-based state (consuming, consumed, since_ms), count, and what ``merge_accumulated`` needs (_sum, latest).
+def accumulate(metered: DataFrame, keys: list[str] = schemas.KEYS, order: str = "arrival_ms", mergeable: bool = False) -> DataFrame:
+    """Per key, metric and window: quantity, the time-based state (consuming, consumed, since_ms), count and _sum; if ``mergeable``, also what ``merge_accumulated`` and an aggregate of last states need (latest, latest_ms).
 
     The metric's ``accumulate`` picks the fold: sum; max, never below 0; avg;
     time_based, whose ``consuming`` is that of the latest start, the later arrival
-    on a tie. Another name raises an error. Days are folded from the rows, and
-    months from days. NaN counts nowhere (``check_metered`` tells of it).
+    on a tie. Another name raises an error. NaN counts nowhere (``check_metered``
+    tells of it).
     """
+    w = buckets(metered)
+    span = (F.col("bucket_ms") + bucket_end(F.col("dimension"), F.col("bucket_ms")) - 2 * F.col("start_ms")).cast("decimal(14,0)")
+    change = (F.coalesce("consuming", F.lit(0.0)) + F.coalesce("previous_consuming", F.lit(0.0))).cast("decimal(18,6)")
     timed = F.col("accumulate") == "time_based"
-    change = F.when(timed, (F.coalesce("consuming", F.lit(0.0)) + F.coalesce("previous_consuming", F.lit(0.0))).cast("decimal(18,6)"))
     # Start and arrival as one number: unlike a struct it can be kept in a hash aggregate.
     latest = F.when(F.col("consuming").isNotNull(), (F.col("start_ms").cast("decimal(18,0)") * F.lit(Decimal(10) ** 19) + F.col(order).cast("decimal(19,0)")).cast("decimal(38,0)"))
-    by = ["metric", "accumulate", "bucket_ms"]
-    rows = metered.select(
-        *keys, "metric", "accumulate", trunc_dim(F.col("end_ms"), "D").alias("bucket_ms"), *(c.alias(f"_{k}") for k, c in number_parts(F.col("value")).items()), _real(F.col("value")).alias("_max"),
-        change.alias("_change"), (change * F.col("start_ms")).cast("decimal(28,6)").alias("_moment"), "consuming", latest.alias("latest"), "start_ms", F.col(order).cast("long").alias("latest_ms"),
+    more = [F.max(latest).alias("latest"), F.max(F.col(order).cast("long")).alias("latest_ms")] if mergeable else []
+    grouped = w.groupBy(*keys, *WINDOW).agg(
+        exact_sum(F.col("value")).alias("_sum"), F.max(_real(F.col("value"))).alias("_max"), F.count("*").alias("n"),
+        F.sum(F.when(timed, (change * span).cast("decimal(28,6)"))).cast("double").alias("_consumed"),
+        F.max_by("consuming", latest).alias("_consuming"), F.max("start_ms").alias("_since"), *more,
     )
-    sums = [*(F.sum(f"_{k}").alias(f"_{k}") for k in _PARTS), F.max("_max").alias("_max"), F.sum("_change").cast("decimal(28,6)").alias("_change"), F.sum("_moment").cast("decimal(28,6)").alias("_moment"), F.max_by("consuming", "latest").alias("consuming"), F.max("latest").alias("latest"), F.max("start_ms").alias("start_ms"), F.max("latest_ms").alias("latest_ms")]
-    days = rows.groupBy(*keys, *by).agg(*sums, F.count("*").alias("n"))
-    months = days.withColumn("bucket_ms", trunc_dim(F.col("bucket_ms"), "M")).groupBy(*keys, *by).agg(*sums, F.sum("n").alias("n"))
-    both = days.withColumn("dimension", F.lit("D")).unionByName(months.withColumn("dimension", F.lit("M")))
-    total = number_of({k: F.col(f"_{k}") for k in _PARTS})
-    span = (F.col("bucket_ms") + bucket_end(F.col("dimension"), F.col("bucket_ms"))).cast("decimal(14,0)")
-    consumed = ((F.col("_change") * span).cast("decimal(38,6)") - 2 * F.col("_moment")).cast("double")
-    out = both.select(*keys, *WINDOW, "n", total.alias("_sum"), _quantity(total, F.col("_max"), F.col("n")).alias("quantity"), F.when(timed, F.col("consuming")).alias("consuming"), F.when(timed, consumed).alias("consumed"), F.when(timed, F.col("start_ms")).alias("since_ms"), "latest", "latest_ms")
-    return out
+    state = [F.when(timed, F.col(f"_{c}")).alias(n) for c, n in (("consuming", "consuming"), ("consumed", "consumed"), ("since", "since_ms"))]
+    return grouped.select(*keys, *WINDOW, "n", "_sum", _quantity(F.col("_sum"), F.col("_max"), F.col("n")).alias("quantity"), *state, *(["latest", "latest_ms"] if mergeable else []))
 
 
 def _quantity(total: Column, greatest: Column, n: Column) -> Column:
@@ -104,7 +99,7 @@ def _quantity(total: Column, greatest: Column, n: Column) -> Column:
 
 
 def merge_accumulated(states: DataFrame, keys: list[str] = schemas.KEYS) -> DataFrame:
-    """States of the same keys and windows, accumulated from different usage, put together: what ``accumulate`` gives for all of it."""
+    """Mergeable states of the same keys and windows, accumulated from different usage, put together: what ``accumulate`` gives for all of it."""
     told = states.groupBy(*keys, *WINDOW).agg(
         F.sum("n").alias("n"), exact_sum(F.col("_sum")).alias("_sum"), F.max("quantity").alias("_max"), F.max_by("consuming", "latest").alias("consuming"),
         F.sum(F.col("consumed").cast("decimal(28,6)")).cast("double").alias("consumed"), F.max("since_ms").alias("since_ms"), F.max("latest").alias("latest"), F.max("latest_ms").alias("latest_ms"),
@@ -146,13 +141,13 @@ def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as
     return done
 
 
-def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = schemas.KEYS, order: str = "arrival_ms") -> DataFrame:
+def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = schemas.KEYS, order: str = "arrival_ms", mergeable: bool = False) -> DataFrame:
     """``accumulate`` for the named folds of the catalog, ``accumulate_custom`` for each of its lambdas ``(a, x) -> ...``; a name that is neither raises an error."""
     _, folds = numbered(formula_columns(catalog.metrics), "accumulate")
     custom = [f for f in folds if re.match(r"\(\s*a\s*,\s*x\s*\)\s*->", f)]
     if unknown := set(folds) - set(FOLDS) - set(custom):
         raise ValueError(f"no such fold: {', '.join(sorted(unknown))}")
-    out = accumulate(metered.where(~F.coalesce(F.col("accumulate").isin(custom), F.lit(False))) if custom else metered, keys, order)
+    out = accumulate(metered.where(~F.coalesce(F.col("accumulate").isin(custom), F.lit(False))) if custom else metered, keys, order, mergeable)
     for fold in custom:
         rows = metered.where(F.col("accumulate") == fold)
         found = accumulate_custom(rows, fold.split("->", 1)[1], keys=keys, order=order, cells=bool(re.search(r"\bx\.(day|month)\b", fold)))
@@ -161,38 +156,27 @@ def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = s
 
 
 def aggregate_tree(acc: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """Instances per organization, space and consumer; ``level`` names the grouping.
+    """Instances per organization, space and consumer, all levels in one shuffle; ``level`` names the grouping.
 
-    Instances add up to consumers first, and all levels come from those, in one
-    more shuffle. With a catalog, a metric's ``aggregate`` may be max, or last: the
-    quantity of the latest arrival that changed an instance (``latest_ms`` of ``acc``).
+    With a catalog, a metric's ``aggregate`` may be max, or last: the quantity of
+    the latest arrival that changed an instance (``latest_ms`` of mergeable states).
     """
     node = [*schemas.NODE, *WINDOW]
-    rows = acc
-    if catalog is None:
-        rows = rows.withColumns({"_by": F.lit(None).cast("string"), "_at": F.lit(None).cast("long")})
-    else:
+    three = ["organization_id", "space_id", "consumer_id"]
+    more, quantity = [], F.when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).otherwise(F.col("quantity"))  # the average of a node is that of all its usages
+    if catalog is not None:
         by = catalog.metrics.select(F.col("plan_id").alias("metering_plan_id"), "metric", F.col("aggregate").alias("_by")).where("_by IS NOT NULL")
-        rows = rows.join(small(by), ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms").cast("long") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
-    rows = rows.select(
-        "organization_id", "space_id", "consumer_id", *node, "_by", "_at", "n", "quantity", *(decimal(F.col(c)).alias(c) for c in ("consuming", "consumed")),
-        *(c.alias(f"_q{k}") for k, c in number_parts(F.col("quantity")).items()), *(c.alias(f"_s{k}") for k, c in number_parts(F.when(F.col("accumulate") == "avg", F.col("_sum"))).items()),
+        acc = acc.join(small(by), ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
+        more = [F.max("_by").alias("_by"), F.max("quantity").alias("_greatest"), F.max_by("quantity", "_at").alias("_last")]
+        unknown = F.raise_error(F.concat(F.lit("no such aggregate: "), "_by")).cast("double")
+        quantity = F.when(F.col("_by").isNull() | (F.col("_by") == "sum"), quantity).when(F.col("_by") == "max", F.col("_greatest")).when(F.col("_by") == "last", F.col("_last")).otherwise(unknown)
+    pick = lambda c: F.sum(decimal(F.col(c))).cast("double").alias(c)
+    tree = acc.groupingSets([[F.col(c) for c in lv + node] for lv in (three[:1], three[:2], three)], *three, *node).agg(
+        exact_sum(F.col("quantity")).alias("quantity"), pick("consuming"), pick("consumed"), F.sum("n").alias("n"), exact_sum(F.when(F.col("accumulate") == "avg", F.col("_sum"))).alias("_sum"),
+        F.grouping("space_id").alias("_g1"), F.grouping("consumer_id").alias("_g2"), *more,
     )
-    sums = [
-        *(F.sum(f"_{x}{k}").alias(f"_{x}{k}") for x in "qs" for k in _PARTS), *(decimal(F.sum(c)).alias(c) for c in ("consuming", "consumed")), F.sum("n").alias("n"),
-        F.max("_greatest").alias("_greatest"), F.max_by("_last", "_at").alias("_last"), F.max("_at").alias("_at"), F.max("_by").alias("_by"),
-    ]
-    three = ["organization_id", "space_id", "consumer_id"]
-    consumers = rows.withColumns({"_greatest": F.col("quantity"), "_last": F.col("quantity")}).groupBy(*three, *node).agg(*sums)
-    levels = [three[:1], three[:2], three]
-    tree = consumers.groupingSets([[F.col(c) for c in lv + node] for lv in levels], *three, *node).agg(*sums, F.grouping("space_id").alias("_g1"), F.grouping("consumer_id").alias("_g2"))
     level = F.when(F.col("_g1") == 1, "org").when(F.col("_g2") == 1, "space").otherwise("consumer")
-    total = number_of({k: F.col(f"_q{k}") for k in _PARTS})
-    # The average of a node is that of all its usages.
-    mean = number_of({k: F.col(f"_s{k}") for k in _PARTS}) / F.col("n")
-    unknown = F.raise_error(F.concat(F.lit("no such aggregate: "), "_by")).cast("double")
-    quantity = F.when(F.col("_by").isNull() | (F.col("_by") == "sum"), F.when(F.col("accumulate") == "avg", mean).otherwise(total)).when(F.col("_by") == "max", F.col("_greatest")).when(F.col("_by") == "last", F.col("_last")).otherwise(unknown)
-    return tree.select(*three, *node, quantity.alias("quantity"), *(F.col(c).cast("double").alias(c) for c in ("consuming", "consumed")), level.alias("level"))
+    return tree.select(*three, *node, quantity.alias("quantity"), "consuming", "consumed", level.alias("level"))
 
 
 def rollup_resource(tree: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def pair_spans(events: DataFrame) -> DataFrame:
 
 
 def accumulate_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Accumulates each micro-batch by itself (``process`` gives accumulated states) as a part of its own; a repeated batch replaces its part.
+    """Accumulates each micro-batch by itself (``process`` gives mergeable accumulated states) as a part of its own; a repeated batch replaces its part.
 
     The states of all batches add up when they are read (``accumulated``), as a
     change of state adds to the tree. ``compact`` puts parts together.
