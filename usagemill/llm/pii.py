@@ -45,19 +45,20 @@ N_FEATURES = 19
 
 _LOCAL = "A-Za-z0-9._%+-"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Base patterns, written so that no start is tried twice: the same leftmost matches in linear time.
+#: Base patterns, written so that no start is tried twice: the same leftmost matches in linear time. What a match
+#: begins with is looked for before what must not stand in front of it, as most characters fail at the former.
 BASE = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: Generators beyond the base patterns: spelled-out addresses, other separators, numbers without a plus sign.
 MORE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:[\[({<]at[\])}>]|@) ?[a-z0-9-]++(?: ?(?:[\[({<]dot[\])}>]|\.) ?[a-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?\. ?[0-9]{1,3}+){3}+(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+",
-    "card": r"(?<![0-9])(?<![0-9][ ./_-])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?<![0-9][ ().-])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "ip": r"(?=[0-9])(?<![0-9.])[0-9]{1,3}+(?: ?\. ?[0-9]{1,3}+){3}+(?![0-9])|(?=[0-9A-Fa-f]{1,4}+:)(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][ ./_-])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}+(?![0-9])",
+    "phone": r"(?=[0-9(])(?<![0-9+])(?<![0-9][ ().-])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
 }
 _HINTS = {"email": r"(?i)mail|contact|write|kontakt|correo|courriel", "ip": r"(?i)\bip\b|host|server|addr|login|from", "card": r"(?i)card|visa|pay|credit|karte|tarjeta|carte", "phone": r"(?i)phone|tel|call|fax|mobil|cell|ruf"}
 
@@ -73,11 +74,12 @@ def _block_sums(lengths: Column) -> Column:
     )
 
 
-def matches(text: str, pattern: str, name: str) -> list[tuple[str, str]]:
-    """Steps (column, expression) that give ``name``: all matches as (s, e, m), in code points, end exclusive."""
+def matches(text: str, pattern: str, name: str, sign: Column | None = None) -> list[tuple[str, Column]]:
+    """Steps (column, expression) that give ``name``: all matches as (s, e, m), in code points, end exclusive. A text without the ``sign`` that every match has is passed over."""
     hits, lens = f"_{name}_h", f"_{name}_l"
+    searched = F.col(text) if sign is None else F.when(sign, F.col(text)).otherwise("")
     return [
-        (hits, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))),
+        (hits, F.regexp_extract_all(searched, F.lit(pattern), F.lit(0))),
         (lens, F.when(F.size(hits) > 0, F.flatten(F.zip_with(F.split(F.col(text), pattern, -1), F.col(hits), lambda g, h: F.array(F.length(g), F.coalesce(F.length(h), F.lit(0))))))),
         (lens, F.when(F.col(lens).isNotNull(), _block_sums(F.col(lens)))),
         (name, F.when(F.col(lens).isNotNull(), F.transform(F.col(hits), lambda h, i: F.struct(F.element_at(F.col(lens), i * 2 + 2).alias("s"), (F.element_at(F.col(lens), i * 2 + 2) + F.length(h)).alias("e"), h.alias("m")))).otherwise(F.expr("cast(array() AS array<struct<s:int,e:int,m:string>>)"))),
@@ -124,12 +126,14 @@ DISGUISES = {
 }
 
 
-def disguised(text: Column, style: Column) -> Column:
-    """The text with what looks like base matches written otherwise, in one of two ways by ``style`` (0 or 1; others leave it as it is)."""
-    out = [text, text]
-    for ways in DISGUISES.values():
-        out = [F.regexp_replace(t, pattern, other) for t, (pattern, other) in zip(out, ways, strict=True)]
-    return F.when(style == 0, out[0]).when(style == 1, out[1]).otherwise(text)
+def disguised(rows: DataFrame, style: Column) -> DataFrame:
+    """The texts with what looks like base matches written otherwise, in one of two ways by ``style`` (0 or 1; others leave them as they are), where a row has matches of the kind (n_<kind>)."""
+    text = F.col("text")
+    # A column a kind: one expression for all would name the text again and again.
+    for kind, ways in DISGUISES.items():
+        of = F.when(F.col(f"n_{kind}") == 0, 2).otherwise(style)
+        rows = rows.withColumn("text", F.when(of == 0, F.regexp_replace(text, *ways[0])).when(of == 1, F.regexp_replace(text, *ways[1])).otherwise(text))
+    return rows
 
 
 def _undone(m: Column) -> Column:
@@ -175,23 +179,19 @@ def _features(kind: str, c: Column, text: Column) -> list[Column]:
 
 
 def _located(documents: DataFrame, key: str, text: str, more: bool, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: key, text, ``keep``, and for each kind its base matches b_<kind> that hold, and candidates c_<kind>."""
+    """Per row: key, text, ``keep``, and for each kind its base matches b_<kind> that hold, how many match the pattern alone (n_<kind>), and candidates c_<kind>."""
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
-    for kind in KINDS:
-        # A text without a sign that every match has is passed over.
-        sign = F.col("text").contains("@") if kind == "email" else F.col("text").contains("+") if kind == "phone" else F.col("text").rlike("[0-9]")
-        rows = rows.withColumn("_t", F.when(sign, F.col("text")).otherwise(""))
-        for name, step in matches("_t", BASE[kind], f"b_{kind}"):
-            rows = rows.withColumn(name, step)
-        rows = rows.withColumn(f"b_{kind}", F.filter(f"b_{kind}", _bound(lambda k, c: holds(k, c["m"]), kind))).drop(f"_b_{kind}_h", f"_b_{kind}_l")
-        if more:
-            sign = F.col("text").rlike(r"@|[\[({<](?i:at)[\])}>]") if kind == "email" else F.col("text").rlike("[0-9]|(?:[0-9A-Fa-f]:){2}" if kind == "ip" else "[0-9]")
-            rows = rows.withColumn("_t", F.when(sign, F.col("text")).otherwise(""))
-            for name, step in matches("_t", MORE[kind], f"c_{kind}"):
-                rows = rows.withColumn(name, step)
-            # A part of a longer word, such as a run of digits in a hash, is no candidate.
-            rows = rows.withColumn(f"c_{kind}", F.filter(f"c_{kind}", lambda c: ~_glued(c, F.col("text")))).drop(f"_c_{kind}_h", f"_c_{kind}_l")
-    return rows.drop("_t")
+    seen = F.col("text")
+    signs = {"b_email": seen.contains("@"), "b_phone": seen.contains("+"), "c_email": seen.contains("@") | seen.rlike(r"[\[({<][aA][tT][\])}>]")}
+    found = {f"b_{kind}": BASE[kind] for kind in KINDS} | ({f"c_{kind}": MORE[kind] for kind in KINDS} if more else {})
+    # All kinds go step by step together.
+    for step in zip(*(matches("text", pattern, name, signs.get(name)) for name, pattern in found.items()), strict=True):
+        rows = rows.withColumns(dict(step))
+    held = {f"b_{kind}": F.filter(f"b_{kind}", _bound(lambda k, c: holds(k, c["m"]), kind)) for kind in KINDS}
+    # A part of a longer word, such as a run of digits in a hash, is no candidate.
+    whole = {f"c_{kind}": F.filter(f"c_{kind}", lambda c: ~_glued(c, F.col("text"))) for kind in KINDS if more}
+    counts = {f"n_{kind}": F.size(f"_b_{kind}_h") for kind in KINDS}
+    return rows.withColumns(held | whole | counts).drop(*(f"_{name}_{x}" for name in found for x in "hl"))
 
 
 @dataclass
@@ -210,7 +210,7 @@ def fit_redactor(documents: DataFrame, key: str = "doc_id", text: str = "text")
     plain = _located(documents, key, text, False)
     known = {k: F.transform(f"b_{k}", _bound(lambda kind, c: _same(kind, c["m"]), k)).alias(f"known_{k}") for k in KINDS}
     style = F.pmod(F.xxhash64("key", F.lit("style")), F.lit(4))
-    rows = plain.select("key", disguised(F.col("text"), style).alias("text"), *known.values())
+    rows = disguised(plain.withColumn("style", style), F.col("style")).select("key", "text", *known.values())
     sample = _located(rows, "key", "text", True, tuple(f"known_{k}" for k in KINDS))
     both = {kind: F.array_union(f"b_{kind}", f"c_{kind}") for kind in KINDS}
     others = {kind: F.concat(*(F.col(f"b_{k}") for k in KINDS if k != kind)) for kind in KINDS}
