@@ -8,7 +8,6 @@ States of different batches add up (``merge_accumulated``).
 
 from __future__ import annotations
 
-import re
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.calendar import add_months, trunc_dim
-from ..plans.catalog import Catalog, formula_columns, numbered
-from .usage import small
+from ..plans.catalog import Catalog, formula_columns, gathered, resolved
+from .folds import FOLDS, Fold, finish_states, fold_of, fold_states, merge_states
 
 WINDOW = ["metric", "accumulate", "dimension", "bucket_ms"]
 
@@ -40,21 +39,26 @@ def decimal(x: Column) -> Column:
 _FAR = 1e11
 
 
+#: Whole parts add up in two longs, so that no count of them passes 64 bits.
+_SPLIT = 1_000_000
+
+
 def number_parts(x: Column) -> dict[str, Column]:
-    """A number in parts that add up as longs, whatever the order: the whole part and billionths; and numbers from 1e11 on, as they are. NaN and infinity are left out."""
+    """A number in parts that add up as longs, whatever the order: the whole part, in two, and billionths; and numbers from 1e11 on, as they are. NaN and infinity are left out."""
     near = F.when(F.abs(x) < _FAR, x)
     whole = near.cast("long")
-    return {"whole": whole, "parts": F.round((near - whole) * 1e9).cast("long"), "far": F.when((F.abs(x) >= _FAR) & (F.abs(x) < float("inf")), x)}
+    return {"high": F.floor(whole / _SPLIT), "low": F.pmod(whole, F.lit(_SPLIT)), "parts": F.round((near - whole) * 1e9).cast("long"), "far": F.when((F.abs(x) >= _FAR) & (F.abs(x) < float("inf")), x)}
 
 
 def number_of(parts: dict[str, Column]) -> Column:
     """The number that sums of parts make, null if nothing was added."""
-    near = parts["whole"].cast("double") + parts["parts"].cast("double") / 1e9
+    whole = (parts["high"].cast("decimal(20,0)") * F.lit(Decimal(_SPLIT)) + parts["low"].cast("decimal(20,0)")).cast("double")
+    near = whole + parts["parts"].cast("double") / 1e9
     return F.when(parts["far"].isNull(), near).otherwise(F.coalesce(near, F.lit(0.0)) + parts["far"])
 
 
 def exact_sum(x: Column) -> Column:
-    """The sum to nine decimal places, whatever the order, for numbers below 1e11 and some 10^8 of these or 10^10 small ones; larger ones add as doubles. NaN and infinity are left out."""
+    """The sum to nine decimal places, whatever the order, for numbers below 1e11 and up to 9 * 10^9 fractional ones of a group; larger ones add as doubles. NaN and infinity are left out."""
     return number_of({k: F.sum(c) for k, c in number_parts(x).items()})
 
 
@@ -64,7 +68,6 @@ def _real(x: Column) -> Column:
 
 #: Usages of one key and window that a user fold gathers in one row.
 MAX_PIECE = 100_000
-FOLDS = ("sum", "max", "avg", "time_based")
 
 
 def accumulate(metered: DataFrame, keys: list[str] = schemas.KEYS, order: str = "arrival_ms", mergeable: bool = False) -> DataFrame:
@@ -98,17 +101,41 @@ def _quantity(total: Column, greatest: Column, n: Column) -> Column:
     return F.when(fold == "sum", total).when(fold == "max", F.greatest(F.lit(0.0), greatest)).when(fold == "avg", total / n).when(fold == "time_based", F.lit(None).cast("double")).when(F.col("metric").isNotNull(), unknown)
 
 
-def merge_accumulated(states: DataFrame, keys: list[str] = schemas.KEYS) -> DataFrame:
-    """Mergeable states of the same keys and windows, accumulated from different usage, put together: what ``accumulate`` gives for all of it."""
-    told = states.groupBy(*keys, *WINDOW).agg(
+def merge_accumulated(states: DataFrame, keys: list[str] = schemas.KEYS, catalog: Catalog | None = None) -> DataFrame:
+    """Mergeable states of the same keys and windows, accumulated from different usage, put together: what ``accumulate`` gives for all of it.
+
+    With a catalog, the states of its mergeable folds merge by these; an ordered
+    lambda has no states that merge, and raises an error.
+    """
+    named, custom = states, []
+    if catalog is not None and (folds := user_folds(catalog)):
+        if ordered := [f.text for f in folds if not f.mergeable]:
+            raise ValueError(f"an ordered fold can't be merged: {ordered[0][:200]}")
+        custom = folds
+        named = states.where(~F.coalesce(F.col("accumulate").isin([f.text for f in folds]), F.lit(False)))
+    told = named.groupBy(*keys, *WINDOW).agg(
         F.sum("n").alias("n"), exact_sum(F.col("_sum")).alias("_sum"), F.max("quantity").alias("_max"), F.max_by("consuming", "latest").alias("consuming"),
         F.sum(F.col("consumed").cast("decimal(28,6)")).cast("double").alias("consumed"), F.max("since_ms").alias("since_ms"), F.max("latest").alias("latest"), F.max("latest_ms").alias("latest_ms"),
     )
-    return told.select(*keys, *WINDOW, "n", "_sum", _quantity(F.col("_sum"), F.col("_max"), F.col("n")).alias("quantity"), "consuming", "consumed", "since_ms", "latest", "latest_ms")
+    out = told.select(*keys, *WINDOW, "n", "_sum", _quantity(F.col("_sum"), F.col("_max"), F.col("n")).alias("quantity"), "consuming", "consumed", "since_ms", "latest", "latest_ms")
+    for fold in custom:
+        merged = finish_states(merge_states(states.where(F.col("accumulate") == fold.text), fold, [*keys, *WINDOW]), fold)
+        out = out.unionByName(merged, allowMissingColumns=True)
+    return out
+
+
+def user_folds(catalog: Catalog) -> list[Fold]:
+    """The catalog's own folds; a name that is no fold raises an error."""
+
+    def read() -> list[Fold]:
+        _, exprs = resolved(formula_columns(catalog.metrics).select("accumulate"), ["accumulate"])
+        return [fold_of(f) for f in exprs["accumulate"] if f not in FOLDS]
+
+    return catalog.kept("folds", read)
 
 
 def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as double)", keys: list[str] = schemas.KEYS, order: str = "arrival_ms", cells: bool = False, piece: int = MAX_PIECE) -> DataFrame:
-    """A user fold in order of arrival: ``merge`` is a SQL lambda body over a (state) and x (value, start_ms, end_ms, from_ms, to_ms).
+    """A user fold in order of arrival: ``merge`` is a SQL lambda body over a (state) and x (value, start_ms, end_ms, from_ms, to_ms); where it gives null the usage is skipped.
 
     With ``cells``, x has the sums of the key's usage that arrived before it in the
     same day (``day``) and month (``month``), null if there was none.
@@ -130,28 +157,37 @@ def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as
     folded = lambda rows: rows.groupBy(*ids).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     rows = w.select(*ids, x.alias("x"))
     if (rows.groupBy(*ids).count().agg(F.max("count")).first()[0] or 0) <= piece:
-        return folded(rows).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> {merge})").alias("quantity"))
+        return folded(rows).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> coalesce({merge}, a))").alias("quantity"))
     turn = F.floor((F.row_number().over(Window.partitionBy(*ids).orderBy("x")) - 1) / piece)
     rows = rows.withColumn("_turn", turn).checkpoint()
-    done = folded(rows.where("_turn = 0")).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> {merge})").alias("quantity"))
+    done = folded(rows.where("_turn = 0")).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> coalesce({merge}, a))").alias("quantity"))
     for i in range(1, int(rows.agg(F.max("_turn")).first()[0]) + 1):
         after = folded(rows.where(F.col("_turn") == i)).select(*(F.col(c).alias(f"_{c}") for c in ids), "xs")
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
-        done = done.join(after, same, "left").select(*ids, F.expr(f"if(xs IS NULL, quantity, aggregate(xs, quantity, (a, x) -> {merge}))").alias("quantity")).checkpoint()
+        done = done.join(after, same, "left").select(*ids, F.expr(f"if(xs IS NULL, quantity, aggregate(xs, quantity, (a, x) -> coalesce({merge}, a)))").alias("quantity")).checkpoint()
     return done
 
 
 def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = schemas.KEYS, order: str = "arrival_ms", mergeable: bool = False) -> DataFrame:
-    """``accumulate`` for the named folds of the catalog, ``accumulate_custom`` for each of its lambdas ``(a, x) -> ...``; a name that is neither raises an error."""
-    _, folds = numbered(formula_columns(catalog.metrics), "accumulate")
-    custom = [f for f in folds if re.match(r"\(\s*a\s*,\s*x\s*\)\s*->", f)]
-    if unknown := set(folds) - set(FOLDS) - set(custom):
-        raise ValueError(f"no such fold: {', '.join(sorted(unknown))}")
-    out = accumulate(metered.where(~F.coalesce(F.col("accumulate").isin(custom), F.lit(False))) if custom else metered, keys, order, mergeable)
-    for fold in custom:
-        rows = metered.where(F.col("accumulate") == fold)
-        found = accumulate_custom(rows, fold.split("->", 1)[1], keys=keys, order=order, cells=bool(re.search(r"\bx\.(day|month)\b", fold)))
-        out = out.unionByName(found.withColumn("accumulate", F.lit(fold)), allowMissingColumns=True)
+    """``accumulate`` for the named folds of the catalog, and each of its own: a mergeable one where its usages are, an ordered lambda in order of arrival; a name that is neither raises an error.
+
+    If ``mergeable``, rows have ``state``, by which those of mergeable folds merge with other batches' (``merge_accumulated``).
+    """
+    folds = user_folds(catalog)
+    texts = [f.text for f in folds]
+    out = accumulate(metered.where(~F.coalesce(F.col("accumulate").isin(texts), F.lit(False))) if folds else metered, keys, order, mergeable)
+    for fold in folds:
+        rows = metered.where(F.col("accumulate") == fold.text)
+        if fold.mergeable:
+            w = buckets(rows).withColumns({"from_ms": F.col("bucket_ms"), "to_ms": bucket_end(F.col("dimension"), F.col("bucket_ms")), "latest_ms": F.col(order).cast("long")})
+            found = finish_states(fold_states(w, fold, [*keys, *WINDOW]), fold)
+            found = found if mergeable else found.drop("state", "latest_ms")
+        else:
+            fold.checked()
+            found = accumulate_custom(rows, fold.step.split("->", 1)[1], keys=keys, order=order, cells=fold.reads_cells).withColumn("accumulate", F.lit(fold.text))
+        out = out.unionByName(found, allowMissingColumns=True)
+    if mergeable and "state" not in out.columns:
+        out = out.withColumn("state", F.lit(None).cast("string"))
     return out
 
 
@@ -166,7 +202,7 @@ def aggregate_tree(acc: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     more, quantity = [], F.when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).otherwise(F.col("quantity"))  # the average of a node is that of all its usages
     if catalog is not None:
         by = catalog.metrics.select(F.col("plan_id").alias("metering_plan_id"), "metric", F.col("aggregate").alias("_by")).where("_by IS NOT NULL")
-        acc = acc.join(small(by), ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
+        acc = acc.join(catalog.kept("aggregate", lambda: gathered(by)), ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
         more = [F.max("_by").alias("_by"), F.max("quantity").alias("_greatest"), F.max_by("quantity", "_at").alias("_last")]
         unknown = F.raise_error(F.concat(F.lit("no such aggregate: "), "_by")).cast("double")
         quantity = F.when(F.col("_by").isNull() | (F.col("_by") == "sum"), quantity).when(F.col("_by") == "max", F.col("_greatest")).when(F.col("_by") == "last", F.col("_last")).otherwise(unknown)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.calendar import bounds, in_months, slot_index
-from ..plans.catalog import Catalog, numbered, picked
+from ..plans.catalog import Catalog, picked, resolved
+from ..plans.sandbox import names_seen
 from .accumulate import accumulate, accumulate_by_plan, aggregate_tree, bucket_end, decimal
-from .usage import small
 
 LEVEL_KEYS = ["level", "organization_id", "space_id", "consumer_id"]
 
@@ -61,23 +61,26 @@ def org_report(metered: DataFrame, t: int, orgs: DataFrame | list[str] | None =
     return (summarize(told, t) if catalog is None else summarize_by_plan(told, t, catalog)).select(*LEVEL_KEYS, *schemas.NODE, "metric", "dimension", "bucket_ms", "slot", "quantity", "consuming", "consumed", "summary")
 
 
-def account_report(metered: DataFrame, accounts: DataFrame, account_id: str, t: int) -> DataFrame:
-    """The reports of all organizations of an account, in one plan."""
-    return org_report(metered, t, accounts.where(F.col("account_id") == account_id).select(F.explode("organizations").alias("organization_id")))
+def account_report(metered: DataFrame, accounts: DataFrame, account_id: str, t: int, catalog: Catalog | None = None) -> DataFrame:
+    """The reports of all organizations of an account, in one plan; with a catalog by its plans' own functions."""
+    return org_report(metered, t, accounts.where(F.col("account_id") == account_id).select(F.explode("organizations").alias("organization_id")), catalog=catalog)
 
 
-def instance_report(metered: DataFrame, key: dict[str, str], t: int) -> DataFrame:
-    """The windows of one resource instance."""
+def instance_report(metered: DataFrame, key: dict[str, str], t: int, catalog: Catalog | None = None) -> DataFrame:
+    """The windows of one resource instance; with a catalog by its plans' own functions."""
     rows = as_of(metered, t)
     for k, v in key.items():
         rows = rows.where(F.col(k) == v)
-    return summarize(with_slots(accumulate(rows), t), t).select(*schemas.KEYS, "metric", "dimension", "bucket_ms", "slot", "quantity", "summary")
+    told = with_slots(accumulate(rows) if catalog is None else accumulate_by_plan(rows, catalog), t)
+    return (summarize(told, t) if catalog is None else summarize_by_plan(told, t, catalog)).select(*schemas.KEYS, "metric", "dimension", "bucket_ms", "slot", "quantity", "summary")
 
 
-def _by_plan(df: DataFrame, table: DataFrame, plan: str, column: str) -> tuple[DataFrame, list[str]]:
+def _by_plan(df: DataFrame, catalog: Catalog, plan: str, kind: str) -> tuple[DataFrame, list[str]]:
     """The rows with the number of their plan's expression and whether the plan has the metric at all."""
-    numbers, exprs = numbered(table.select(F.col("plan_id").alias(plan), "metric", column), column)
-    return df.join(small(numbers.select(plan, "metric", F.col(f"{column}_n").alias("_n"), F.lit(True).alias("_known"))), [plan, "metric"], "left"), exprs
+    table = catalog.metrics if plan == "metering_plan_id" else catalog.rating
+    told = table.select(F.col("plan_id").alias(plan), "metric", F.lit(True).alias("_known"), F.col(kind).alias("_"))
+    numbers, exprs = catalog.kept(kind, lambda: resolved(told, ["_"]))
+    return df.join(numbers.withColumnRenamed("__n", "_n"), [plan, "metric"], "left"), exprs["_"]
 
 
 def _in_window(df: DataFrame, t: int) -> DataFrame:
@@ -87,22 +90,22 @@ def _in_window(df: DataFrame, t: int) -> DataFrame:
 
 def summarize_by_plan(df: DataFrame, t: int, catalog: Catalog) -> DataFrame:
     """Adds ``summary`` by the metering plan's ``summarize``, without one the quantity; what is no number, and a metric that the plan does not have, is 0."""
-    told, exprs = _by_plan(_in_window(df, t), catalog.metrics, "metering_plan_id", "summarize")
-    value = F.when(F.col("_known"), picked(F.col("_n"), exprs, otherwise=F.col("quantity")))
+    told, exprs = _by_plan(_in_window(df, t), catalog, "metering_plan_id", "summarize")
+    value = F.when(F.col("_known"), picked(F.col("_n"), exprs, names_seen("summarize"), otherwise=F.col("quantity")))
     return told.withColumn("summary", F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).select(*df.columns, "summary")
 
 
 def rate_by_plan(df: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds ``cost`` by the rating plan's ``rate``, without one price x quantity."""
-    told, exprs = _by_plan(df, catalog.rating, "rating_plan_id", "rate")
-    cost = picked(F.col("_n"), exprs, otherwise=F.col("price") * F.coalesce("quantity", F.lit(0.0)))
+    told, exprs = _by_plan(df, catalog, "rating_plan_id", "rate")
+    cost = picked(F.col("_n"), exprs, names_seen("rate"), otherwise=F.col("price") * F.coalesce("quantity", F.lit(0.0)))
     return told.withColumn("cost", cost).select(*df.columns, "cost")
 
 
 def charge_by_plan(df: DataFrame, t: int, catalog: Catalog) -> DataFrame:
     """Adds ``charge`` by the rating plan's ``charge``, without one the cost; what is no number is 0."""
-    told, exprs = _by_plan(_in_window(df, t), catalog.rating, "rating_plan_id", "charge")
-    return told.withColumn("charge", F.coalesce(F.nanvl(picked(F.col("_n"), exprs, otherwise=F.col("cost")), F.lit(0.0)), F.lit(0.0))).select(*df.columns, "charge")
+    told, exprs = _by_plan(_in_window(df, t), catalog, "rating_plan_id", "charge")
+    return told.withColumn("charge", F.coalesce(F.nanvl(picked(F.col("_n"), exprs, names_seen("charge"), otherwise=F.col("cost")), F.lit(0.0)), F.lit(0.0))).select(*df.columns, "charge")
 
 
 def resource_totals(report: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .. import schemas
 from ..functions.calendar import MS, add_months, end_of_month, trunc_dim
-from ..plans.catalog import Catalog
+from ..plans.catalog import Catalog, gathered
 
 #: Catalog tables are broadcast up to this many rows.
 MAX_BROADCAST_ROWS = 200_000
@@ -36,7 +37,7 @@ def validate_instance(df: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds ``instance_error``: (resource, plan) has no metering mapping, or the plan does not exist."""
     mapped = catalog.mappings.where("kind = 'metering'").select(F.col("resource_type").alias("resource_id"), F.col("plan_name").alias("plan_id"), F.col("plan_id").alias("_plan"))
     plans = catalog.metrics.select(F.col("plan_id").alias("_plan"), F.lit(True).alias("_exists")).distinct()
-    told = df.join(small(mapped), ["resource_id", "plan_id"], "left").join(small(plans), "_plan", "left")
+    told = df.join(catalog.kept("mapped", lambda: gathered(mapped)), ["resource_id", "plan_id"], "left").join(catalog.kept("plans", lambda: gathered(plans)), "_plan", "left")
     return told.withColumn("instance_error", F.when(F.col("_plan").isNull(), "no metering mapping").when(F.col("_exists").isNull(), "no such plan")).drop("_plan", "_exists")
 
 
@@ -79,7 +80,9 @@ def check_usage(df: DataFrame, catalog: Catalog, now: int, order: list[Column],
         .when(F.col("account_error").isNotNull(), F.col("account_error")).when(reject_future(F.col("end_ms"), F.lit(now)), "usage of the future")
     )
     told = told.withColumn("error", at_once).drop("errors", "instance_error", "account_error")
-    first = F.row_number().over(Window.partitionBy(F.col("error").isNull(), *_dedup_key()).orderBy(*order))
+    # Rejected rows are not compared: all documents without ids would meet in one task. They are dealt out by what they hold.
+    alone = F.when(F.col("error").isNotNull(), F.xxhash64(*[c for c in told.columns if not isinstance(told.schema[c].dataType, MapType)]))
+    first = F.row_number().over(Window.partitionBy(alone, *(F.when(F.col("error").isNull(), k) for k in _dedup_key())).orderBy(*order))
     later = F.when((first > 1), "duplicate").when(reject_out_of_slack(F.col("end_ms"), F.col("arrival_ms"), slack), "out of slack")
     return told.withColumn("_later", later).withColumn("error", F.coalesce("error", "_later")).drop("_later")
 
@@ -133,7 +136,7 @@ def normalize(df: DataFrame, catalog: Catalog) -> DataFrame:
     plans = catalog.mappings.groupBy("resource_type", F.col("plan_name").alias("plan_id")).pivot("kind", ["metering", "rating", "pricing"]).agg(F.first("plan_id"))
     plans = plans.select("resource_type", "plan_id", *(F.col(k).alias(f"{k}_plan_id") for k in ("metering", "rating", "pricing")))
     orgs = account_orgs(catalog.accounts).select("organization_id", "account_id", "pricing_country")
-    return out.join(small(plans), ["resource_type", "plan_id"], "left").join(small(orgs), "organization_id", "left")
+    return out.join(catalog.kept("plan_ids", lambda: gathered(plans)), ["resource_type", "plan_id"], "left").join(catalog.kept("orgs", lambda: gathered(orgs)), "organization_id", "left")
 
 
 def plan_lookup_as_of(usage: DataFrame, history: DataFrame, keys: list[str], ts: str = "end_ms", since: str = "valid_from") -> DataFrame:

@@ -5,19 +5,23 @@ and evaluated as one CASE. ``meter`` sees the map ``m`` of measures with
 ``start_ms`` and ``end_ms``; ``summarize`` sees t, quantity, consuming, consumed,
 from_ms and to_ms, ``charge`` these and price and cost, ``rate`` price, quantity,
 consuming and consumed. Expressions that may fail use Spark's ``try_`` functions.
-``accumulate`` names a fold (sum, max, avg, time_based) or is a lambda
-``(a, x) -> ...`` for a custom one; ``aggregate`` is sum, max or last. Any other
-name raises an error.
+``accumulate`` names a fold (sum, max, avg, time_based), or tells a mergeable one
+(``zero: ...; step: ...; merge: ...; finish: ...``, see ``operators.folds``) or an
+ordered lambda ``(a, x) -> ...``; ``aggregate`` is sum, max or last. Any other name
+raises an error. Expressions run only after ``sandbox`` has judged them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .sandbox import expression_rejects, safe
 
 # The sample plans, mappings and prices.
 _GIB = "1073741824D"
@@ -64,6 +68,23 @@ class Catalog:
     prices: DataFrame
     mappings: DataFrame
     accounts: DataFrame
+    _kept: dict = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def kept(self, name: str, make: Callable):
+        """What ``make`` gives, made once for this catalog."""
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
+
+    def rejects(self) -> DataFrame:
+        """plan_id, metric, kind, expression and reason of every expression that may not run."""
+        return expression_rejects(self.metrics, self.rating)
+
+    def checked(self) -> Catalog:
+        """The catalog itself, if all its expressions may run; else an error that names the first plans and metrics against it."""
+        if found := self.rejects().orderBy("plan_id", "metric", "kind").limit(20).collect():
+            raise ValueError("refused: " + "; ".join(f"{r.plan_id} {r.metric} {r.kind}: {r.reason}" for r in found))
+        return self
 
 
 def sample_catalog(spark: SparkSession, accounts: DataFrame | None = None) -> Catalog:
@@ -81,9 +102,9 @@ def sample_catalog(spark: SparkSession, accounts: DataFrame | None = None) -> Ca
 
 
 def load_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> Catalog:
-    """The five tables below ``path``."""
+    """The five tables below ``path``; an expression that may not run raises an error."""
     kinds = {"metrics": schemas.METERING_METRICS, "rating": schemas.RATING_METRICS, "prices": schemas.PRICES, "mappings": schemas.MAPPINGS, "accounts": schemas.ACCOUNTS}
-    return Catalog(**{n: spark.read.schema(s).format(fmt).load(f"{path}/{n}") for n, s in kinds.items()})
+    return Catalog(**{n: spark.read.schema(s).format(fmt).load(f"{path}/{n}") for n, s in kinds.items()}).checked()
 
 
 #: Different expressions of one kind in a catalog.
@@ -100,11 +121,45 @@ def numbered(table: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     return table.withColumn(f"{column}_n", number.cast("int")), exprs
 
 
-def picked(number: Column, exprs: list[str], kind: str = "double", otherwise: Column | None = None) -> Column:
-    """The value of the expression that a number names, as one CASE; without a number ``otherwise``."""
+#: Rows of a plan table that are gathered and broadcast at most.
+MAX_ROWS = 200_000
+
+
+def gathered(table: DataFrame) -> DataFrame:
+    """A small table, read once and broadcast; a larger one as it is."""
+    rows = table.limit(MAX_ROWS + 1).toArrow()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if rows.num_rows <= MAX_ROWS else table
+
+
+def resolved(table: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The table, broadcast if it is small, with ``<column>_n`` in place of each column of expressions, and these by column.
+
+    A small table is read once and numbered on the driver, without further jobs.
+    """
+    rest = [c for c in table.columns if c not in columns]
+    rows = table.limit(MAX_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_ROWS:
+        exprs = {}
+        for c in columns:
+            table, exprs[c] = numbered(table, c)
+        return table.select(*rest, *(f"{c}_n" for c in columns)), exprs
+    exprs = {c: sorted({x for x in rows[c].to_pylist() if x is not None}) for c in columns}
+    if any(len(e) > MAX_EXPRESSIONS for e in exprs.values()):
+        raise ValueError(f"more than {MAX_EXPRESSIONS} different expressions in {', '.join(columns)}")
+    out = rows.select(rest)
+    for c in columns:
+        place = {e: i for i, e in enumerate(exprs[c])}
+        out = out.append_column(f"{c}_n", pa.array([None if x is None else place[x] for x in rows[c].to_pylist()], pa.int32()))
+    schema = table.select(*rest, *(F.lit(None).cast("int").alias(f"{c}_n") for c in columns)).schema
+    return F.broadcast(table.sparkSession.createDataFrame(out, schema)), exprs
+
+
+def picked(number: Column, exprs: list[str], names: frozenset[str], kind: str = "double", otherwise: Column | None = None, get: str | None = None) -> Column:
+    """The value of the expression that a number names, as one CASE; without a number ``otherwise``. An expression that is not allowed, or uses other names, raises an error."""
     out = F.lit(None).cast(kind) if otherwise is None else otherwise
     for i, e in enumerate(exprs):
-        out = F.when(number == i, F.expr(f"({e})").cast(kind)).otherwise(out)
+        value = safe(e, names)
+        out = F.when(number == i, (value[get] if get else value).cast(kind)).otherwise(out)
     return out
 
 
@@ -142,7 +197,7 @@ def expand_service_mappings(services: DataFrame) -> DataFrame:
 
 
 def validate_plans(catalog: Catalog, sample: DataFrame) -> DataFrame:
-    """Per plan and metric: rows of the metered sample, and those whose quantity is no number."""
+    """Per plan and metric: rows of the metered sample, and those whose quantity is no number. What its expressions may not say, ``Catalog.rejects`` tells."""
     from ..operators.meter import meter
 
     q = F.coalesce("value", "consuming")

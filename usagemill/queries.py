@@ -198,6 +198,23 @@ def accumulate_plan_fold(spark, d):
     return acc.accumulate_by_plan(_metered_by(spark, d, c), c).select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity")
 
 
+_MEAN = "zero: named_struct('total', 0D, 'n', 0D); step: (a, x) -> if(x.value > 0, named_struct('total', a.total + x.value, 'n', a.n + 1), null); merge: (a, b) -> named_struct('total', a.total + b.total, 'n', a.n + b.n); finish: a -> round(a.total / a.n, 6)"
+
+
+def _merged_mean(spark, d) -> tuple[DataFrame, plans.Catalog]:
+    """Usage of odd and of even lines accumulated by itself, then merged by the plan's own fold."""
+    c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _MEAN)
+    m = _metered_by(spark, d, c)
+    parts = [acc.accumulate_by_plan(m.where(F.pmod(F.xxhash64("arrival_ms", "end_ms"), F.lit(2)) == i), c, mergeable=True) for i in (0, 1)]
+    return acc.merge_accumulated(parts[0].unionByName(parts[1]), catalog=c), c
+
+
+@query(_BY_PLAN.format(MET.replace("x.fold AS accumulate", "CASE WHEN plan_id = 'basic' AND x.metric = 'heavy_api_calls' THEN 'avg' ELSE x.fold END AS accumulate"), _acc().replace("ELSE sum(value) END", "WHEN accumulate = 'avg' THEN round(sum(value) / count(*), 6) ELSE sum(value) END"), "quantity"))
+def accumulate_mergeable_fold(spark, d):
+    """A mean by a fold of zero, step, merge and finish: map-side states of two batches, put together."""
+    return _merged_mean(spark, d)[0].select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity")
+
+
 _CELL = """cell AS (SELECT *, coalesce(sum(value) OVER (PARTITION BY organization_id, space_id, consumer_id, plan_id, resource_instance_id, metric, date_trunc('month', epoch_ms(end_ms)) ORDER BY arrival_ms, value, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS month FROM met WHERE metric = 'heavy_api_calls' AND plan_id = 'basic'),
 met2 AS (SELECT * REPLACE (CASE WHEN month < 100 THEN value ELSE 0 END AS value) FROM cell)"""
 
@@ -250,6 +267,52 @@ def instance_report(spark, d):
     return r.select("space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "slot", "quantity", "summary")
 
 
+def _mean_sql(sql: str) -> str:
+    """The same with the mean as the fold of a basic plan's heavy calls."""
+    sql = sql.replace("x.fold AS accumulate", "CASE WHEN plan_id = 'basic' AND x.metric = 'heavy_api_calls' THEN 'mean' ELSE x.fold END AS accumulate")
+    return sql.replace("ELSE sum(value) END AS quantity", "WHEN accumulate = 'mean' THEN round(sum(value) / count(*), 6) ELSE sum(value) END AS quantity")
+
+
+@query(_mean_sql(f"WITH {_asof(T_CLOSED, "AND organization_id IN (SELECT 'org-' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND n_nationkey % 7 != 0)")} SELECT *, {_slot(T_CLOSED)} AS slot, quantity AS summary FROM tree WHERE bucket_ms <= {T_CLOSED}"))
+def account_report_by_plan(spark, d):
+    """An account's report in which one plan has a fold of its own."""
+    c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _MEAN)
+    return report.account_report(_metered_by(spark, d, c), c.accounts, "ASIA", T_CLOSED, c).select(*NODE_COLS, "slot", "quantity", "summary")
+
+
+@query(_mean_sql(f"WITH {MET}, seen AS (SELECT * FROM met WHERE date_trunc('month', epoch_ms(end_ms)) = date_trunc('month', epoch_ms({T_CLOSED})) AND billing_ms <= {T_CLOSED} AND organization_id = 'org-3'), {_acc('seen')} SELECT space_id, consumer_id, plan_id, resource_instance_id, metric, dimension, bucket_ms, {_slot(T_CLOSED)} AS slot, quantity, quantity AS summary FROM a"))
+def instance_report_by_plan(spark, d):
+    c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _MEAN)
+    r = report.instance_report(_metered_by(spark, d, c), {"organization_id": "org-3"}, T_CLOSED, c)
+    return r.select("space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "slot", "quantity", "summary")
+
+
+#: Expressions that plans might say, by p_size % 10, and what is told against them.
+_SAID = [
+    ("coalesce(m['storage'], 0) * {0}", None), ("length(java_method('java.lang.System', 'getProperty', 'user.home')) + {0}", "function not allowed: java_method"),
+    ("(SELECT {0})", "subquery"), ("secret_{0}", "unknown name: secret_{0}"), ("reflect('java.util.UUID', 'randomUUID') * {0}", "function not allowed: reflect"),
+    ("greatest(m['storage'], {0}) / (end_ms - start_ms)", None), ("my_function(m['storage'], {0})", "function not allowed: my_function"), ("m['storage'] +* {0}", "syntax"),
+    ("sum(m['storage']) OVER (ORDER BY {0})", "not allowed: WindowExpression"), ("CASE WHEN m['storage'] > {0} THEN 1 ELSE try_divide(m['a'], m['b']) END", None),
+]
+
+
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+@query("SELECT p_brand AS plan_id, reason, count(*) AS n FROM (SELECT p_brand, CASE p_size % 10 " + " ".join(f"WHEN {i} THEN replace({_quoted(r)}, '{{0}}', CAST(p_size AS VARCHAR))" for i, (_, r) in enumerate(_SAID)) + " END AS reason FROM part) WHERE reason IS NOT NULL GROUP BY ALL")
+def plan_rejects(spark, d):
+    """Plans whose expressions, made from parts, may not run, by reason."""
+    size = F.col("p_size").cast("string")
+    said = F.lit(None).cast("string")
+    for i, (text, _) in enumerate(_SAID):
+        said = F.when(F.col("p_size") % 10 == i, F.replace(F.lit(text), F.lit("{0}"), size)).otherwise(said)
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("plan_id"), F.concat(F.lit("metric-"), F.col("p_partkey").cast("string")).alias("metric"), said.alias("meter"))
+    metrics = parts.select("plan_id", "metric", *(F.lit(None).cast("string").alias(c) for c in ("unit", "type", "formula")), "meter", *(F.lit(None).cast("string").alias(c) for c in ("accumulate", "aggregate", "summarize")))
+    c = replace(plans.sample_catalog(spark), metrics=metrics)
+    return c.rejects().groupBy("plan_id", "reason").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {MEM} SELECT organization_id, resource_instance_id, dimension, bucket_ms, round(CAST(consumed - consuming * (bucket_ms + to_ms - 2 * least({T_EVENTS}, to_ms)) AS DOUBLE) / 2 / 3600000, 9) AS summary FROM tb WHERE bucket_ms <= {T_EVENTS}")
 def summarize_time_based(spark, d):
     s = report.summarize(acc.accumulate(td.metered_memory(spark, d)).where(F.col("bucket_ms") <= T_EVENTS), T_EVENTS)
