@@ -22,6 +22,7 @@ result; further columns are not read, whatever their names.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,11 @@ from .common import chunks, scratch_path
 #: Words of a phrase at most, its occurrences at least, and phrases a language.
 MAX_WORDS, MIN_COUNT, MOST = 4, 30, 2_000
 #: Words that overlapping chunks share, which is also the width of the windows that trigger: one in so many does.
-OVERLAP, ONE_IN = MAX_WORDS - 1, 16
+OVERLAP, ONE_IN = MAX_WORDS - 1, 64
 #: Words of chunks that a task counts before it passes the counts on.
 MAX_HELD = 4_000_000
+#: Different words that a task numbers at once.
+MAX_WORDS_HELD = 500_000
 #: Bits of the bitmap of frequent pairs: 16 MB.
 FILTER_BITS = 1 << 27
 
@@ -47,19 +50,29 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Numbers for the words of languages, given on first sight; ``hashes`` are the words' own."""
+    """Numbers for words, given on first sight, with the words' own hashes and lengths; the empty word is 0 and a line end 1."""
 
     def __init__(self) -> None:
-        self.hashes: list[int] = []
+        self._hashes, self._sizes = array("Q"), array("q")
+        self.of([b"", b"\n"])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self._hashes.append(xxhash.xxh64_intdigest(word))
+        self._sizes.append(len(word))
         return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    @property
+    def hashes(self) -> np.ndarray:
+        return np.array(self._hashes)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.array(self._sizes)
+
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -72,51 +85,55 @@ def pair_places(words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (_mix(words, others) >> np.uint64(20)) % np.uint64(FILTER_BITS)
 
 
-def parse(texts: list[bytes], one_in: int = ONE_IN) -> Iterator[tuple[int, bytes, int]]:
+def parse(texts: list[bytes], known: _Words, one_in: int = ONE_IN) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Chunks of texts: the text's place, the words joined by spaces, and how many of them begin phrases of the chunk."""
-    flat: list[bytes] = []
-    ends, of = [], []
-    for i, t in enumerate(texts):
-        for piece in t.translate(_MARKS).split(b"\n"):
-            if words := piece.split(b" ") if b"  " not in piece and piece[:1] != b" " and piece[-1:] != b" " and piece else [w for w in piece.split(b" ") if w]:
-                flat += words
-                ends.append(len(flat))
-                of.append(i)
-    if not flat:
-        return
-    known = _Words()
-    ids = known.of(flat)
-    h = np.array(known.hashes, np.uint64)[ids]
-    triggers = np.zeros(len(flat), bool)
-    if len(flat) >= OVERLAP:
-        window = h[: len(flat) - OVERLAP + 1]
+    pieces = [t.translate(_MARKS) for t in texts]
+    of = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in pieces])
+    data = b"\n".join(pieces).replace(b"\n", b" \n ")
+    ids = known.of(data.split(b" "))
+    sizes = known.sizes[ids]
+    at = np.cumsum(sizes + 1) - sizes - 1
+    piece = np.cumsum(ids == 1)
+    words = ids > 1
+    ids, at, sizes, piece = ids[words], at[words], sizes[words], piece[words]
+    n = len(ids)
+    if not n:
+        return of[:0], [], of[:0]
+    begins = np.flatnonzero(np.diff(piece, prepend=-1))
+    last = np.repeat(np.append(begins[1:], n), np.diff(begins, append=n))
+    triggers = np.zeros(n, bool)
+    if n >= OVERLAP:
+        h = known.hashes[ids]
+        window = h[: n - OVERLAP + 1]
         for i in range(1, OVERLAP):
-            window = _mix(window, h[i : len(flat) - OVERLAP + 1 + i])
+            window = _mix(window, h[i : n - OVERLAP + 1 + i])
         triggers[: len(window)] = (window >> np.uint64(40)) % np.uint64(one_in) == 0
-    end = np.array(ends)
-    begin = np.concatenate([[0], end[:-1]])
     # A window that reaches past its piece is none.
-    last = np.repeat(end, end - begin)
-    triggers &= np.arange(len(flat)) + OVERLAP <= last
-    triggers[begin] = True
+    triggers &= np.arange(n) + OVERLAP <= last
+    triggers[begins] = True
     starts = np.flatnonzero(triggers)
-    owned = np.diff(starts, append=len(flat))
+    owned = np.diff(starts, append=n)
     stops = np.minimum(starts + owned + OVERLAP, last[starts])
-    text = np.repeat(np.array(of), end - begin)[starts]
-    for i, a, b, n in zip(text.tolist(), starts.tolist(), stops.tolist(), owned.tolist(), strict=True):
-        yield i, b" ".join(flat[a:b]), n
+    low, high = at[starts], at[stops - 1] + sizes[stops - 1]
+    total = np.cumsum(sizes + 1)
+    spaced = high - low + 1 != total[stops - 1] - total[starts] + sizes[starts] + 1  # more than one space between words
+    chunk = [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    for i in np.flatnonzero(spaced):
+        chunk[i] = b" ".join(chunk[i].split())
+    return of[piece[starts]], chunk, owned
 
 
 def chunk_dictionary(df: DataFrame, lang: str = "lang", text: str = "text", one_in: int = ONE_IN) -> DataFrame:
     """The distinct chunks of each language: chunk, owned, and weight, how often the parses have it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
             for part, texts in chunks(batch, "t"):
-                found = list(parse(texts, one_in))
-                if found:
-                    of, words, owned = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(owned, pa.int32())], names=["lang", "chunk", "owned"])
+                of, words, owned = parse(texts, known, one_in)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(owned.astype(np.int32))], names=["lang", "chunk", "owned"])
+                if len(known) > MAX_WORDS_HELD:
+                    known = _Words()
 
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("t")).mapInArrow(cut, "lang string, chunk string, owned int")
     return rows.groupBy("lang", "chunk", "owned").agg(F.count("*").alias("weight"))
@@ -126,7 +143,7 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Different keys and the exact sums of their weights."""
     if not len(keys):
         return keys, weights
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[at], np.add.reduceat(weights, at)
@@ -140,12 +157,13 @@ class _Held:
         self.parts: dict[str, list[tuple[np.ndarray, ...]]] = {}
         self.n = 0
 
-    def add(self, lang: str, chunk: list[bytes], owned: np.ndarray, weight: np.ndarray) -> None:
+    def add(self, lang: str, chunk: pa.Array, owned: np.ndarray, weight: np.ndarray) -> None:
         words = self.words.setdefault(lang, _Words())
-        split = [c.split(b" ") for c in chunk]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        ids = words.of([w for ws in split for w in ws])
-        self.parts.setdefault(lang, []).append((ids, sizes, owned, weight))
+        data = pc.binary_join(pa.ListArray.from_arrays([0, len(chunk)], chunk), b" \n ")[0].as_py()
+        ids = words.of(data.split(b" "))
+        ends = np.append(np.flatnonzero(ids == 1), len(ids))
+        sizes = np.diff(ends, prepend=-1) - 1
+        self.parts.setdefault(lang, []).append((ids[ids > 1], sizes, owned, weight))
         self.n += len(ids)
 
     def counted(self, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -153,31 +171,35 @@ class _Held:
         for lang, parts in self.parts.items():
             ids, sizes, owned, weight = (np.concatenate([p[i] for p in parts]) for i in range(4))
             words = pa.array(list(self.words[lang]), pa.binary())
-            begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.cumsum(sizes)
             place = np.arange(len(ids))
-            left = np.repeat(np.cumsum(sizes), sizes) - place  # words from here to the chunk's end
-            own = place - begins < np.repeat(owned, sizes)
+            left = np.repeat(ends, sizes) - place  # words from here to the chunk's end
+            own = place < np.repeat(ends - sizes + owned, sizes)
             weights = np.repeat(weight, sizes)
+            word = lambda k, words=words: words.take(pa.array(k))
+            two = lambda k, word=word: pc.binary_join_element_wise(word(k >> 32), word(k & 0xFFFFFFFF), b" ")
             if frequent is None:
-                yield from _told(lang, 1, *_summed(ids[own], weights[own]), lambda k: words.take(pa.array(k)))
-            pair = np.full(len(ids), -1, np.int64)
-            here = left[:-1] > 1
-            pair[:-1][here] = (ids[:-1][here] << 32) | ids[1:][here]
-            if frequent is None:
-                some = own & (pair >= 0)
-                yield from _told(lang, 2, *_summed(pair[some], weights[some]), lambda k: pc.binary_join_element_wise(words.take(pa.array(k >> 32)), words.take(pa.array(k & 0xFFFFFFFF)), b" "))
+                n = np.zeros(len(words), np.int64)
+                np.add.at(n, ids[own], weights[own])
+                some = np.flatnonzero(n)
+                yield from _told(lang, 1, some, n[some], word)
+                some = np.flatnonzero(own & (left > 1))
+                yield from _told(lang, 2, *_summed((ids[some] << 32) | ids[some + 1], weights[some]), two)
                 continue
-            pairs, number = np.unique(pair, return_inverse=True)
-            h = np.array(self.words[lang].hashes, np.uint64)
-            bits = pair_places(h[np.maximum(pairs, 0) >> 32], h[np.maximum(pairs, 0) & 0xFFFFFFFF])
-            good = ((frequent[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) & (pairs >= 0)
-            good = good[number]
-            at = lambda k, pairs=pairs, words=words: pc.binary_join_element_wise(words.take(pa.array(pairs[k] >> 32)), words.take(pa.array(pairs[k] & 0xFFFFFFFF)), b" ")
-            some = np.flatnonzero(own[:-1] & good[:-1] & good[1:] & (left[:-1] > 2)) if len(ids) > 1 else np.zeros(0, np.int64)
-            yield from _told(lang, 3, *_summed((number[some] << 32) | ids[some + 2], weights[some]), lambda k: pc.binary_join_element_wise(at(k >> 32), words.take(pa.array(k & 0xFFFFFFFF)), b" "))
-            some = some[left[some] > 3]
-            some = some[good[some + 2]]
-            yield from _told(lang, 4, *_summed((number[some] << 32) | number[some + 2], weights[some]), lambda k: pc.binary_join_element_wise(at(k >> 32), at(k & 0xFFFFFFFF), b" "))
+            h = self.words[lang].hashes[ids]
+            bits = pair_places(h[:-1], h[1:])
+            good = np.zeros(len(ids) + 2, bool)
+            good[: len(bits)] = (frequent[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1
+            some = np.flatnonzero(own & (left > 2) & good[:-2] & good[1:-1])
+            # Pairs that begin here or two words on, as numbers.
+            four = (left[some] > 3) & good[some + 2]
+            pair = (ids[some] << 32) | ids[some + 1]
+            rest = (ids[some[four] + 2] << 32) | ids[some[four] + 3]
+            pairs, number = np.unique(np.concatenate([pair, rest]), return_inverse=True)
+            first, last = number[: len(pair)], number[len(pair) :]
+            pair_of = lambda k, pairs=pairs, two=two: two(pairs[k])
+            yield from _told(lang, 3, *_summed((first << 32) | ids[some + 2], weights[some]), lambda k, p=pair_of, w=word: pc.binary_join_element_wise(p(k >> 32), w(k & 0xFFFFFFFF), b" "))
+            yield from _told(lang, 4, *_summed((first[four] << 32) | last, weights[some[four]]), lambda k, p=pair_of: pc.binary_join_element_wise(p(k >> 32), p(k & 0xFFFFFFFF), b" "))
         self.__init__()
 
 
@@ -203,7 +225,7 @@ def count_phrases(dictionary: DataFrame, min_count: int, frequent: np.ndarray |
                 where.setdefault(lang, []).append(i)
             for lang, rows in where.items():
                 part = batch.take(pa.array(rows))
-                held.add(lang, part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy())
+                held.add(lang, part.column(1).cast(pa.binary()), part.column(2).to_numpy(), part.column(3).to_numpy())
             if held.n >= MAX_HELD:
                 yield from held.counted(shared.value)
         yield from held.counted(shared.value)
