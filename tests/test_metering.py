@@ -214,17 +214,6 @@ def test_streamed_spans_equal_the_fold(spark, tmp_path):
     assert sorted(r.reason for r in got if r.reason) == ["missing", "out of order"]
 
 
-def test_streamed_accumulation_equals_the_batch(spark, tmp_path):
-    rows = [("k", "m", at(1, 3), 2.0), ("k", "m", at(1, 4), 5.0), ("k", "m", at(2, 4), -1.0), ("k", "m", at(1, 3), 2.0)]
-    df = spark.createDataFrame(rows, "key string, metric string, ts long, value double").withColumn("event_time", F.timestamp_millis("ts"))
-    df.coalesce(1).write.parquet(str(tmp_path / "m"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "m"))
-    once = pipeline.dedup_stream(stream, ["key", "ts"], "event_time")
-    assert len(run_to_memory(spark, once, "once", tmp_path, "append")) == 3
-    got = run_to_memory(spark, pipeline.accumulate_stream(stream, ["key"]), "sums", tmp_path, "complete")
-    assert sorted((float(r["sum"]), r["max"], r["n"]) for r in got) == [(-1.0, 0.0, 1), (9.0, 5.0, 3)]
-
-
 def test_far_numbers_add_up(spark):
     df = spark.createDataFrame([(1e19,), (0.25,), (-1e19,), (-3.5,), (2.0**30 + 0.5,)], "x double")
     assert df.agg(acc.exact_sum(F.col("x"))).first()[0] == pytest.approx(2.0**30 - 2.75)

@@ -56,8 +56,12 @@ def org_report(metered: DataFrame, t: int, orgs: DataFrame | list[str] | None =
     summarize; without one the named folds do.
     """
     rows = as_of(metered, t, orgs, resource_id)
-    tree = aggregate_tree(accumulate(rows) if catalog is None else accumulate_by_plan(rows, catalog, mergeable=True), catalog)
-    told = with_slots(tree, t)
+    return report_of(accumulate(rows) if catalog is None else accumulate_by_plan(rows, catalog, mergeable=True), t, catalog)
+
+
+def report_of(states: DataFrame, t: int, catalog: Catalog | None = None) -> DataFrame:
+    """The report as of ``t`` from accumulated states of its month."""
+    told = with_slots(aggregate_tree(states, catalog), t)
     return (summarize(told, t) if catalog is None else summarize_by_plan(told, t, catalog)).select(*LEVEL_KEYS, *schemas.NODE, "metric", "dimension", "bucket_ms", "slot", "quantity", "consuming", "consumed", "summary")
 
 

@@ -48,7 +48,7 @@ def account_orgs(accounts: DataFrame) -> DataFrame:
 
 def validate_account(df: DataFrame, accounts: DataFrame, denied: list[str] | None = None) -> DataFrame:
     """Adds ``account_error``: no account for the organization, or a denied license (empty and N/A pass)."""
-    told = df.join(small(account_orgs(accounts).select("organization_id", F.col("account_id").alias("_account"), F.col("license_type").alias("_license"))), "organization_id", "left")
+    told = df.join(gathered(account_orgs(accounts).select("organization_id", F.col("account_id").alias("_account"), F.col("license_type").alias("_license"))), "organization_id", "left")
     refused = F.col("_license").isin(*(denied or [""])) & ~F.col("_license").isin("", "N/A")
     return told.withColumn("account_error", F.when(F.col("_account").isNull(), "no account").when(refused, "license not supported")).drop("_account", "_license")
 
@@ -68,23 +68,28 @@ def check_quantity(value: Column) -> Column:
     return value.isNull() | F.isnan(value)
 
 
-def check_usage(df: DataFrame, catalog: Catalog, now: int, order: list[Column], denied: list[str] | None = None, slack: int = 600_000, raw: str | None = None) -> DataFrame:
-    """Adds ``error``, the first reason against each document, null for those that go on.
-
-    In order: its form (all that is wrong with it), no mapping or plan, no account or its license, usage of days to come, a
-    document that repeats one without an error, and usage of a month whose slack is over when it arrives (``arrival_ms``).
-    """
+def check_at_once(df: DataFrame, catalog: Catalog, now: int | Column, denied: list[str] | None = None, raw: str | None = None) -> DataFrame:
+    """Adds ``error``, the first reason against each document that can be told from it alone: its form (all that is wrong with it), no mapping or plan, no account or its license, usage of days to come."""
     told = validate_account(validate_instance(validate_usage(df, raw), catalog), catalog.accounts, denied)
     at_once = (
         F.when(F.size("errors") > 0, F.array_join("errors", ", ")).when(F.col("instance_error").isNotNull(), F.col("instance_error"))
-        .when(F.col("account_error").isNotNull(), F.col("account_error")).when(reject_future(F.col("end_ms"), F.lit(now)), "usage of the future")
+        .when(F.col("account_error").isNotNull(), F.col("account_error")).when(reject_future(F.col("end_ms"), F.lit(now) if isinstance(now, int) else now), "usage of the future")
     )
-    told = told.withColumn("error", at_once).drop("errors", "instance_error", "account_error")
+    return told.withColumn("error", at_once).drop("errors", "instance_error", "account_error")
+
+
+def check_repeats(df: DataFrame, order: list[Column], slack: int = 600_000) -> DataFrame:
+    """Completes ``error``: a document that repeats one without an error, and usage of a month whose slack is over when it arrives (``arrival_ms``)."""
     # Rejected rows are not compared: all documents without ids would meet in one task. They are dealt out by what they hold.
-    alone = F.when(F.col("error").isNotNull(), F.xxhash64(*[c for c in told.columns if not isinstance(told.schema[c].dataType, MapType)]))
+    alone = F.when(F.col("error").isNotNull(), F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, MapType)]))
     first = F.row_number().over(Window.partitionBy(alone, *(F.when(F.col("error").isNull(), k) for k in _dedup_key())).orderBy(*order))
-    later = F.when((first > 1), "duplicate").when(reject_out_of_slack(F.col("end_ms"), F.col("arrival_ms"), slack), "out of slack")
-    return told.withColumn("_later", later).withColumn("error", F.coalesce("error", "_later")).drop("_later")
+    later = F.when(first > 1, "duplicate").when(reject_out_of_slack(F.col("end_ms"), F.col("arrival_ms"), slack), "out of slack")
+    return df.withColumn("_later", later).withColumn("error", F.coalesce("error", "_later")).drop("_later")
+
+
+def check_usage(df: DataFrame, catalog: Catalog, now: int, order: list[Column], denied: list[str] | None = None, slack: int = 600_000, raw: str | None = None) -> DataFrame:
+    """Adds ``error``, the first reason against each document, null for those that go on: what can be told at once, then repeats and lateness."""
+    return check_repeats(check_at_once(df, catalog, now, denied, raw), order, slack)
 
 
 def split_errors(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:

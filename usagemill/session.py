@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,14 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: that of checkpoints, as ``spark.checkpoint.dir`` or the context names it; on one machine, one of our own."""
+    base, at = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
+    if base is None and at is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or at or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if at is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -14,11 +13,6 @@ from ..operators.accumulate import merge_accumulated
 from ..sources.state import upsert_state
 
 
-def dedup_stream(df: DataFrame, keys: list[str], event_time: str, lateness: str = "31 days") -> DataFrame:
-    """One document a key while its state lives; the calendar's own lateness rule is applied by batch."""
-    return df.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(keys)
-
-
 def run_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str], version: str, partition: str) -> StreamingQuery:
     """Runs ``process`` on what there is and merges its rows into a state table; a repeated batch changes nothing."""
 
@@ -28,11 +22,6 @@ def run_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], pa
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def accumulate_stream(metered: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums, greatest values and counts per key, metric and day, as an updating table."""
-    return metered.groupBy(*keys, "metric", F.window("event_time", "1 day").alias("day")).agg(F.sum(F.col("value").cast("decimal(28,9)")).alias("sum"), F.greatest(F.lit(0.0), F.max("value")).alias("max"), F.count("*").alias("n"))
-
-
 class SpanPairing(StatefulProcessor):
     """Pairs starts and stops of a target across batches; its state is the open start."""
 
@@ -92,9 +81,3 @@ def accumulated(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 def compact(spark: SparkSession, path: str, to: str, keys: list[str]) -> None:
     """Writes the states so far as one part of a new table, which later batches may follow."""
     accumulated(spark, path, keys).write.parquet(f"{to}/batch=-1")
-
-
-def delta(previous: DataFrame, current: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Changes of states, current less previous: what a tree kept incrementally adds."""
-    p = previous.select(*keys, F.col(value).alias("_p"))
-    return current.join(p, keys, "left").select(*keys, (F.col(value) - F.coalesce("_p", F.lit(0.0))).alias(value))
