@@ -119,8 +119,10 @@ class Search:
 
     def _rerank(self, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, norms: np.ndarray, ids: np.ndarray) -> None:
         """Pairs of queries (in order) and vectors, compared exactly."""
+        if not len(rows):
+            return
         self.compared += len(rows)
-        scores = np.concatenate([_exact(self.q.vectors[rows[i : i + s]], x[cols[i : i + s]], self.q.norms[rows[i : i + s]], norms[cols[i : i + s]]) for s in [max(1, _AT_ONCE // x.shape[1])] for i in range(0, len(rows), s)] or [np.zeros(0)])
+        scores = np.concatenate([_exact(self.q.vectors[rows[i : i + s]], x[cols[i : i + s]], self.q.norms[rows[i : i + s]], norms[cols[i : i + s]]) for s in [max(1, _AT_ONCE // x.shape[1])] for i in range(0, len(rows), s)])
         at = np.flatnonzero(np.diff(rows, prepend=-1))
         for a, b in zip(at, [*at[1:], len(rows)], strict=True):
             i = rows[a]
