@@ -73,6 +73,17 @@ def doc_id(ms: Column, *keys: Column) -> Column:
     return F.concat(F.lit("t/"), F.lpad(ms.cast("string"), 16, "0"), F.lit("/k/"), F.concat_ws("/", *keys))
 
 
+def id_time(doc_id: Column) -> Column:
+    """The time in a document's id, wherever its part stands; null if there is none."""
+    return F.try_to_number(F.nullif(F.regexp_extract(doc_id, r"(?:^|/)t/([0-9]+)(?:/|$)", 1), F.lit("")), F.lit("9" * 19)).cast("long")
+
+
+def id_keys(doc_id: Column) -> Column:
+    """The keys in a document's id, before or after its time; empty if there are none."""
+    found = F.regexp_extract(doc_id, r"(?:^|/)k/(.*?)(?:/t/[0-9]+)?$", 1)
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(found, "/"))
+
+
 def or_zero(x: Column) -> Column:
     """Null and NaN count as 0."""
     return F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))

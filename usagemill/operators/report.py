@@ -147,6 +147,58 @@ def completeness(refs: DataFrame, snapshots: DataFrame, on: list[str]) -> DataFr
     return told.groupBy("organization_id").agg(F.count("*").alias("refs"), F.count_if(F.col("_there").isNull()).alias("missing"), F.max(F.col("_there").isNull()).alias("is_partial"))
 
 
+def flag_partial(report: DataFrame, refs: DataFrame, snapshots: DataFrame, on: list[str]) -> DataFrame:
+    """The report with ``is_partial``: whether a snapshot that the organization's references name is missing."""
+    told = completeness(refs, snapshots, on).select("organization_id", F.col("is_partial").alias("_partial"))
+    return report.join(told, "organization_id", "left").withColumn("is_partial", F.coalesce("_partial", F.lit(False))).drop("_partial")
+
+
+#: All of the tree: an organization's own resources, its spaces, their consumers, and everywhere the plans.
+WHOLE_TREE = {"resources": {"plans": {}}, "spaces": {"resources": {"plans": {}}, "consumers": {"resources": {"plans": {}}}}}
+
+
+def nested_report(report: DataFrame, select: dict = WHOLE_TREE, values: tuple[str, ...] = ("quantity", "summary")) -> DataFrame:
+    """One row an organization, nested as ``select`` says, from the leaves up, with one grouping a level.
+
+    A node (organization, space, consumer) may have ``resources``, and these ``plans``;
+    an organization ``spaces`` and a space ``consumers``. Every resource and plan has
+    ``usage``: metric, dimension, slot and values, a resource's summed over its plans.
+    Levels that are not selected are neither read nor grouped. A node's children come
+    together in its row, so select as deep as a row can hold.
+    """
+    levels = {"org": select, "space": select.get("spaces"), "consumer": (select.get("spaces") or {}).get("consumers")}
+    if unknown := {k for v in levels.values() if v for k in v} - {"resources", "spaces", "consumers"} or {k for v in levels.values() if v for k in v.get("resources") or {}} - {"plans"}:
+        raise ValueError(f"no such level: {', '.join(sorted(unknown))}")
+    place = ["level", "organization_id", "space_id", "consumer_id"]
+    wanted = [k for k, v in levels.items() if v is not None]
+    rows = report.where(F.col("level").isin(wanted))
+    with_plans = [k for k, v in levels.items() if v is not None and "plans" in (v.get("resources") or {})]
+    total = lambda c: F.coalesce(F.sum(decimal(F.col(c))), F.lit(0)).cast("double").alias(c)
+    usage = lambda: F.sort_array(F.collect_list(F.struct("metric", "dimension", "slot", *values))).alias("usage")
+    plan = schemas.NODE[1:]
+    plans = rows.where(F.col("level").isin(with_plans)).groupBy(*place, "resource_id", *plan).agg(usage())
+    plans = plans.select(*place, "resource_id", F.struct(*plan, "usage").alias("plan"), F.lit(None).cast(plans.schema["usage"].dataType).alias("usage"))
+    totals = rows.groupBy(*place, "resource_id", "metric", "dimension", "slot").agg(*(total(v) for v in values)).groupBy(*place, "resource_id").agg(usage())
+    both = totals.select(*place, "resource_id", F.lit(None).cast(plans.schema["plan"].dataType).alias("plan"), "usage").unionByName(plans)
+    resources = both.groupBy(*place, "resource_id").agg(F.max("usage").alias("usage"), F.sort_array(F.collect_list("plan")).alias("plans"))
+    nodes = resources.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("resource_id", "usage", "plans"))).alias("resources"))
+
+    def above(child: DataFrame | None, level: str, keys: list[str], name: str, key: str) -> DataFrame:
+        """The nodes of a level, with their children."""
+        own = nodes.where(F.col("level") == level).select(*keys, "resources")
+        if child is None:
+            return own
+        kind = F.struct(key, *(c for c in child.columns if c not in [*keys, key]))
+        told = child.select(*keys, F.lit(None).cast(own.schema["resources"].dataType).alias("resources"), kind.alias("_child"))
+        own = own.withColumn("_child", F.lit(None).cast(told.schema["_child"].dataType))
+        return own.unionByName(told).groupBy(*keys).agg(F.max("resources").alias("resources"), F.sort_array(F.collect_list("_child")).alias(name))
+
+    three = place[1:]
+    consumers = nodes.where("level = 'consumer'").select(*three, "resources") if levels["consumer"] is not None else None
+    spaces = above(consumers, "space", three[:2], "consumers", "consumer_id") if levels["space"] is not None else None
+    return above(spaces, "org", three[:1], "spaces", "space_id")
+
+
 def report_select(report: DataFrame, level: str | list[str], fields: list[str], leaves: list[str] | None = None) -> DataFrame:
     """Fields of one or several levels of the tree. With ``leaves``, a row for each different ``fields`` with its cells as ``cells``: metric, dimension, slot and those leaves."""
     rows = report.where(F.col("level").isin(level if isinstance(level, list) else [level]))

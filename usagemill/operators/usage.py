@@ -9,6 +9,7 @@ from pyspark.sql.types import MapType
 from .. import schemas
 from ..functions.calendar import MS, add_months, end_of_month, trunc_dim
 from ..plans.catalog import Catalog, gathered
+from .documents import document_errors
 
 #: Catalog tables are broadcast up to this many rows.
 MAX_BROADCAST_ROWS = 200_000
@@ -23,14 +24,12 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def validate_usage(df: DataFrame, raw: str | None = None) -> DataFrame:
-    """Adds ``errors``, all of them: missing fields, and with ``raw`` JSON the unknown ones. An empty measured_usage is valid."""
+    """Adds ``errors``, all of them: missing fields, or with ``raw`` JSON whatever does not fit the document's schema, at any depth. An empty measured_usage is valid."""
+    if raw:
+        return df.withColumn("errors", document_errors(F.col(raw)))
     missing = [F.when(F.col(c).isNull(), F.lit(f"{c}: required")) for c in schemas.REQUIRED_USAGE]
     bad = [F.when(F.exists("measured_usage", lambda x: x["measure"].isNull()), F.lit("measured_usage: measure required"))]
-    errors = F.array_compact(F.array(*missing, *bad))
-    if raw:
-        unknown = F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, schemas.USAGE.names)))
-        errors = F.concat(errors, F.transform(F.coalesce(unknown, F.array().cast("array<string>")), lambda k: F.concat(k, F.lit(": unknown"))))
-    return df.withColumn("errors", errors)
+    return df.withColumn("errors", F.array_compact(F.array(*missing, *bad)))
 
 
 def validate_instance(df: DataFrame, catalog: Catalog) -> DataFrame:

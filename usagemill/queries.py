@@ -12,6 +12,7 @@ from . import schemas
 from . import testdata as td
 from .functions.calendar import doc_id, end_of_month, or_zero, slot_index, trunc_dim, yyyymm
 from .operators import accumulate as acc
+from .operators import documents
 from .operators import events as ev
 from .operators import ingest, monitor, report, spans, usage
 
@@ -364,6 +365,26 @@ def resource_totals(spark, d):
     return report.resource_totals(report.org_report(td.metered_orders(spark, d), T_CLOSED))
 
 
+@query(
+    f"""WITH {_asof(T_CLOSED)}, t AS (SELECT *, {_slot(T_CLOSED)} AS slot FROM tree WHERE bucket_ms <= {T_CLOSED})
+SELECT organization_id, count(DISTINCT space_id) AS spaces, count(DISTINCT CASE WHEN level = 'consumer' THEN space_id || '/' || consumer_id END) AS consumers,
+  count(DISTINCT CASE WHEN level = 'consumer' THEN space_id || '/' || consumer_id || '/' || resource_id || '/' || plan_id END) AS plans,
+  count(CASE WHEN level = 'consumer' THEN 1 END) AS cells, sum(CASE WHEN level = 'consumer' THEN quantity END) AS quantity,
+  sum(CASE WHEN level = 'org' AND metric = 'heavy_api_calls' AND dimension = 'M' THEN quantity END) AS own FROM t GROUP BY organization_id"""
+)
+def nested_report(spark, d):
+    """Organization > spaces > consumers > resources > plans as one row, told by what it holds."""
+    n = report.nested_report(report.org_report(td.metered_orders(spark, d), T_CLOSED))
+    flat = lambda x, f: F.flatten(F.transform(x, f))
+    consumers = flat(F.col("spaces"), lambda s: s["consumers"])
+    plans_ = flat(flat(consumers, lambda c: c["resources"]), lambda r: r["plans"])
+    cells = flat(plans_, lambda p: p["usage"])
+    total = lambda xs: F.aggregate(F.transform(xs, lambda u: u["quantity"]), F.lit(0.0), lambda a, q: a + q)
+    own = F.filter(flat(F.col("resources"), lambda r: r["usage"]), lambda u: (u["metric"] == "heavy_api_calls") & (u["dimension"] == "M"))
+    size = lambda x: F.size(x).cast("long")
+    return n.select("organization_id", size("spaces").alias("spaces"), size(consumers).alias("consumers"), size(plans_).alias("plans"), size(cells).alias("cells"), total(cells).alias("quantity"), total(own).alias("own"))
+
+
 _PRICES = "(VALUES ('storage', 'USA', 1.0), ('storage', 'EUR', 0.7523), ('thousand_light_api_calls', 'USA', 0.03), ('thousand_light_api_calls', 'EUR', 0.0226), ('heavy_api_calls', 'USA', 0.15), ('heavy_api_calls', 'EUR', 0.1129)) p(metric, country, price)"
 
 
@@ -443,6 +464,25 @@ def validate_reasons(spark, d):
     return told.groupBy("organization_id", F.array_join("errors", ",").alias("errors"), "instance_error", "account_error").agg(F.count("*").alias("n"))
 
 
+_RAW = """'{"start": ' || CASE WHEN k = 1 THEN '"' || l_orderkey || '"' WHEN k = 2 THEN l_orderkey || '.5' ELSE CAST(l_orderkey AS VARCHAR(20)) END || ', "end": 5, ' || CASE WHEN k = 6 THEN '' WHEN k = 3 THEN '"organization_id": null, ' ELSE '"organization_id": "o", ' END ||
+  '"space_id": "s", "resource_id": "r", "plan_id": ' || CASE WHEN k = 4 THEN '["p"]' ELSE '"p"' END || ', "resource_instance_id": "i", ' || CASE WHEN k = 5 THEN '"zone": {"a": 1}, ' ELSE '' END || '"measured_usage": ' ||
+  CASE WHEN k = 6 THEN '{"measure": "m"}' WHEN k = 7 THEN '[{"measure": "m", "quantity": "' || l_linenumber || '"}, {"measure": 3, "quantity": 1, "unit": "GB"}, 7]' WHEN k = 8 THEN '[{"measure": "m", "quantity": null}, {"quantity": 2.5}]' ELSE '[{"measure": "m", "quantity": ' || l_linenumber || '}]' END || CASE WHEN k = 9 THEN '' ELSE '}' END"""
+
+
+@query(
+    f"""WITH k AS (SELECT *, (l_orderkey + l_linenumber) % 11 AS k FROM lineitem)
+SELECT l_linenumber, CASE k WHEN 1 THEN 'start: expected number, got string' WHEN 2 THEN 'start: expected a whole number' WHEN 3 THEN 'organization_id: required' WHEN 4 THEN 'plan_id: expected string, got array' WHEN 5 THEN 'zone: unknown'
+  WHEN 6 THEN 'organization_id: required; measured_usage: expected array, got object'
+  WHEN 7 THEN 'measured_usage[0].quantity: expected number, got string; measured_usage[1].measure: expected string, got number; measured_usage[1].unit: unknown; measured_usage[2]: expected object, got number'
+  WHEN 8 THEN 'measured_usage[0].quantity: required; measured_usage[1].measure: required' WHEN 9 THEN 'document: expected object, got no JSON' ELSE '' END AS errors, count(*) AS n FROM k GROUP BY ALL"""
+)
+def document_errors(spark, d):
+    """All that is wrong with JSON texts made from line items, with its path."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("k", (F.col("l_orderkey") + F.col("l_linenumber")) % 11)
+    told = lines.select(F.col("l_linenumber"), F.array_join(documents.document_errors(F.expr(_RAW)), "; ").alias("errors"))
+    return told.groupBy("l_linenumber", "errors").agg(F.count("*").alias("n"))
+
+
 # Line items with what can be wrong with them, and the first reason against each.
 ING = f"""i AS (SELECT u.* EXCLUDE (space_id, plan_id, q), CASE WHEN ln = 7 THEN NULL ELSE space_id END AS space_id, CASE WHEN u.l_orderkey % 11 = 0 THEN 'gold' ELSE plan_id END AS plan_id, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE q END AS q, n_nationkey % 7 = 0 AS trial FROM u JOIN nation ON organization_id = 'org-' || n_nationkey),
 o AS (SELECT *, CASE WHEN space_id IS NULL THEN 'space_id: required' WHEN plan_id = 'gold' THEN 'no metering mapping' WHEN trial THEN 'license not supported' WHEN end_ms > {T_MID} - {T_MID} % 86400000 + 86399999 THEN 'usage of the future' END AS e0 FROM i),

@@ -23,13 +23,14 @@ def run_batches(stream: DataFrame, process: Callable[[DataFrame], DataFrame], pa
 
 
 class SpanPairing(StatefulProcessor):
-    """Pairs starts and stops of a target across batches; its state is the open start."""
+    """Pairs starts and stops of a target across batches; its state is the open start, so a target that is stopped leaves none."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "start_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        # Of the target's events of one batch only these columns are held, to be put in order.
+        events = pd.concat([part[["seq", "kind", "timestamp"]] for part in rows]).sort_values("seq", kind="stable")
         start = self.open.get()[0] if self.open.exists() else None
         out = []
         for kind, ts in zip(events["kind"], events["timestamp"], strict=True):
