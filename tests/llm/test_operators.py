@@ -475,6 +475,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.75 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_the_likelihoods_alone_tell_toxic_texts(spark):
+    """On held-out rows of the largest table: the length-normalised difference by itself, and the score, which no weight of it lowers."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit_models(docs, labels)
+    got = toxicity.score_toxicity(docs, model).join(labels.where("toxic IS NOT NULL").where(toxicity.part_of(F.col("doc_id")) == 2), "doc_id").select("log_ratio", "score", "toxic").toPandas()
+    area = lambda c: np.mean([(a > b) + 0.5 * (a == b) for a in got[c][got.toxic == 1] for b in got[c][got.toxic == 0]])
+    assert (model.curve[1:] >= 0).all() and model.curve[1] > 0
+    assert area("log_ratio") > 0.93 and area("score") > 0.95
+
+
+def test_weights_are_never_below_zero(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 2))
+    y = (x[:, 1] - 0.5 * x[:, 0] + 0.3 * rng.standard_normal(400) > 0).astype(float)
+    assert toxicity._logistic(np.column_stack([np.ones(400), x]), y)[1] < 0
+    monkeypatch.setattr(toxicity, "_with_features", lambda *a: spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y, strict=True)], "y double, x array<double>"))
+    df = spark.createDataFrame([(1, "t", 1)], "doc_id long, text string, toxic int")
+    curve, _ = toxicity._fit_curve(toxicity.Model(toxicity._NOTHING, np.zeros(3), np.zeros((2, 2))), df, df, "doc_id", "text", "toxic", F.lit(True))
+    assert curve[1] == 0 and curve[2] > 0
+
+
 def test_held_out_labels_are_not_read(spark, tiny):
     labels = spark.read.parquet(f"{TINY}/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(toxicity.part_of(F.col("doc_id")) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -537,14 +559,14 @@ def log_ratios(counted, texts, pairs=True):
         return 1 / (1 + (1 - prior) / prior * math.exp(min(same - apart, 700)))
 
     n = [collections.Counter(), collections.Counter()]
+    context, follows = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
     for t, y in counted:
         w = words(t)
         n[y].update(zip([None, *w], w))
-    context, follows = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+        follows[y].update(set(w))
     for c in (0, 1):
-        for (v, w), k in n[c].items():
+        for (v, _), k in n[c].items():
             context[c][v] += k
-            follows[c][w] += 1
     vocabulary = set(follows[0]) | set(follows[1])
     total = [sum(f.values()) for f in follows]
     base = total[1] / sum(total)

@@ -6,8 +6,10 @@ Each class c, toxic and ordinary, has a model
     P_c(w)     = (kept_c(w) + (N_c - K_c) shared(w)) / N_c
 
 n_c(v, w) counts the pair in the class's texts and n_c(v) the word as a context.
-As in Kneser-Ney models a lower order counts continuations: n_c(w) is after how
-many different words w stands, N_c their sum. What a discount takes off the
+As in Kneser-Ney models a lower order counts where a word goes on, not how often:
+n_c(w) is in how many of the class's texts w stands, N_c their sum. (After how many
+different words w stands is worse here: a word that one text repeats is counted
+with each of its neighbours.) What a discount takes off the
 counts goes to the lower order: left_c(v) is one less what is kept after v, K_c
 the sum of kept_c(w), and shared(w), which both classes back off to, is in
 proportion to what was discounted of w in both together, half an occurrence at
@@ -20,9 +22,10 @@ and backs off whole before. The same fixed discount in both classes does not do
 this: as they differ in size, what it takes off their rare words differs too, and
 these then outweigh the others.
 
-A text's difference is that of its log-likelihoods per word, and the greatest of
-any STRETCH words in a row; a logistic curve over these two, fitted on held-back
-labelled rows, gives the score.
+A text's difference is that of its log-likelihoods, normalised by the number of
+its words and by this number's root (by which the difference of ordinary texts of
+any length spreads alike); a logistic curve over these two, neither weight below
+zero, fitted on held-back labelled rows, gives the score.
 
 What is counted: every word and word pair of all labelled texts but the held-out
 rows and the rows of the curve; a word in none of these texts has what both classes share.
@@ -66,11 +69,11 @@ MAX_CURVE_ROWS = 20_000
 MAX_HELD = 6_000_000
 #: Labels are broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 MAX_BROADCAST_LABELS = 4_000_000
-#: Words in the stretch whose difference is taken as the worst.
-STRETCH = 10
 _U = np.uint64
 #: What stands before the first word of a text; no word is empty.
 _START = np.int64(0)
+#: Stands for the text as a whole, of which a word is a part.
+_TEXT = np.int64(1)
 #: Tells the keys of contexts from those of words.
 _AS_CONTEXT = np.uint64(0x632BE59BD9B4E019)
 _COUNTED = ["c0", "c1", "t0", "t1"]
@@ -156,9 +159,7 @@ class Evidence:
         for i, end in enumerate(ends):
             if end > start:
                 d = differences[start:end]
-                run = np.concatenate(([0.0], np.cumsum(d)))
-                k = min(STRETCH, len(d))
-                x[i] = d.mean(), (run[k:] - run[:-k]).max() / STRETCH
+                x[i] = d.mean(), d.sum() / np.sqrt(len(d))
             start = end
         return x
 
@@ -219,7 +220,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, labe
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (w) after others (v) per chunk; each text starts after nothing."""
+    """Counts of words (w) after others (v) per chunk, and of the texts that hold them (v is _TEXT); each text starts after nothing."""
     for batch in batches:
         for part, texts in chunks(batch):
             toxic = np.array([c == 1 for c in part.column(part.schema.get_field_index("y")).to_pylist()], bool)
@@ -228,6 +229,10 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, at, back = np.unique(_pair_key(before, word), return_index=True, return_inverse=True)
             n1 = np.bincount(back[of], minlength=len(key))
             yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at]), pa.array(np.bincount(back, minlength=len(key)) - n1), pa.array(n1)], names=["v", "w", "n0", "n1"])
+            once = pd.DataFrame({"t": np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0)), "w": word}).drop_duplicates()
+            held, back = np.unique(once["w"].to_numpy(), return_inverse=True)
+            n1 = np.bincount(back[toxic[once["t"].to_numpy()]], minlength=len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), _TEXT)), pa.array(held), pa.array(np.bincount(back, minlength=len(held)) - n1), pa.array(n1)], names=["v", "w", "n0", "n1"])
 
 
 def for_curve(labels: DataFrame, key: str, label: str) -> Column:
@@ -242,7 +247,7 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _discounted(base: float):
-    """Adds what each class keeps of a word's continuation counts (k0, k1), and what of both is left to share (s)."""
+    """Adds what each class keeps of a word's texts (k0, k1), and what of both is left to share (s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,9 +307,10 @@ def fit_models(documents: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     empty = Model(_NOTHING, np.array([-30.0, 0, 0]), np.array([[-np.inf] * 2, [np.inf] * 2]))
     curve = for_curve(labels, key, label)
     rows = _labelled(documents, labels, key, text, label, (part_of(F.col(key)) != 2) & ~curve)
-    pairs, _ = _stored(spark, rows.mapInArrow(_pair_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
-    # Continuation counts by second word, and totals by first word.
-    second = pairs.groupBy("w").agg(*(F.count_if(F.col(f"n{i}") > 0).alias(f"c{i}") for i in (0, 1)))
+    found, _ = _stored(spark, rows.mapInArrow(_pair_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    pairs = found.where(F.col("v") != int(_TEXT))
+    # Texts by word, and totals by first word.
+    second = found.where(F.col("v") == int(_TEXT)).select("w", *(F.col(f"n{i}").alias(f"c{i}") for i in (0, 1)))
     first = pairs.groupBy(F.col("v").alias("w")).agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in (0, 1)))
     counted = second.join(first, "w", "full").na.fill(0).select(F.col("w").alias("k"), *(F.col(n).cast("double") for n in _COUNTED))
     counted, _ = _stored(spark, counted, "counts")
@@ -398,15 +404,27 @@ def _fit_curve(model: Model, documents: DataFrame, labels: DataFrame, key: str,
     x = np.column_stack([np.ones(len(y)), np.clip(raw, *ends)])
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1
-    z, w = x / scale, np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 1, 1]) * 0.5
+    z, used = x / scale, [0, 1, 2]
+    while True:
+        w = np.zeros(3)
+        w[used] = _logistic(z[:, used], y)
+        if not (below := [i for i in used[1:] if w[i] < 0]):
+            break
+        # More of the toxic model's likelihood never lowers the score: the weight that falls furthest below is zero.
+        used.remove(min(below, key=lambda i: w[i]))
+    return w / scale, ends
+
+
+def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton's method; the first column is the intercept."""
+    w, ridge = np.zeros(z.shape[1]), np.diag([1e-6, *[1] * (z.shape[1] - 1)]) * 0.5
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w / scale, ends
+    return w
 
 
 def score_toxicity(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
