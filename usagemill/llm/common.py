@@ -46,15 +46,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Checkpoints that ``cut`` made, by application.
+_CUTS: dict[str, list[str]] = {}
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes all that the application's operators wrote to the shared folder; their results must have been written or collected before."""
     remove(spark, _scratch(spark))
+    for path in _CUTS.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: it ends the lineage and outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Checkpoint in the shared folder: it ends the lineage, outlives lost executors, and goes with ``clear_scratch``."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint()
+    at = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if at.isDefined():
+        _CUTS.setdefault(spark.sparkContext.applicationId, []).append(at.get())
+    return out
 
 
 def fixed_words(text: bytes) -> list[bytes]:

@@ -161,6 +161,10 @@ class StoredZip:
         self._put(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), 0xFFFFFFFF, 0xFFFFFFFF, 0))
 
 
+# The columns of classic index lines without a header, by their number.
+CDX_LETTERS = {11: "NbamskrMSVg", 9: "NbamskrVg"}
+
+
 class ZipRanges:
     """The members of a ZIP file, found through its directory and read by range."""
 
@@ -230,15 +234,23 @@ class ZipRanges:
         return [n for n in self.members if n.lower().endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))]
 
     def _parts(self, name: str) -> Iterator[bytes]:
-        """A member's bytes, a part at a time; deflated and gzipped ones are inflated."""
+        """A member's bytes, a part at a time; deflated and gzipped ones are inflated, of the latter all gzip members one after the other."""
         start, size, stored = self.members[name]
-        inflaters = ([] if stored else [zlib.decompressobj(-15)]) + ([zlib.decompressobj(31)] if name.lower().endswith(".gz") else [])
+        deflated = None if stored else zlib.decompressobj(-15)
+        gzipped = zlib.decompressobj(31) if name.lower().endswith(".gz") else None
+        fresh = True  # no gzip member has begun
         for at in range(0, size, INDEX_BYTES):
             part = self._read(start + at, min(INDEX_BYTES, size - at))
-            for z in inflaters:
-                part = z.decompress(part)
-            yield part
-        if any(not z.eof for z in inflaters):
+            if deflated:
+                part = deflated.decompress(part)
+            if not gzipped:
+                yield part
+            while gzipped and part:
+                yield gzipped.decompress(part)
+                fresh, part = gzipped.eof, gzipped.unused_data
+                if fresh:
+                    gzipped = zlib.decompressobj(31)
+        if deflated and not deflated.eof or gzipped and not fresh:
             raise ValueError(f"{name} is cut off")
 
     def lines(self, name: str) -> Iterator[str]:
@@ -256,30 +268,49 @@ class ZipRanges:
             raise ValueError("range beyond the member")
         return self._read(start + offset, length)
 
+    def _entries(self, index: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the lines of an index: those with JSON, and classic ones by their header's letters (file g, offset V, length S)."""
+        letters: list[str] | None = None
+        for line in self.lines(index):
+            told = line.find("{")
+            if told >= 0:
+                entry = json.loads(line[told:])
+                found = entry.get("filename", ""), entry.get("offset"), entry.get("length")
+            elif line.lstrip().startswith("CDX "):
+                letters = line.split()[1:]
+                continue
+            else:
+                fields = line.split()
+                by = dict(zip(letters or CDX_LETTERS.get(len(fields), ""), fields, strict=False))
+                found = by.get("g", ""), by.get("V"), by.get("S")
+            if str(found[1]).isdigit() and str(found[2]).isdigit():
+                yield str(found[0]), int(found[1]), int(found[2])
+
     def records(self) -> Iterator[tuple[str, int, int]]:
-        """(member, offset, length) of every record: by the indexes, and by a pass over members that none names."""
-        archives, named = self.archives(), set()
+        """(member, offset, length) of every record, once: by the indexes, and by a pass over what no index covers."""
+        archives = self.archives()
         by_file = {n.rsplit("/", 1)[-1]: n for n in archives}
+        told: dict[str, dict[int, int]] = {n: {} for n in archives}
         for index in self.indexes():
-            for line in self.lines(index):
-                told = line.find("{")
-                if told < 0:
-                    continue
-                entry = json.loads(line[told:])
-                member = by_file.get(str(entry.get("filename", "")).rsplit("/", 1)[-1]) or (archives[0] if len(archives) == 1 else None)
-                if member is None or "offset" not in entry or "length" not in entry:
-                    continue
-                named.add(member)
-                yield member, int(entry["offset"]), int(entry["length"])
+            for file, offset, length in self._entries(index):
+                member = by_file.get(file.rsplit("/", 1)[-1]) or (archives[0] if len(archives) == 1 else None)
+                if member is not None:
+                    told[member].setdefault(offset, length)
         for member in archives:
-            if member not in named:
-                yield from ((member, at, n) for at, n in (self._gzipped(member) if member.lower().endswith(".gz") else self._plain(member)))
-
-    def _gzipped(self, name: str) -> Iterator[tuple[int, int]]:
-        start, size, _ = self.members[name]
-        began, z = 0, zlib.decompressobj(31)
-        for at in range(0, size, 1 << 16):
-            part = self._read(start + at, min(1 << 16, size - at))
+            passed, at = self._gzipped if member.lower().endswith(".gz") else self._plain, 0
+            for offset, length in sorted(told[member].items()):
+                if offset > at:
+                    yield from ((member, a, n) for a, n in passed(member, at, offset))
+                yield member, offset, length
+                at = max(at, offset + length)
+            yield from ((member, a, n) for a, n in passed(member, at, self.members[member][1]))
+
+    def _gzipped(self, name: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """The gzip members between two places."""
+        start = self.members[name][0]
+        began, z = low, zlib.decompressobj(31)
+        for at in range(low, high, 1 << 16):
+            part = self._read(start + at, min(1 << 16, high - at))
             end = at + len(part)
             while part:
                 z.decompress(part)
@@ -287,17 +318,18 @@ class ZipRanges:
                 if z.eof:
                     yield began, end - len(part) - began
                     began, z = end - len(part), zlib.decompressobj(31)
-        if began < size:
+        if began < high:
             raise ValueError(f"{name} is cut off")
 
-    def _plain(self, name: str) -> Iterator[tuple[int, int]]:
-        size, at = self.members[name][1], 0
-        while at < size:
-            head, end, _ = self.range(name, at, min(1 << 16, size - at)).partition(b"\r\n\r\n")
+    def _plain(self, name: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """The records between two places of a member that is not compressed."""
+        at = low
+        while at < high:
+            head, end, _ = self.range(name, at, min(1 << 16, high - at)).partition(b"\r\n\r\n")
             if not end:
                 raise ValueError(f"{name} is cut off")
             n = len(head) + 4 + int(_fields(head)["content-length"]) + 4
-            yield at, min(n, size - at)
+            yield at, min(n, high - at)
             at += n
 
 
