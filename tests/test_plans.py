@@ -137,6 +137,22 @@ def test_reports_follow_plan_folds(spark, catalog):
         assert {x.summary for x in r.where("metric = 'heavy_api_calls'").collect()} == {2.0}
 
 
+def test_an_aggregate_may_be_a_fold(spark, catalog):
+    """The product of the instances' quantities, on every level."""
+    product = "zero: 1D; step: (a, x) -> a * x.value; merge: (a, b) -> a * b"
+    c = replace(catalog, metrics=catalog.metrics.withColumn("aggregate", F.when(F.col("metric") == "heavy_api_calls", product)))
+    rows = documents(spark, [(at(1), at(1), str(i), {"heavy_api_calls": i, "storage": i << 30}, at(1) + i) for i in (2, 3, 5)])
+    rows = rows.withColumns({"resource_instance_id": F.col("dedup_id"), "space_id": F.when(F.col("dedup_id") == "5", "t").otherwise("s")})
+    tree = acc.aggregate_tree(acc.accumulate_by_plan(meter(usage.normalize(rows, c), c), c, mergeable=True), c).where("dimension = 'M'").collect()
+    assert {(r.level, r.space_id): r.quantity for r in tree if r.metric == "heavy_api_calls" and r.level != "consumer"} == {("org", None): 30, ("space", "s"): 6, ("space", "t"): 5}
+    assert {r.quantity for r in tree if r.metric == "storage" and r.level == "org"} == {10}
+    assert sandbox.judged(product, "aggregate") is None and sandbox.judged("last", "aggregate") is None
+    assert sandbox.judged("(a, x) -> a", "aggregate") == "no such aggregate: (a, x) -> a" and sandbox.judged("median", "aggregate") == "no such aggregate: median"
+    bad = replace(catalog, metrics=catalog.metrics.withColumn("aggregate", F.lit("median")))
+    with pytest.raises(ValueError, match="no such aggregate"):
+        acc.aggregate_tree(acc.accumulate(meter(usage.normalize(rows, c), c), mergeable=True), bad)
+
+
 def test_large_counts_add_up(spark):
     """2 * 10^8 numbers near 10^11 pass 64 bits."""
     from usagemill.operators.accumulate import exact_sum

@@ -191,28 +191,72 @@ def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = s
     return out
 
 
+AGGREGATES = ("sum", "max", "last")
+
+
+def aggregate_folds(catalog: Catalog) -> tuple[DataFrame, list[Fold]]:
+    """(the metrics that name an aggregate, by metering plan; those of their aggregates that are folds, which must be mergeable)."""
+
+    def read() -> tuple[DataFrame, list[Fold]]:
+        table = gathered(catalog.metrics.select(F.col("plan_id").alias("metering_plan_id"), "metric", F.col("aggregate").alias("_by")).where("_by IS NOT NULL"))
+        _, exprs = resolved(catalog.metrics.select("aggregate"), ["aggregate"])
+        folds = [aggregate_of(a) for a in exprs["aggregate"] if a not in AGGREGATES]
+        return table, folds
+
+    return catalog.kept("aggregates", read)
+
+
+def aggregate_of(text: str) -> Fold:
+    """The mergeable fold that a plan's ``aggregate`` tells."""
+    try:
+        fold = fold_of(text)
+    except ValueError:
+        fold = None
+    if fold is None or not fold.mergeable:
+        raise ValueError(f"no such aggregate: {text[:200]}")
+    return fold
+
+
 def aggregate_tree(acc: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """Instances per organization, space and consumer, all levels in one shuffle; ``level`` names the grouping.
 
     With a catalog, a metric's ``aggregate`` may be max, or last: the quantity of
-    the latest arrival that changed an instance (``latest_ms`` of mergeable states).
+    the latest arrival that changed an instance (``latest_ms`` of mergeable states);
+    or a mergeable fold over the instances' quantities.
     """
     node = [*schemas.NODE, *WINDOW]
     three = ["organization_id", "space_id", "consumer_id"]
-    more, quantity = [], F.when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).otherwise(F.col("quantity"))  # the average of a node is that of all its usages
+    more, quantity, folded = [], F.when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).otherwise(F.col("quantity")), None  # the average of a node is that of all its usages
     if catalog is not None:
-        by = catalog.metrics.select(F.col("plan_id").alias("metering_plan_id"), "metric", F.col("aggregate").alias("_by")).where("_by IS NOT NULL")
-        acc = acc.join(catalog.kept("aggregate", lambda: gathered(by)), ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
+        table, folds = aggregate_folds(catalog)
+        acc = acc.join(table, ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
+        for fold in folds:
+            part = _folded_tree(acc.where(F.col("_by") == fold.text), fold, three, node)
+            folded = part if folded is None else folded.unionByName(part)
+        if folds:
+            acc = acc.where(~F.coalesce(F.col("_by").isin([f.text for f in folds]), F.lit(False)))
         more = [F.max("_by").alias("_by"), F.max("quantity").alias("_greatest"), F.max_by("quantity", "_at").alias("_last")]
-        unknown = F.raise_error(F.concat(F.lit("no such aggregate: "), "_by")).cast("double")
-        quantity = F.when(F.col("_by").isNull() | (F.col("_by") == "sum"), quantity).when(F.col("_by") == "max", F.col("_greatest")).when(F.col("_by") == "last", F.col("_last")).otherwise(unknown)
+        quantity = F.when(F.col("_by") == "max", F.col("_greatest")).when(F.col("_by") == "last", F.col("_last")).otherwise(quantity)
     pick = lambda c: F.sum(decimal(F.col(c))).cast("double").alias(c)
     tree = acc.groupingSets([[F.col(c) for c in lv + node] for lv in (three[:1], three[:2], three)], *three, *node).agg(
         exact_sum(F.col("quantity")).alias("quantity"), pick("consuming"), pick("consumed"), F.sum("n").alias("n"), exact_sum(F.when(F.col("accumulate") == "avg", F.col("_sum"))).alias("_sum"),
         F.grouping("space_id").alias("_g1"), F.grouping("consumer_id").alias("_g2"), *more,
     )
     level = F.when(F.col("_g1") == 1, "org").when(F.col("_g2") == 1, "space").otherwise("consumer")
-    return tree.select(*three, *node, quantity.alias("quantity"), "consuming", "consumed", level.alias("level"))
+    out = tree.select(*three, *node, quantity.alias("quantity"), "consuming", "consumed", level.alias("level"))
+    return out if folded is None else out.unionByName(folded)
+
+
+def _folded_tree(acc: DataFrame, fold: Fold, three: list[str], node: list[str]) -> DataFrame:
+    """The tree of metrics with an aggregate of their own: each instance's quantity is one x of the fold, in every level's node."""
+    none = F.lit(None).cast("string")
+    levels = F.array(*(F.struct(F.lit(name).alias("level"), *((F.col(c) if c in kept else none).alias(c) for c in three[1:])) for name, kept in (("org", ()), ("space", three[1:2]), ("consumer", three[1:]))))
+    rows = acc.withColumn("_l", F.explode(levels)).select(
+        "_l.*", three[0], *node, F.col("quantity").alias("value"), F.col("bucket_ms").alias("start_ms"), F.coalesce("_at", "bucket_ms").alias("end_ms"), F.col("bucket_ms").alias("from_ms"),
+        bucket_end(F.col("dimension"), F.col("bucket_ms")).alias("to_ms"), F.coalesce("_at", "bucket_ms").alias("latest_ms"),
+    )
+    found = finish_states(fold_states(rows, fold, ["level", *three, *node]), fold)
+    return found.select(*three, *node, "quantity", F.lit(None).cast("double").alias("consuming"), F.lit(None).cast("double").alias("consumed"), "level")
 
 
 def rollup_resource(tree: DataFrame) -> DataFrame:

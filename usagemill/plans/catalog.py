@@ -7,7 +7,7 @@ from_ms and to_ms, ``charge`` these and price and cost, ``rate`` price, quantity
 consuming and consumed. Expressions that may fail use Spark's ``try_`` functions.
 ``accumulate`` names a fold (sum, max, avg, time_based), or tells a mergeable one
 (``zero: ...; step: ...; merge: ...; finish: ...``, see ``operators.folds``) or an
-ordered lambda ``(a, x) -> ...``; ``aggregate`` is sum, max or last. Any other name
+ordered lambda ``(a, x) -> ...``; ``aggregate`` is sum, max, last or a mergeable fold over the instances' quantities. Any other name
 raises an error. Expressions run only after ``sandbox`` has judged them.
 """
 

@@ -99,6 +99,15 @@ def judged(text: str, kind: str) -> str | None:
             return fold_of(text).refusal()
         except ValueError as e:
             return str(e)
+    if kind == "aggregate":
+        from ..operators.accumulate import AGGREGATES, aggregate_of
+
+        if text in AGGREGATES:
+            return None
+        try:
+            return aggregate_of(text).refusal()
+        except ValueError as e:
+            return str(e)
     if reason := refusal(text, names_seen(kind)):
         return reason
     schema = SEES[kind]
@@ -121,7 +130,7 @@ def expression_rejects(metrics: DataFrame, rating: DataFrame) -> DataFrame:
     from .catalog import formula_columns, numbered
 
     out = None
-    for table, kinds in ((formula_columns(metrics), ("meter", "accumulate", "summarize")), (rating, ("rate", "charge"))):
+    for table, kinds in ((formula_columns(metrics), ("meter", "accumulate", "aggregate", "summarize")), (rating, ("rate", "charge"))):
         for kind in kinds:
             told, exprs = numbered(table, kind)
             reasons = {i: r for i, e in enumerate(exprs) if (r := judged(e, kind))}
