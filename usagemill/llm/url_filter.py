@@ -115,10 +115,10 @@ def judge_urls(df: DataFrame, rules: list[Rule], key: str = "page_id", url: str
     parts = df.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if len(rules) > MAX_BROADCAST_RULES:
         return _judge_by_join(parts, rules, key, default)
-    shared = df.sparkSession.sparkContext.broadcast(list(rules))
+    shared = df.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = shared.value
         for b in batches:
             found = [trie.find(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
