@@ -153,6 +153,19 @@ def test_an_aggregate_may_be_a_fold(spark, catalog):
         acc.aggregate_tree(acc.accumulate(meter(usage.normalize(rows, c), c), mergeable=True), bad)
 
 
+def test_resources_are_rolled_up_from_instances_or_from_the_tree(spark, catalog):
+    rows = documents(spark, [(at(1 + i % 3), at(1 + i % 3), str(i), {"heavy_api_calls": i, "storage": i << 30}, at(9) + i) for i in range(30)])
+    rows = rows.withColumns({"plan_id": F.when(F.col("dedup_id") % 2 == 0, "standard").otherwise("basic"), "space_id": F.concat(F.lit("s"), (F.col("dedup_id") % 3).cast("int").cast("string")), "resource_instance_id": F.col("dedup_id")})
+    states = acc.accumulate(meter(usage.normalize(rows, catalog), catalog))
+    told = lambda df: sorted(repr(tuple(r[c] for c in ("level", "organization_id", "space_id", "consumer_id", "resource_id", "metric", "dimension", "bucket_ms", "quantity"))) for r in df.collect())
+    assert told(acc.resource_tree(states)) == told(acc.rollup_resource(acc.aggregate_tree(states)))
+    c = with_fold(catalog, "avg")
+    mean = acc.accumulate(meter(usage.normalize(rows, c), c))
+    with pytest.raises(Exception, match="rolled up from its tree"):
+        acc.resource_tree(mean).collect()
+    assert acc.rollup_resource(acc.aggregate_tree(mean)).count() > 0
+
+
 def test_large_counts_add_up(spark):
     """2 * 10^8 numbers near 10^11 pass 64 bits."""
     from usagemill.operators.accumulate import exact_sum

@@ -226,7 +226,9 @@ def aggregate_tree(acc: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """
     node = [*schemas.NODE, *WINDOW]
     three = ["organization_id", "space_id", "consumer_id"]
-    more, quantity, folded = [], F.when(F.col("accumulate") == "avg", F.col("_sum") / F.col("n")).otherwise(F.col("quantity")), None  # the average of a node is that of all its usages
+    timed, mean = F.col("accumulate") == "time_based", F.col("accumulate") == "avg"
+    # The average of a node is that of all its usages; the state of a time-based one is summed in its quantity's place.
+    more, quantity, folded = [], F.when(mean, F.col("_total") / F.col("n")).when(~timed, F.col("_total")), None
     if catalog is not None:
         table, folds = aggregate_folds(catalog)
         acc = acc.join(table, ["metering_plan_id", "metric"], "left").withColumn("_at", F.col("latest_ms") if "latest_ms" in acc.columns else F.lit(None).cast("long"))
@@ -237,16 +239,26 @@ def aggregate_tree(acc: DataFrame, catalog: Catalog | None = None) -> DataFrame:
             acc = acc.where(~F.coalesce(F.col("_by").isin([f.text for f in folds]), F.lit(False)))
         more = [F.max("_by").alias("_by"), F.max("quantity").alias("_greatest"), F.max_by("quantity", "_at").alias("_last")]
         quantity = F.when(F.col("_by") == "max", F.col("_greatest")).when(F.col("_by") == "last", F.col("_last")).otherwise(quantity)
-    pick = lambda c: F.sum(decimal(F.col(c))).cast("double").alias(c)
     tree = acc.groupingSets([[F.col(c) for c in lv + node] for lv in (three[:1], three[:2], three)], *three, *node).agg(
-        exact_sum(F.col("quantity")).alias("quantity"), pick("consuming"), pick("consumed"), F.sum("n").alias("n"), exact_sum(F.when(F.col("accumulate") == "avg", F.col("_sum"))).alias("_sum"),
+        exact_sum(F.when(timed, F.col("consuming")).when(mean, F.col("_sum")).otherwise(F.col("quantity"))).alias("_total"), F.sum(decimal(F.col("consumed"))).cast("double").alias("consumed"), F.sum("n").alias("n"),
         F.grouping("space_id").alias("_g1"), F.grouping("consumer_id").alias("_g2"), *more,
     )
-    level = F.when(F.col("_g1") == 1, "org").when(F.col("_g2") == 1, "space").otherwise("consumer")
-    out = tree.select(*three, *node, quantity.alias("quantity"), "consuming", "consumed", level.alias("level"))
+    out = tree.select(*three, *node, quantity.alias("quantity"), F.when(timed, F.col("_total")).alias("consuming"), "consumed", _level().alias("level"))
     return out if folded is None else out.unionByName(folded)
 
 
+def _level() -> Column:
+    return F.when(F.col("_g1") == 1, "org").when(F.col("_g2") == 1, "space").otherwise("consumer")
+
+
+def resource_tree(acc: DataFrame) -> DataFrame:
+    """``rollup_resource`` of the tree, straight from the instances and in one shuffle: for metrics that a node sums over its instances. An average, which is not their sum, raises an error."""
+    three, node = ["organization_id", "space_id", "consumer_id"], ["resource_id", "metric", "dimension", "bucket_ms"]
+    summed = F.when(F.col("accumulate") == "avg", F.raise_error(F.lit("an average is rolled up from its tree")).cast("double")).when(F.col("accumulate") != "time_based", F.col("quantity"))
+    tree = acc.groupingSets([[F.col(c) for c in lv + node] for lv in (three[:1], three[:2], three)], *three, *node).agg(exact_sum(summed).alias("quantity"), F.grouping("space_id").alias("_g1"), F.grouping("consumer_id").alias("_g2"))
+    return tree.select(_level().alias("level"), *three, *node, F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
+
+
 def _folded_tree(acc: DataFrame, fold: Fold, three: list[str], node: list[str]) -> DataFrame:
     """The tree of metrics with an aggregate of their own: each instance's quantity is one x of the fold, in every level's node."""
     none = F.lit(None).cast("string")
