@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from . import testdata as td
-from .functions.calendar import doc_id, end_of_month, or_zero, slot_index, trunc_dim, yyyymm
+from .functions.calendar import bounds, doc_id, end_of_month, in_months, or_zero, slot_index, trunc_dim, yyyymm
 from .operators import accumulate as acc
 from .operators import documents
 from .operators import events as ev
@@ -19,7 +20,7 @@ from .operators import ingest, monitor, report, spans, usage
 from .operators.meter import meter
 from .plans import catalog as plans
 from .session import configure, shared_path
-from .sources import state
+from .sources import readers, state
 from .sources.versions import Tables
 from .streaming import ingest as ingest_stream
 from .streaming import reports as stored
@@ -825,3 +826,165 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
+
+
+# ---- what is written and read again, and streams
+
+
+def _documents(spark, d) -> DataFrame:
+    return td.usage_from_orders(spark, d).withColumns({"start": F.col("start_ms"), "end": F.col("end_ms"), "region": F.lit(None).cast("string")})
+
+
+@query(f"WITH {U} SELECT organization_id, space_id, consumer_id, plan_id, resource_instance_id, count(*) AS n, min(end_ms) AS first_ms, max(end_ms) AS last_ms, 3 * count(*) AS measures FROM u GROUP BY ALL")
+def read_usage_json(spark, d):
+    """Usage documents, stripped to their schema, written as JSON and read again without inference."""
+    path = shared_path(spark, "documents")
+    state.write_report(ev.strip_to_schema(_documents(spark, d)), path, "json")
+    got = readers.read_usage(spark, path)
+    return got.groupBy("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id").agg(F.count("*").alias("n"), F.min("end").alias("first_ms"), F.max("end").alias("last_ms"), F.sum(F.size("measured_usage")).cast("long").alias("measures"))
+
+
+@query(f"WITH {MET}, {_acc()} SELECT organization_id, metric, dimension, bucket_ms, sum(quantity) AS quantity FROM a GROUP BY ALL")
+def stored_catalog(spark, d):
+    """Usage metered and accumulated by a catalog that was stored, read and judged."""
+    path, c = shared_path(spark, "catalog"), td.catalog(spark, d)
+    for n in ("metrics", "rating", "prices", "mappings", "accounts"):
+        getattr(c, n).write.parquet(f"{path}/{n}")
+    c = plans.load_catalog(spark, path)
+    return acc.accumulate_by_plan(_metered_by(spark, d, c), c).groupBy("organization_id", "metric", "dimension", "bucket_ms").agg(acc.exact_sum(F.col("quantity")).alias("quantity"))
+
+
+@query(f"WITH {U} SELECT organization_id, plan_id, count(*) AS n, sum(q) AS quantity FROM u WHERE end_ms BETWEEN {T_CLOSED} - 2000000000 AND {T_CLOSED} GROUP BY ALL")
+def usage_table_range(spark, d):
+    """Usage stored by month and bucket, and read for a range of time."""
+    path = shared_path(spark, "usage")
+    state.write_usage_table(td.usage_from_orders(spark, d), path, "end_ms", "resource_instance_id")
+    t0, t1 = T_CLOSED - 2_000_000_000, T_CLOSED
+    rows = in_months(spark.read.parquet(path).withColumn("yyyymm", F.col("yyyymm").cast("string")), t0, t1).where(F.col("end_ms").between(t0, t1))
+    return rows.groupBy("organization_id", "plan_id").agg(F.count("*").alias("n"), F.sum(F.element_at("measured_usage", 3)["quantity"]).alias("quantity"))
+
+
+_UPSERT_SQL = "SELECT o_custkey AS k, strftime(o_orderdate, '%Y') AS year, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY ALL"
+
+
+def _order_states(spark, d) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_custkey").alias("k"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy").alias("year"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"))
+
+
+@query(_UPSERT_SQL)
+def upsert_state(spark, d):
+    """States of three batches, one of them repeated: the greatest version of a key and year stays."""
+    path, rows = shared_path(spark, "states"), _order_states(spark, d)
+    for i in (0, 1, 2, 1):
+        state.upsert_state(rows.where(F.col("version") % 3 == i), path, ["k", "year"], "version", "year")
+    return spark.read.parquet(path).select("k", F.col("year").cast("string").alias("year"), "version", "price")
+
+
+@query(_UPSERT_SQL)
+def upsert_versions(spark, d):
+    """The same into tables behind version files."""
+    tables, rows = Tables(spark, shared_path(spark, "versions")), _order_states(spark, d)
+    for i in (0, 1, 2, 1):
+        tables.upsert(rows.where(F.col("version") % 3 == i), "orders", ["k"], "version", "year")
+    v = tables.latest()
+    years = [tables.read("orders", "k long, version long, price double", v, lambda p, part=part: p == part).withColumn("year", F.lit(part.split("=")[1])) for part in v.parts["orders"]]
+    return reduce(DataFrame.unionByName, years).select("k", "year", "version", "price")
+
+
+@query(f"WITH {U} SELECT organization_id, CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'seventh' END AS error, count(*) AS n FROM u WHERE (l_linenumber % 2 = 0 OR l_linenumber = 7) AND arrival_ms BETWEEN {T_MID} - 2000000000 AND {T_MID} GROUP BY ALL")
+def stored_errors(spark, d):
+    """Rejected usage, stored by month and asked for by time."""
+    reason = F.when(F.col("l_linenumber") % 2 == 0, "even").when(F.col("l_linenumber") == 7, "seventh")
+    _, bad = usage.split_errors(td.usage_from_orders(spark, d), reason)
+    path = shared_path(spark, "errors")
+    state.write_errors(bad, path, "arrival_ms")
+    told = readers.read_errors(spark.read.parquet(path).withColumn("yyyymm", F.col("yyyymm").cast("string")), "arrival_ms", T_MID - 2_000_000_000, T_MID)
+    return told.groupBy("organization_id", "error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id % 5 AS org, event_type, count(*) AS n, sum(event_id) AS ids FROM events WHERE epoch_us(ts) // 1000 > 1705000000000 OR (epoch_us(ts) // 1000 = 1705000000000 AND CAST(event_id AS VARCHAR) > '5') GROUP BY ALL")
+def read_event_files(spark, d):
+    """App events written as JSON and read after a (time, id) cursor."""
+    e = td.events_ms(spark, d)
+    path = shared_path(spark, "events")
+    e.select(
+        F.struct(F.col("event_id").cast("string").alias("guid"), F.col("ts_ms").alias("created_at")).alias("metadata"),
+        F.struct(F.col("event_type").alias("state"), (F.col("user_id") % 5).cast("string").alias("org_guid"), F.lit("managed_service_instance").alias("service_instance_type"), F.col("event_type").alias("service_guid")).alias("entity"),
+    ).write.json(path)
+    got = readers.read_app_events(spark, path, (1705000000000, "5"))
+    return got.groupBy(F.col("entity.org_guid").cast("long").alias("org"), F.col("entity.state").alias("event_type")).agg(F.count("*").alias("n"), F.sum(F.col("metadata.guid").cast("long")).alias("ids"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'signup') GROUP BY ALL")
+def read_service_files(spark, d):
+    """Events of service instances, of the services asked for."""
+    e = td.events_ms(spark, d)
+    path = shared_path(spark, "services")
+    twice = e.withColumn("kind", F.explode(F.array(F.lit("managed_service_instance"), F.lit("user_provided_service_instance"))))
+    twice.select(F.struct(F.col("event_id").cast("string").alias("guid"), F.col("ts_ms").alias("created_at")).alias("metadata"), F.struct(F.col("kind").alias("service_instance_type"), F.col("event_type").alias("service_guid")).alias("entity")).write.json(path)
+    return readers.read_service_events(spark, path, ["view", "signup"]).groupBy(F.col("entity.service_guid").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT epoch_us(ts) // 1000 AS t, event_id FROM events)
+SELECT event_id, t BETWEEN epoch_ms(epoch_ms({T_EVENTS}) - INTERVAL 2 MONTH) AND epoch_ms(epoch_ms({T_EVENTS}) + INTERVAL 2 MONTH) AS kept, t - t % 3600000 - 7200000 AS low_h, t - t % 3600000 - 3600000 AS high_h,
+  epoch_ms(date_trunc('month', epoch_ms(t)) + INTERVAL 1 MONTH) AS low_m, epoch_ms(date_trunc('month', epoch_ms(t)) + INTERVAL 2 MONTH) AS high_m,
+  CASE WHEN event_id % 3 = 0 THEN t - t % 86400000 + 86400000 WHEN event_id % 3 = 1 THEN least(t - t % 86400000 + 86400000, t + 50000000) ELSE greatest((t - 1) - (t - 1) % 86400000, t - 50000000) END AS next_end FROM e""")
+def windows_of_events(spark, d):
+    """Bounds of shifted windows, the slack of spans, and where the next interval ends."""
+    t = F.col("ts_ms")
+    low_h, high_h = bounds(t, "h", -2)
+    low_m, high_m = bounds(t, "M", 1)
+    end = F.when(F.col("event_id") % 3 == 1, t + 50_000_000).when(F.col("event_id") % 3 == 2, t - 50_000_000)
+    return td.events_ms(spark, d).select("event_id", usage.span_slack(t, T_EVENTS).alias("kept"), low_h.alias("low_h"), high_h.alias("high_h"), low_m.alias("low_m"), high_m.alias("high_m"), spans.next_interval_end(t, end).alias("next_end"))
+
+
+@query(f"""WITH {_asof(T_CLOSED)}, t AS (SELECT *, {_slot(T_CLOSED)} AS slot FROM tree WHERE bucket_ms <= {T_CLOSED} AND level = 'space')
+SELECT organization_id, space_id, plan_id, metric, max(CASE WHEN dimension = 'D' AND slot = 0 THEN quantity END) AS today, max(CASE WHEN dimension = 'D' AND slot = 1 THEN quantity END) AS yesterday, max(CASE WHEN dimension = 'M' AND slot = 0 THEN quantity END) AS month FROM t GROUP BY ALL""")
+def nested_windows(spark, d):
+    """Windows as lists, the current one first."""
+    r = report.nested_windows(report.org_report(td.metered_orders(spark, d), T_CLOSED).where("level = 'space'"))
+    at = lambda i, j: F.col("windows")[i][j]["quantity"]
+    return r.select("organization_id", "space_id", "plan_id", "metric", at(3, 0).alias("today"), at(3, 1).alias("yesterday"), at(4, 0).alias("month"))
+
+
+@query("""WITH r AS (SELECT DISTINCT p_brand AS resource_type, p_type AS plan_name, p_size % 5 AS request_id, CASE WHEN p_size % 2 = 0 THEN 'metering' ELSE 'rating' END AS kind FROM part),
+old AS (SELECT DISTINCT kind, resource_type, plan_name FROM r WHERE request_id < 2), new AS (SELECT * FROM r WHERE request_id >= 1),
+told AS (SELECT new.*, old.kind IS NOT NULL AS there FROM new LEFT JOIN old ON new.kind = old.kind AND new.resource_type = old.resource_type AND new.plan_name = old.plan_name)
+SELECT 'mapping' AS what, kind, resource_type, count(*) AS n FROM (SELECT kind, resource_type, plan_name FROM old UNION ALL SELECT kind, resource_type, plan_name FROM told WHERE NOT there) GROUP BY ALL
+UNION ALL SELECT 'conflict', NULL, CAST(request_id AS VARCHAR), 1 FROM told GROUP BY request_id HAVING bool_and(there)""")
+def merge_mappings(spark, d):
+    """New mappings, and requests that are there already in full."""
+    kind = F.when(F.col("p_size") % 2 == 0, "metering").otherwise("rating")
+    r = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("resource_type"), F.col("p_type").alias("plan_name"), (F.col("p_size") % 5).alias("request_id"), kind.alias("kind")).distinct().withColumn("plan_id", F.lit("p"))
+    on = ["kind", "resource_type", "plan_name", "plan_id"]
+    merged, conflicts = plans.merge_mappings(r.where("request_id < 2").select(*on).distinct(), r.where("request_id >= 1"))
+    told = merged.groupBy(F.lit("mapping").alias("what"), "kind", "resource_type").agg(F.count("*").alias("n"))
+    return told.unionByName(conflicts.select(F.lit("conflict").alias("what"), F.lit(None).cast("string").alias("kind"), F.col("request_id").cast("string").alias("resource_type"), F.lit(1).cast("long").alias("n")))
+
+
+#: Slack of the streamed documents, two weeks.
+_SLACK = 1_209_600_000
+
+
+@query(f"""WITH {U}, s AS (SELECT organization_id, space_id, coalesce(consumer_id, 'UNKNOWN') AS consumer_id, plan_id, resource_instance_id, end_ms, q, ln, arrival_ms AS arr, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM u
+  UNION ALL SELECT organization_id, space_id, coalesce(consumer_id, 'UNKNOWN'), plan_id, resource_instance_id, end_ms, q, ln, arrival_ms + 86400000, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM u WHERE l_partkey % 9 = 0),
+l AS (SELECT *, end_ms < epoch_ms(date_trunc('month', epoch_ms(arr))) AND arr > epoch_ms(date_trunc('month', epoch_ms(arr))) + {_SLACK} AS late FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY late, organization_id, space_id, consumer_id, plan_id, resource_instance_id, end_ms, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ORDER BY arr) AS j FROM l)
+SELECT organization_id, plan_id, 'heavy_api_calls' AS told, epoch_ms(date_trunc('month', epoch_ms(end_ms))) AS month_ms, count(*) AS n, sum(CAST(q AS DOUBLE)) AS quantity FROM r WHERE NOT late AND j = 1 GROUP BY ALL
+UNION ALL SELECT organization_id, plan_id, CASE WHEN late THEN 'out of slack' ELSE 'duplicate' END, NULL, count(*), NULL FROM r WHERE late OR j > 1 GROUP BY ALL""")
+def stream_usage(spark, d):
+    """Documents and their repeats, streamed in three batches of arrivals: accumulated months, and rejects by reason."""
+    c, path = td.catalog(spark, d), shared_path(spark, "stream")
+    docs = _documents(spark, d).withColumn("dedup_id", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).select(*schemas.USAGE.names, "start_ms", "end_ms", "arrival_ms", "l_partkey")
+    docs = docs.unionByName(docs.where("l_partkey % 9 = 0").withColumn("arrival_ms", F.col("arrival_ms") + 86_400_000)).drop("l_partkey")
+    cuts = [T_CLOSED - 63_072_000_000, T_CLOSED]
+    for i, (low, high) in enumerate(zip([-(1 << 60), *cuts], [*cuts, 1 << 60], strict=True)):
+        docs.where((F.col("arrival_ms") > low) & (F.col("arrival_ms") <= high)).coalesce(1).write.parquet(f"{path}/in/{i}")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    ingest_stream.ingest_stream(stream, c, f"{path}/out", f"{path}/checkpoint", _SLACK, behind="40 days").awaitTermination()
+    months = ingest_stream.read_states(spark, f"{path}/out", c).where("metric = 'heavy_api_calls' AND dimension = 'M'")
+    months = months.groupBy("organization_id", "plan_id", F.col("metric").alias("told"), F.col("bucket_ms").alias("month_ms")).agg(F.sum("n").alias("n"), acc.exact_sum(F.col("quantity")).alias("quantity"))
+    rejects = Tables(spark, f"{path}/out").read("rejects", "organization_id string, plan_id string, error string")
+    rejects = rejects.groupBy("organization_id", "plan_id", F.col("error").alias("told")).agg(F.count("*").alias("n"))
+    return months.unionByName(rejects.select("organization_id", "plan_id", "told", F.lit(None).cast("long").alias("month_ms"), "n", F.lit(None).cast("double").alias("quantity")))
