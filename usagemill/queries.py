@@ -965,9 +965,12 @@ def merge_mappings(spark, d):
 
 #: Slack of the streamed documents, two weeks.
 _SLACK = 1_209_600_000
+#: Days of shipment folded into 59 from 1996-01-01 on: a stream has documents of one or two months at a time.
+_FOLD_FROM = 820_454_400_000
+_FOLDED = f"({_FOLD_FROM} + (epoch_ms(l_shipdate) // 86400000) % 59 * 86400000)"
 
 
-@query(f"""WITH {U}, s AS (SELECT organization_id, space_id, coalesce(consumer_id, 'UNKNOWN') AS consumer_id, plan_id, resource_instance_id, end_ms, q, ln, arrival_ms AS arr, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM u
+@query(f"""WITH {U.replace("epoch_ms(l_shipdate)", _FOLDED)}, s AS (SELECT organization_id, space_id, coalesce(consumer_id, 'UNKNOWN') AS consumer_id, plan_id, resource_instance_id, end_ms, q, ln, arrival_ms AS arr, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM u
   UNION ALL SELECT organization_id, space_id, coalesce(consumer_id, 'UNKNOWN'), plan_id, resource_instance_id, end_ms, q, ln, arrival_ms + 86400000, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM u WHERE l_partkey % 9 = 0),
 l AS (SELECT *, end_ms < epoch_ms(date_trunc('month', epoch_ms(arr))) AND arr > epoch_ms(date_trunc('month', epoch_ms(arr))) + {_SLACK} AS late FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY late, organization_id, space_id, consumer_id, plan_id, resource_instance_id, end_ms, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ORDER BY arr) AS j FROM l)
@@ -976,9 +979,11 @@ UNION ALL SELECT organization_id, plan_id, CASE WHEN late THEN 'out of slack' EL
 def stream_usage(spark, d):
     """Documents and their repeats, streamed in three batches of arrivals: accumulated months, and rejects by reason."""
     c, path = td.catalog(spark, d), shared_path(spark, "stream")
-    docs = _documents(spark, d).withColumn("dedup_id", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).select(*schemas.USAGE.names, "start_ms", "end_ms", "arrival_ms", "l_partkey")
+    end = _FOLD_FROM + (F.floor(F.col("end_ms") / 86_400_000) % 59) * 86_400_000
+    docs = _documents(spark, d).withColumns({"arrival_ms": F.col("arrival_ms") - F.col("end_ms") + end, "end_ms": end}).withColumns({c: F.col("end_ms") for c in ("start_ms", "start", "end")})
+    docs = docs.withColumn("dedup_id", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).select(*schemas.USAGE.names, "start_ms", "end_ms", "arrival_ms", "l_partkey")
     docs = docs.unionByName(docs.where("l_partkey % 9 = 0").withColumn("arrival_ms", F.col("arrival_ms") + 86_400_000)).drop("l_partkey")
-    cuts = [T_CLOSED - 63_072_000_000, T_CLOSED]
+    cuts = [_FOLD_FROM + 25 * 86_400_000, _FOLD_FROM + 55 * 86_400_000]
     for i, (low, high) in enumerate(zip([-(1 << 60), *cuts], [*cuts, 1 << 60], strict=True)):
         docs.where((F.col("arrival_ms") > low) & (F.col("arrival_ms") <= high)).coalesce(1).write.parquet(f"{path}/in/{i}")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
