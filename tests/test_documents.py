@@ -120,3 +120,10 @@ def test_targets_that_are_stopped_leave_no_state(spark, tmp_path):
     q.awaitTermination(120)
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]]
     assert held == [3, 2, 0] and spark.table("ended").where("reason IS NULL").count() == 4
+
+
+def test_a_document_is_parsed_once(spark):
+    """However many fields it has: a branch of a CASE that names the parsed text again would parse it again."""
+    told = spark.createDataFrame([("{}",)], "raw string").select(document_errors(F.col("raw")).alias("e"))
+    plan = told._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1
