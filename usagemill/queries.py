@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark)
+            configure(spark, sf_dir)
             return f(spark, sf_dir)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
@@ -821,7 +821,7 @@ def recent_posts(spark, d):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the report of all organizations for a closed month."""
-    configure(spark)
+    configure(spark, sf_dir)
     return report.org_report(td.metered_orders(spark, sf_dir), T_CLOSED)
 
 
