@@ -20,3 +20,17 @@ def test_partitions_grow_with_the_tables(spark, tmp_path):
     finally:
         for name in ("adaptive.coalescePartitions.initialPartitionNum", "adaptive.advisoryPartitionSizeInBytes", "files.maxPartitionBytes"):
             spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_a_batch_of_files_is_moved_as_a_whole(spark, tmp_path):
+    spark.range(8).repartition(4).write.parquet(str(tmp_path / "all" / "batch=0"))
+    assert state.move_into(spark, str(tmp_path / "all" / "batch=0"), str(tmp_path / "in" / "0"))
+    assert spark.read.parquet(str(tmp_path / "in" / "0")).count() == 8
+    assert not state.move_into(spark, str(tmp_path / "all" / "batch=1"), str(tmp_path / "in" / "1"))
+
+
+def test_ticks_of_the_stream_are_not_shuffled(spark, tmp_path):
+    schema = spark.createDataFrame([], schemas.USAGE).selectExpr("*", "start AS start_ms", "end AS end_ms", "start AS arrival_ms").schema
+    told = admit(spark.readStream.schema(schema).parquet(str(tmp_path)), sample_catalog(spark))
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert "isnull(at#" in plan and plan.index("isnull(at#") < plan.index("EventTimeWatermark")
