@@ -34,3 +34,12 @@ def test_ticks_of_the_stream_are_not_shuffled(spark, tmp_path):
     told = admit(spark.readStream.schema(schema).parquet(str(tmp_path)), sample_catalog(spark))
     plan = told._jdf.queryExecution().analyzed().toString()
     assert "isnull(at#" in plan and plan.index("isnull(at#") < plan.index("EventTimeWatermark")
+
+
+
+def test_folds_that_see_no_bounds_step_by_day():
+    fold = lambda step: fold_of(f"zero: 0D; step: {step}; merge: (a, b) -> a + b")
+    assert not fold("(a, x) -> a + x.value").reads_window
+    assert fold("(a, x) -> a + x.value * (x.to_ms - x.from_ms)").reads_window
+    assert fold("(a, x) -> a + length(to_json(x))").reads_window
+    assert fold("(a, u) -> a + u.value + if(u IS NULL, 1, 0)").reads_window

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.calendar import add_months, trunc_dim
 from ..plans.catalog import Catalog, formula_columns, gathered, resolved
-from .folds import FOLDS, Fold, finish_states, fold_of, fold_states, merge_states
+from .folds import FOLDS, Fold, finish_states, fold_of, fold_quantities, fold_states, read_states, stepped_states
 
 WINDOW = ["metric", "accumulate", "dimension", "bucket_ms"]
 
@@ -119,7 +119,7 @@ def merge_accumulated(states: DataFrame, keys: list[str] = schemas.KEYS, catalog
     )
     out = told.select(*keys, *WINDOW, "n", "_sum", _quantity(F.col("_sum"), F.col("_max"), F.col("n")).alias("quantity"), "consuming", "consumed", "since_ms", "latest", "latest_ms")
     for fold in custom:
-        merged = finish_states(merge_states(states.where(F.col("accumulate") == fold.text), fold, [*keys, *WINDOW]), fold)
+        merged = fold_quantities(read_states(states.where(F.col("accumulate") == fold.text), fold, [*keys, *WINDOW]), fold, [*keys, *WINDOW])
         out = out.unionByName(merged, allowMissingColumns=True)
     return out
 
@@ -179,8 +179,7 @@ def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = s
     for fold in folds:
         rows = metered.where(F.col("accumulate") == fold.text)
         if fold.mergeable:
-            w = buckets(rows).withColumns({"from_ms": F.col("bucket_ms"), "to_ms": bucket_end(F.col("dimension"), F.col("bucket_ms")), "latest_ms": F.col(order).cast("long")})
-            found = finish_states(fold_states(w, fold, [*keys, *WINDOW]), fold)
+            found = _fold_windows(rows.withColumn("latest_ms", F.col(order).cast("long")), fold, keys)
             found = found if mergeable else found.drop("state", "latest_ms")
         else:
             fold.checked()
@@ -193,6 +192,17 @@ def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = s
 
 AGGREGATES = ("sum", "max", "last")
 
+def _fold_windows(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
+    """States and quantities of a mergeable fold by day and month. One that does not see its window's bounds is stepped by day only, and a month's state is merged from its days'."""
+    ends = lambda w: w.withColumns({"from_ms": F.col("bucket_ms"), "to_ms": bucket_end(F.col("dimension"), F.col("bucket_ms"))})
+    if fold.reads_window:
+        return fold_quantities(stepped_states(ends(buckets(rows)), fold, [*keys, *WINDOW]), fold, [*keys, *WINDOW])
+    day = rows.withColumns({"dimension": F.lit("D"), "bucket_ms": trunc_dim(F.col("end_ms"), "D")})
+    days = stepped_states(ends(day), fold, [*keys, *WINDOW])
+    both = buckets(days.withColumnRenamed("bucket_ms", "_day").drop("dimension"), "_day").drop("_day")
+    return fold_quantities(both, fold, [*keys, *WINDOW])
+
+
 
 def aggregate_folds(catalog: Catalog) -> tuple[DataFrame, list[Fold]]:
     """(the metrics that name an aggregate, by metering plan; those of their aggregates that are folds, which must be mergeable)."""

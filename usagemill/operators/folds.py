@@ -47,6 +47,17 @@ class Fold:
     def reads_cells(self) -> bool:
         return bool(re.search(r"\bx\.(day|month)\b", self.step))
 
+    @property
+    def reads_window(self) -> bool:
+        """Whether the step may tell a day from its month."""
+        return bool(re.search(r"\b(from_ms|to_ms)\b", self.step, re.I)) or self._reads_whole
+
+    @property
+    def _reads_whole(self) -> bool:
+        """Whether the step names its usage other than by a field."""
+        found = _LAMBDA.match(self.step)
+        return found is None or bool(re.search(rf"\b{found[2]}\b(?!\s*\.)", self.step[found.end():]))
+
     def refusal(self) -> str | None:
         """Why the fold may not run, or None: each part is judged, then analyzed with the state's own type."""
         if self.mergeable and self.reads_cells:
@@ -141,22 +152,38 @@ def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*keys, "latest_ms", F.arrays_zip(*_FIELDS).alias("xs"))
 
 
+def stepped_states(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
+    """keys, n, latest_ms and the state ``s`` of each pack of usages, stepped where they are; not merged yet."""
+    fold = fold.checked()
+    return _packed(rows, keys).select(*keys, F.size("xs").cast("long").alias("n"), "latest_ms", fold.stepped("xs").alias("s"))
+
+
 def fold_states(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
     """keys, n, latest_ms and ``state`` (JSON) of the rows' usages: stepped where they are, then merged."""
+    return _merged(stepped_states(rows, fold, keys), fold, keys).select(*keys, "n", "latest_ms", _json(F.col("s")).alias("state"))
+
+
+def read_states(states: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
+    """keys, n, latest_ms and ``s`` of stored states."""
     fold = fold.checked()
-    return _merged(_packed(rows, keys).select(*keys, F.size("xs").cast("long").alias("n"), "latest_ms", fold.stepped("xs").alias("s")), fold, keys)
+    return states.select(*keys, "n", "latest_ms", _read(fold, F.col("state")).alias("s"))
 
 
 def merge_states(states: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
     """States of the same keys put together."""
-    fold = fold.checked()
-    return _merged(states.select(*keys, "n", "latest_ms", _read(fold, F.col("state")).alias("s")), fold, keys)
+    return _merged(read_states(states, fold, keys), fold, keys).select(*keys, "n", "latest_ms", _json(F.col("s")).alias("state"))
+
+
+def fold_quantities(states: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
+    """keys, n, latest_ms, ``state`` (JSON) and ``quantity`` of states ``s`` put together."""
+    told = _merged(states, fold, keys)
+    return told.select(*keys, "n", "latest_ms", _json(F.col("s")).alias("state"), fold.finished("s").alias("quantity"))
 
 
 def _merged(states: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
-    """A row a key; one state for each pack of usages comes together in it."""
+    """A row a key with its state ``s``; one state for each pack of usages comes together in it."""
     told = states.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("latest_ms").alias("latest_ms"), F.collect_list(F.struct("s")).alias("ss"))
-    return told.select(*keys, "n", "latest_ms", _json(fold.merged("transform(ss, y -> y.s)")).alias("state"))
+    return told.select(*keys, "n", "latest_ms", fold.merged("transform(ss, y -> y.s)").alias("s"))
 
 
 def finish_states(states: DataFrame, fold: Fold) -> DataFrame:

@@ -210,8 +210,9 @@ def _merged_mean(spark, d) -> tuple[DataFrame, plans.Catalog]:
     """Usage of odd and of even lines accumulated by itself, then merged by the plan's own fold."""
     c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _MEAN)
     m = _metered_by(spark, d, c)
-    parts = [acc.accumulate_by_plan(m.where(F.pmod(F.xxhash64("arrival_ms", "end_ms"), F.lit(2)) == i), c, mergeable=True) for i in (0, 1)]
-    return acc.merge_accumulated(parts[0].unionByName(parts[1]), catalog=c), c
+    m = m.withColumn("part", F.pmod(F.xxhash64("arrival_ms", "end_ms"), F.lit(2)))
+    parts = acc.accumulate_by_plan(m, c, [*schemas.KEYS, "part"], mergeable=True)
+    return acc.merge_accumulated(parts.drop("part"), catalog=c), c
 
 
 @query(_BY_PLAN.format(MET.replace("x.fold AS accumulate", "CASE WHEN plan_id = 'basic' AND x.metric = 'heavy_api_calls' THEN 'avg' ELSE x.fold END AS accumulate"), _acc().replace("ELSE sum(value) END", "WHEN accumulate = 'avg' THEN round(sum(value) / count(*), 6) ELSE sum(value) END"), "quantity"))
