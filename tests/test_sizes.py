@@ -43,3 +43,11 @@ def test_folds_that_see_no_bounds_step_by_day():
     assert fold("(a, x) -> a + x.value * (x.to_ms - x.from_ms)").reads_window
     assert fold("(a, x) -> a + length(to_json(x))").reads_window
     assert fold("(a, u) -> a + u.value + if(u IS NULL, 1, 0)").reads_window
+
+
+def test_ordered_folds_shuffle_usages_before_they_are_put_into_windows(spark):
+    rows = spark.createDataFrame([("i", "m", 1.0, 5, 5, 1), ("i", "m", 2.0, 6, 6, 2)], "k string, metric string, value double, start_ms long, end_ms long, arrival_ms long")
+    out = acc.accumulate_custom(rows, "coalesce(a, 0D) + x.value", keys=["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert sorted((r.dimension, r.quantity) for r in out.collect()) == [("D", 3.0), ("M", 3.0)]

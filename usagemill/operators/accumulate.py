@@ -151,13 +151,15 @@ def accumulate_custom(metered: DataFrame, merge: str, zero: str = "cast(null as
         before = lambda d: Window.partitionBy(*keys, "metric", trunc_dim(F.col("end_ms"), d)).orderBy(order, "value", "start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
         metered = metered.withColumns({"day": F.sum("value").over(before("D")), "month": F.sum("value").over(before("M"))})
         fields += ["day", "month"]
-    w = buckets(metered)
     x = F.struct(F.col(order).alias("o"), *fields, F.col("bucket_ms").alias("from_ms"), bucket_end(F.col("dimension"), F.col("bucket_ms")).alias("to_ms"))
     ids = [*keys, "metric", "dimension", "bucket_ms"]
-    folded = lambda rows: rows.groupBy(*ids).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    rows = w.select(*ids, x.alias("x"))
-    if (rows.groupBy(*ids).count().agg(F.max("count")).first()[0] or 0) <= piece:
-        return folded(rows).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> coalesce({merge}, a))").alias("quantity"))
+    folded = lambda rows, *month: rows.groupBy(*ids, *month).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    # A month holds its days, so no window has more usages than the fullest month. Usages are shuffled once, by month, before they are put into both windows.
+    dated = metered.select(*keys, "metric", F.col(order), *fields, trunc_dim(F.col("end_ms"), "M").alias("_month"))
+    if (dated.groupBy(*keys, "metric", "_month").count().agg(F.max("count")).first()[0] or 0) <= piece:
+        rows = buckets(dated.repartition(*keys, "metric", "_month")).select(*ids, "_month", x.alias("x"))
+        return folded(rows, "_month").select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> coalesce({merge}, a))").alias("quantity"))
+    rows = buckets(metered).select(*ids, x.alias("x"))
     turn = F.floor((F.row_number().over(Window.partitionBy(*ids).orderBy("x")) - 1) / piece)
     rows = rows.withColumn("_turn", turn).checkpoint()
     done = folded(rows.where("_turn = 0")).select(*ids, F.expr(f"aggregate(xs, {zero}, (a, x) -> coalesce({merge}, a))").alias("quantity"))
@@ -190,8 +192,6 @@ def accumulate_by_plan(metered: DataFrame, catalog: Catalog, keys: list[str] = s
     return out
 
 
-AGGREGATES = ("sum", "max", "last")
-
 def _fold_windows(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
     """States and quantities of a mergeable fold by day and month. One that does not see its window's bounds is stepped by day only, and a month's state is merged from its days'."""
     ends = lambda w: w.withColumns({"from_ms": F.col("bucket_ms"), "to_ms": bucket_end(F.col("dimension"), F.col("bucket_ms"))})
@@ -203,6 +203,8 @@ def _fold_windows(rows: DataFrame, fold: Fold, keys: list[str]) -> DataFrame:
     return fold_quantities(both, fold, [*keys, *WINDOW])
 
 
+AGGREGATES = ("sum", "max", "last")
+
 
 def aggregate_folds(catalog: Catalog) -> tuple[DataFrame, list[Fold]]:
     """(the metrics that name an aggregate, by metering plan; those of their aggregates that are folds, which must be mergeable)."""
