@@ -58,3 +58,9 @@ def test_json_reports_may_be_compressed(spark, tmp_path):
     state.write_report(df, str(tmp_path / "r"), "json", compression="gzip")
     assert all(p.name.endswith(".json.gz") for p in (tmp_path / "r").glob("part-*"))
     assert sorted(r.start for r in readers.read_usage(spark, str(tmp_path / "r")).collect()) == [0, 1, 2]
+
+
+def test_dealt_out_parts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "PART_ROWS", 10)
+    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "t"))
+    assert readers.spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() == 100

@@ -15,6 +15,8 @@ MAX_ERROR_RANGE = 2_629_746_000
 
 #: Rows that are dealt out to the cores at most, where they come from fewer files than there are cores.
 MAX_SPREAD_ROWS = 20_000_000
+#: Rows of one part at most, so that parts do not grow with the table.
+PART_ROWS = 250_000
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -25,9 +27,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     groups. Tables of many files or rows have enough of them and pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.count() > MAX_SPREAD_ROWS:  # of Parquet the count is in the footers
+    if len(df.inputFiles()) >= cores or (rows := df.count()) > MAX_SPREAD_ROWS:  # of Parquet the count is in the footers
         return df
-    return df.repartition(cores, key)
+    return df.repartition(max(cores, -(-rows // PART_ROWS)), key)
 
 
 def _read(spark: SparkSession, path: str, schema: StructType, fmt: str) -> DataFrame:
