@@ -1,11 +1,13 @@
 """What keeps tasks, shuffles and files from growing with the tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from usagemill import schemas
 from usagemill.operators import accumulate as acc
 from usagemill.operators.folds import fold_of
 from usagemill.plans.catalog import sample_catalog
+from usagemill.queries import QUERIES
 from usagemill.session import PARTITION_BYTES, configure
 from usagemill.sources import readers, state
 from usagemill.streaming.ingest import admit
@@ -64,3 +66,21 @@ def test_dealt_out_parts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch
     monkeypatch.setattr(readers, "PART_ROWS", 10)
     spark.range(1000).repartition(1).write.parquet(str(tmp_path / "t"))
     assert readers.spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() == 100
+
+
+@pytest.mark.parametrize("name", ["resource_rollup_of_tree"])
+def test_documents_lie_side_by_side_before_they_are_metered(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # A plan's children stand below it: each rebalancing lies under windows and metering, over the scans.
+    assert 0 < plan.index("Generate explode") < plan.index("RebalancePartitions") < plan.index("Relation [l_orderkey")
+    assert plan.count("RebalancePartitions") == plan.count("Relation [l_orderkey")
+
+
+def test_an_instance_dealt_to_several_tasks_is_put_together(spark):
+    docs = spark.range(4000).selectExpr("'o' AS organization_id", "'s' AS space_id", "cast(id % 2 AS string) AS consumer_id", "'r' AS resource_id", "'p' AS plan_id", "'i' AS resource_instance_id", "id * 3600000 AS start_ms", "id * 3600000 AS end_ms", "id AS arrival_ms", "'n' AS metric", "'sum' AS accumulate", "1D AS value", "0D AS consuming", "0D AS previous_consuming")
+    told = lambda rows: sorted(map(tuple, acc.accumulate(rows, schemas.INSTANCE).collect()))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        assert told(acc.side_by_side(docs.repartition(4))) == told(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")

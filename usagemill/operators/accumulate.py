@@ -66,6 +66,17 @@ def _real(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def side_by_side(usage: DataFrame, ids: list[str] = schemas.INSTANCE, ts: str = "end_ms") -> DataFrame:
+    """Documents of an instance (``ids`` tell it) and month put side by side, before they are metered.
+
+    Metering and windows make several rows of a document. Where documents lie as they
+    came, map sides find little to combine, and all these rows are shuffled; so a
+    document is shuffled once, and states after it. An instance of very many documents
+    is dealt to several tasks, and its states are put together by ``accumulate`` as ever.
+    """
+    return usage.withColumn("_month", trunc_dim(F.col(ts), "M")).hint("rebalance", *ids, "_month").drop("_month")
+
+
 #: Usages of one key and window that a user fold gathers in one row.
 MAX_PIECE = 100_000
 

@@ -249,7 +249,7 @@ def resource_rollup(spark, d):
 @query(f"WITH {MET}, {_acc()}, {_tree()} SELECT level, organization_id, space_id, consumer_id, resource_id, metric, dimension, bucket_ms, sum(quantity) AS quantity FROM tree GROUP BY ALL")
 def resource_rollup_of_tree(spark, d):
     """The same from the tree, as averages need it."""
-    return acc.rollup_resource(acc.aggregate_tree(acc.accumulate(td.metered_orders(spark, d))))
+    return acc.rollup_resource(acc.aggregate_tree(acc.accumulate(td.metered_orders(spark, d, together=True))))
 
 
 @query(f"WITH {_asof(T_MID)} SELECT *, {_slot(T_MID)} AS slot, quantity AS summary FROM tree WHERE bucket_ms <= {T_MID}")

@@ -26,6 +26,8 @@ PRICES = T.StructType(_fields("plan_id:string metric:string country:string price
 MAPPINGS = T.StructType(_fields("kind:string resource_type:string plan_name:string plan_id:string"))
 ACCOUNTS = T.StructType([*_fields("account_id:string"), T.StructField("organizations", T.ArrayType(T.StringType())), *_fields("pricing_country:string license_type:string")])
 
+#: What tells an instance of a plan in its place of the tree.
+INSTANCE = ["organization_id", "space_id", "consumer_id", "resource_id", "plan_id", "resource_instance_id"]
 #: What an instance's usage is accumulated by; the space and resource keep an instance in one place of the tree.
-KEYS = ["organization_id", "space_id", "consumer_id", "resource_id", "plan_id", "resource_instance_id", "metering_plan_id", "rating_plan_id", "pricing_plan_id"]
+KEYS = [*INSTANCE, "metering_plan_id", "rating_plan_id", "pricing_plan_id"]
 NODE = ["resource_id", "plan_id", "metering_plan_id", "rating_plan_id", "pricing_plan_id"]

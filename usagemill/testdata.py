@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.accumulate import side_by_side
 from .operators.meter import meter
 from .operators.usage import billing_ms, normalize
 from .plans.catalog import Catalog, sample_catalog
@@ -23,21 +24,23 @@ def ms(column: str) -> F.Column:
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-def usage_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object-storage usage, a document a line item."""
+def usage_from_orders(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Object-storage usage, a document a line item; ``together``: those of an instance and month side by side, while they are still narrow."""
     t = lambda n: table(spark, sf_dir, n)
-    customer = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    part = t("part").select("p_partkey", "p_type")
-    rows = spread(t("lineitem"), "l_orderkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    # The narrow tables are joined first: line items are shuffled by part, if there are many, and by order.
+    customer = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") % 2).alias("consumer"))
+    orders = t("orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "c_mktsegment", "consumer")
+    part = t("part").select("p_partkey", F.when(F.col("p_type").isin("STANDARD", "LARGE", "PROMO"), "standard").otherwise("basic").alias("plan_id"))
+    rows = spread(t("lineitem"), "l_orderkey").join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select("c_nationkey", "c_mktsegment", "consumer", "plan_id", (F.col("l_suppkey") % 2).alias("instance"), ms("l_shipdate").alias("end_ms"), (F.col("l_orderkey") % 40).alias("days"), "l_quantity", *TIE)
+    if together:
+        rows = side_by_side(rows, ["c_nationkey", "c_mktsegment", "consumer", "plan_id", "instance"])
     measure = lambda n, q: F.struct(F.lit(n).alias("measure"), q.cast("double").alias("quantity"))
-    end = ms("l_shipdate")
     return rows.select(
         F.concat(F.lit("org-"), F.col("c_nationkey").cast("string")).alias("organization_id"), F.col("c_mktsegment").alias("space_id"),
-        F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lit("customer:"), (F.col("c_custkey") % 2).cast("string"))).alias("consumer_id"),
-        F.lit("object-storage").alias("resource_id"), F.when(F.col("p_type").isin("STANDARD", "LARGE", "PROMO"), "standard").otherwise("basic").alias("plan_id"),
-        F.concat(F.lit("inst-"), "c_mktsegment", F.lit("-"), (F.col("l_suppkey") % 2).cast("string")).alias("resource_instance_id"),
-        F.lit(None).cast("string").alias("dedup_id"), end.alias("start_ms"), end.alias("end_ms"), (end + (F.col("l_orderkey") % 40) * DAY).alias("arrival_ms"),
+        F.concat(F.lit("customer:"), F.col("consumer").cast("string")).alias("consumer_id"),
+        F.lit("object-storage").alias("resource_id"), "plan_id", F.concat(F.lit("inst-"), "c_mktsegment", F.lit("-"), F.col("instance").cast("string")).alias("resource_instance_id"),
+        F.lit(None).cast("string").alias("dedup_id"), F.col("end_ms").alias("start_ms"), "end_ms", (F.col("end_ms") + F.col("days") * DAY).alias("arrival_ms"),
         F.array(measure("storage", F.col("l_quantity") * GIB), measure("light_api_calls", F.col("l_linenumber") * 1000), measure("heavy_api_calls", F.col("l_quantity"))).alias("measured_usage"),
         *TIE,
     )
@@ -55,10 +58,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return sample_catalog(spark, accounts(spark, sf_dir))
 
 
-def metered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized and metered object-storage usage, with its billing time and the consumer UNKNOWN where there is none."""
+def metered_orders(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Normalized and metered object-storage usage, with its billing time and the consumer UNKNOWN where there is none; if all of it is accumulated, ``together``."""
     c = catalog(spark, sf_dir)
-    rows = normalize(usage_from_orders(spark, sf_dir), c)
+    rows = normalize(usage_from_orders(spark, sf_dir, together), c)
     rows = rows.withColumns({"consumer_id": F.coalesce("consumer_id", F.lit("UNKNOWN")), "billing_ms": billing_ms(F.col("end_ms"), F.col("arrival_ms"))})
     return meter(rows, c)
 
