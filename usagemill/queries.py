@@ -238,7 +238,7 @@ def accumulate_cell(spark, d):
 
 @query(f"WITH {MET}, {_acc()}, {_tree()} SELECT * FROM tree")
 def aggregate_tree(spark, d):
-    return acc.aggregate_tree(acc.accumulate(td.metered_orders(spark, d))).select(*NODE_COLS, "quantity")
+    return acc.aggregate_tree(acc.accumulate(td.metered_orders(spark, d, together=True))).select(*NODE_COLS, "quantity")
 
 
 @query(f"WITH {MET}, {_acc()}, {_tree()} SELECT level, organization_id, space_id, consumer_id, resource_id, metric, dimension, bucket_ms, sum(quantity) AS quantity FROM tree GROUP BY ALL")
