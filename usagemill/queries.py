@@ -188,8 +188,8 @@ def _with_fold(catalog: plans.Catalog, metric: str, fold: str) -> plans.Catalog:
     return replace(catalog, metrics=catalog.metrics.withColumn("accumulate", F.when(mine, fold).otherwise(F.col("accumulate"))))
 
 
-def _metered_by(spark, d, c: plans.Catalog) -> DataFrame:
-    rows = usage.normalize(td.usage_from_orders(spark, d), c)
+def _metered_by(spark, d, c: plans.Catalog, together: bool = False) -> DataFrame:
+    rows = usage.normalize(td.usage_from_orders(spark, d, together), c)
     rows = rows.withColumns({"consumer_id": F.coalesce("consumer_id", F.lit("UNKNOWN")), "billing_ms": usage.billing_ms(F.col("end_ms"), F.col("arrival_ms"))})
     return meter(rows, c)
 
@@ -852,7 +852,7 @@ def stored_catalog(spark, d):
     for n in ("metrics", "rating", "prices", "mappings", "accounts"):
         getattr(c, n).write.parquet(f"{path}/{n}")
     c = plans.load_catalog(spark, path)
-    return acc.accumulate_by_plan(_metered_by(spark, d, c), c).groupBy("organization_id", "metric", "dimension", "bucket_ms").agg(acc.exact_sum(F.col("quantity")).alias("quantity"))
+    return acc.accumulate_by_plan(_metered_by(spark, d, c, together=True), c).groupBy("organization_id", "metric", "dimension", "bucket_ms").agg(acc.exact_sum(F.col("quantity")).alias("quantity"))
 
 
 @query(f"WITH {U} SELECT organization_id, plan_id, count(*) AS n, sum(q) AS quantity FROM u WHERE end_ms BETWEEN {T_CLOSED} - 2000000000 AND {T_CLOSED} GROUP BY ALL")
