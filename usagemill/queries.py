@@ -99,7 +99,7 @@ def meter_object_storage(spark, d):
 
 
 def _accumulated(spark, d, fold: str, dimension: str) -> DataFrame:
-    a = acc.accumulate(td.metered_orders(spark, d))
+    a = acc.accumulate(td.metered_orders(spark, d, together=True))
     return a.where((F.col("accumulate") == fold) & (F.col("dimension") == dimension)).select(*ALL, "metric", "bucket_ms", "quantity", "n")
 
 
@@ -123,7 +123,7 @@ def accumulate_max_month(spark, d):
 
 @query(f"WITH {MET} SELECT organization_id, space_id, consumer_id, plan_id, resource_instance_id, metric, epoch_ms(date_trunc('month', epoch_ms(end_ms))) AS bucket_ms, round(sum(value) / count(*), 6) AS quantity FROM met GROUP BY ALL")
 def accumulate_avg_month(spark, d):
-    m = td.metered_orders(spark, d).withColumn("accumulate", F.lit("avg"))
+    m = td.metered_orders(spark, d, together=True).withColumn("accumulate", F.lit("avg"))
     a = acc.accumulate(m).where("dimension = 'M'")
     return a.select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "bucket_ms", F.round("quantity", 6).alias("quantity"))
 
@@ -243,7 +243,7 @@ def aggregate_tree(spark, d):
 
 @query(f"WITH {MET}, {_acc()}, {_tree()} SELECT level, organization_id, space_id, consumer_id, resource_id, metric, dimension, bucket_ms, sum(quantity) AS quantity FROM tree GROUP BY ALL")
 def resource_rollup(spark, d):
-    return acc.resource_tree(acc.accumulate(td.metered_orders(spark, d)))
+    return acc.resource_tree(acc.accumulate(td.metered_orders(spark, d, together=True)))
 
 
 @query(f"WITH {MET}, {_acc()}, {_tree()} SELECT level, organization_id, space_id, consumer_id, resource_id, metric, dimension, bucket_ms, sum(quantity) AS quantity FROM tree GROUP BY ALL")
