@@ -68,7 +68,7 @@ def test_dealt_out_parts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch
     assert readers.spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() == 100
 
 
-@pytest.mark.parametrize("name", ["accumulate_sum_day", "accumulate_avg_month", "aggregate_tree", "resource_rollup", "resource_rollup_of_tree", "stored_catalog"])
+@pytest.mark.parametrize("name", ["accumulate_sum_day", "accumulate_avg_month", "aggregate_tree", "resource_rollup", "resource_rollup_of_tree", "stored_catalog", "accumulate_mergeable_fold"])
 def test_documents_lie_side_by_side_before_they_are_metered(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # A plan's children stand below it: each rebalancing lies under windows and metering, over the scans.

@@ -209,7 +209,7 @@ _MEAN = "zero: named_struct('total', 0D, 'n', 0D); step: (a, x) -> if(x.value >
 def _merged_mean(spark, d) -> tuple[DataFrame, plans.Catalog]:
     """Usage of odd and of even lines accumulated by itself, then merged by the plan's own fold."""
     c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _MEAN)
-    m = _metered_by(spark, d, c)
+    m = _metered_by(spark, d, c, together=True)
     m = m.withColumn("part", F.pmod(F.xxhash64("arrival_ms", "end_ms"), F.lit(2)))
     parts = acc.accumulate_by_plan(m, c, [*schemas.KEYS, "part"], mergeable=True)
     return acc.merge_accumulated(parts.drop("part"), catalog=c), c
