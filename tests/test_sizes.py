@@ -84,3 +84,8 @@ def test_an_instance_dealt_to_several_tasks_is_put_together(spark):
         assert told(acc.side_by_side(docs.repartition(4))) == told(docs)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_ordered_folds_read_stored_documents(spark):
+    plan = QUERIES["accumulate_plan_fold"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "measured_usage" in plan

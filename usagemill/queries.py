@@ -188,8 +188,14 @@ def _with_fold(catalog: plans.Catalog, metric: str, fold: str) -> plans.Catalog:
     return replace(catalog, metrics=catalog.metrics.withColumn("accumulate", F.when(mine, fold).otherwise(F.col("accumulate"))))
 
 
-def _metered_by(spark, d, c: plans.Catalog, together: bool = False) -> DataFrame:
-    rows = usage.normalize(td.usage_from_orders(spark, d, together), c)
+def _metered_by(spark, d, c: plans.Catalog, together: bool = False, written: bool = False) -> DataFrame:
+    """Usage metered by a catalog; ``written``: documents are stored first, as an ordered fold reads its usage more than once."""
+    docs = td.usage_from_orders(spark, d, together)
+    if written:
+        path, docs = shared_path(spark, "documents"), docs.select(*schemas.INSTANCE, "start_ms", "end_ms", "arrival_ms", "measured_usage")
+        docs.write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+    rows = usage.normalize(docs, c)
     rows = rows.withColumns({"consumer_id": F.coalesce("consumer_id", F.lit("UNKNOWN")), "billing_ms": usage.billing_ms(F.col("end_ms"), F.col("arrival_ms"))})
     return meter(rows, c)
 
@@ -200,7 +206,7 @@ _BY_PLAN = "WITH {0}, {1} SELECT organization_id, space_id, consumer_id, plan_id
 @query(_BY_PLAN.format(MET.replace("x.fold AS accumulate", "CASE WHEN plan_id = 'basic' AND x.metric = 'heavy_api_calls' THEN 'max' ELSE x.fold END AS accumulate"), _acc(), "quantity"))
 def accumulate_plan_fold(spark, d):
     c = _with_fold(td.catalog(spark, d), "heavy_api_calls", _GREATEST)
-    return acc.accumulate_by_plan(_metered_by(spark, d, c), c).select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity")
+    return acc.accumulate_by_plan(_metered_by(spark, d, c, together=True, written=True), c).select("organization_id", "space_id", "consumer_id", "plan_id", "resource_instance_id", "metric", "dimension", "bucket_ms", "quantity")
 
 
 _MEAN = "zero: named_struct('total', 0D, 'n', 0D); step: (a, x) -> if(x.value > 0, named_struct('total', a.total + x.value, 'n', a.n + 1), null); merge: (a, b) -> named_struct('total', a.total + b.total, 'n', a.n + b.n); finish: a -> round(a.total / a.n, 6)"
