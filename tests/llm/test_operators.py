@@ -704,6 +704,14 @@ def test_sample_finds_its_neighbours():
         assert len(near) == found and all(n["q"] == 0 and 0.8 <= n["j"] < 1 and 0 <= n["depth"] <= near_dup.LONGEST for n in near)
 
 
+def test_pairs_at_the_threshold_are_not_left_out(spark):
+    """Prefixes of 7 values, as the sample asks for, would miss about 1 in 300 pairs that are exactly alike enough."""
+    assert near_dup.sure_depth(0.8) == 3 and 0.2**near_dup.TREES <= near_dup.MISSED and near_dup.sure_depth(0.01) == 1
+    words = lambda i, side: " ".join([f"w{i}x{k}" for k in range(40)] + [f"{side}{i}x{k}" for k in range(5)])
+    df = spark.createDataFrame([(2 * i + n, words(i, side)) for i in range(2000) for n, side in enumerate("ab")], "doc_id long, text string")
+    assert near_dup.similar_documents(df, width=1).where("n_links != 1 OR class_id != doc_id - doc_id % 2").count() == 0
+
+
 def test_signatures_meet_as_often_as_calculated():
     """Pairs exactly at a Jaccard of 0.8, of few and many shingles."""
     forest, rng = near_dup.Forest(near_dup.TREES, near_dup.LONGEST), np.random.default_rng(1)
